@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from taxolyte.llm.chat_format import op5_chat_format
 from taxolyte.llm.packing import op7_packing
+from taxolyte.llm.quality_rules import op3_quality_rules
 from taxolyte.llm.token_store import op9_token_store
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op5_chat_format": op5_chat_format,
     "op7_packing": op7_packing,
     "op9_token_store": op9_token_store,
