@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxolyte.llm.common import materialize, table
-from taxolyte.llm.tokens import END_ID, TextEncoder, default_tokenizer
+from taxolyte.llm.tokens import END, TextEncoder, default_tokenizer
 
 CAPACITY = 2048
 MAX_CUTS = 2
@@ -72,14 +72,14 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wit
     kind = _PIECES + (", ids array<long>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, plan = TextEncoder(tokenizer), TaskContext.get().partitionId(), plans(capacity)
+        encoder, part, plan = TextEncoder.of_worker(tokenizer), TaskContext.get().partitionId(), plans(capacity)
         _, limit = classes(capacity)
         ranks, row = np.zeros(len(limit), np.int64), 0
         for batch in batches:
             out: list[tuple] = []
             kept: list[np.ndarray] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), np.uint32(END_ID)).astype("<u4")
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(coded + END, "<u4")
                 n, start = len(ids), 0
                 for length in (*([capacity] * (n // capacity)), *plan[n % capacity]):
                     k = int(np.searchsorted(-limit, -length, side="right")) - 1

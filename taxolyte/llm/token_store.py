@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxolyte.llm.common import new_path, table
-from taxolyte.llm.tokens import END_ID, TextEncoder, default_tokenizer
+from taxolyte.llm.tokens import END, TextEncoder, default_tokenizer
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -103,7 +103,7 @@ class Segment:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = SEGMENT_IDS) -> None:
-    """Writes the ids of all texts (doc_id, text), each followed by END_ID, in ascending doc_id order.
+    """Writes the ids of all texts (doc_id, text), each followed by an end id, in ascending doc_id order.
 
     The result is a folder of segments with their part and their first position in it; parts are ranges
     of doc_id in order. A null text is empty, a null doc_id comes first, repeated rows are written again
@@ -115,7 +115,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, segment_ids: int =
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = TextEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = TextEncoder.of_worker(tokenizer), TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
         n, first, k = 0, 0, 0
 
@@ -134,8 +134,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, segment_ids: int =
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), np.uint32(END_ID))
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(coded + END, "<u4")
                 held.append((doc_id, ids))
                 n += len(ids)
                 if n >= segment_ids:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
+END = END_ID.to_bytes(4, "little")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe
+_encoders: dict[tuple[str, int], TextEncoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -16,65 +21,140 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The slices flat[begin : begin + length] one after the other."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat((begin - (ends - length)).astype(np.int64), length)
+    at += np.arange(total)
+    return flat[at]
+
+
 class TextEncoder:
-    """Encodes texts through the tokenizers library, once per distinct space-delimited chunk.
+    """Encodes texts through the tokenizers library, each distinct piece of a group of texts once.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are the
     ids of its chunks one after the other. Chunks are split at U+0020 and line feeds only; other white
-    space stays inside chunks and is left to the library. The cache is emptied when it holds more than
-    max_chars characters, which bounds memory without changing results.
+    space stays inside chunks and is left to the library. Letters followed by ASCII punctuation (no
+    apostrophe) are two pieces to the tokenizer, so such chunks are put together from both. Letter runs go
+    to the library many at a time, joined by spaces: each ends in exactly one end-of-word id, and where
+    the count of those differs, they are encoded one by one. Pieces are remembered up to max_entries,
+    then forgotten, which bounds memory without changing results.
     """
 
-    def __init__(self, path: str, max_chars: int = 24_000_000):
+    def __init__(self, path: str, max_entries: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.max_chars = max_chars
-        self._clear()
-
-    def _clear(self) -> None:
+        self.max_entries = max_entries
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_vocabulary = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.n_vocabulary, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self._forget()
+
+    @classmethod
+    def of_worker(cls, path: str, max_entries: int = 1_000_000) -> TextEncoder:
+        """One encoder for all tasks of a worker process."""
+        if (path, max_entries) not in _encoders:
+            _encoders[path, max_entries] = cls(path, max_entries)
+        return _encoders[path, max_entries]
+
+    def _forget(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        self.chars = 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
-
-    def _add(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 5000):
-            part = chunks[at : at + 5000]
-            coded = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            first, total = len(self.index), int(sizes.sum())
-            while self.used + total > len(self.flat):
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.bounds = np.zeros(1 << 16, np.int64)  # of piece i: bounds[i] to bounds[i + 1]
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after the other, and the number of each."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(coded), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                ids, size = self._whole(part)
+            else:
+                size = np.diff(stops, prepend=0)
+            out.append(ids)
+            sizes.append(size)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def _pieces(self, words: list[str], letters: bool) -> np.ndarray:
+        """The numbers of pieces, which are encoded if they are new."""
+        index = self.index
+        new = [x for x in words if x not in index]
+        if new:
+            ids, sizes = self._letters(new) if letters else self._whole(new)
+            first = len(index)
+            while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(part) > len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in coded for i in ids), np.uint32, total)
-            self.begin[first : first + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.length[first : first + len(part)] = sizes
-            self.index.update(zip(part, range(first, first + len(part)), strict=True))
-            self.used += total
-            self.chars += sum(map(len, part))
+            while first + len(new) + 1 > len(self.bounds):
+                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.bounds[first + 1 : first + len(new) + 1] = self.used + np.cumsum(sizes)
+            self.used += len(ids)
+            index.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+    def encode_many(self, texts: Iterable[str | None], group_chars: int = 6_000_000) -> Iterator[bytes]:
+        """The ids of each whole text as little-endian 32-bit integers, without an end id; null is empty.
+
+        Texts are taken in groups of about group_chars characters.
+        """
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= group_chars:
+                yield from self._group(group)
+                group, size = [], 0
+        if group:
+            yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        chunks = coded.dictionary
+        if len(self.index) + len(chunks) > self.max_entries:
+            self._forget()
+        cores = pc.utf8_rtrim(chunks, _PUNCTUATION)
+        plain = np.asarray(pc.utf8_is_alpha(cores))
+        core_codes = pc.dictionary_encode(cores.filter(pa.array(plain)))
+        # Each distinct chunk is up to two pieces; piece 0 is empty.
+        first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        first[plain] = self._pieces(core_codes.dictionary.to_pylist(), True)[np.asarray(core_codes.indices)]
+        first[~plain] = self._pieces(chunks.filter(pa.array(~plain)).to_pylist(), False)
+        tailed = plain & (np.asarray(pc.binary_length(chunks)) > np.asarray(pc.binary_length(cores)))
+        kinds: dict[str, int] = {}
+        which = np.fromiter(
+            (
+                kinds.setdefault(chunk[len(core) :], len(kinds))
+                for chunk, core in zip(chunks.filter(pa.array(tailed)).to_pylist(), cores.filter(pa.array(tailed)).to_pylist(), strict=True)
+            ),
+            np.int64,
+            int(tailed.sum()),
+        )
+        if kinds:
+            second[tailed] = self._pieces(list(kinds), False)[which]
+        both = np.stack([first, second], 1).ravel()
+        begin, size = self.bounds[both], self.bounds[both + 1] - self.bounds[both]
+        own = gather(self.flat, begin, size)
+        size = size.reshape(-1, 2).sum(1)
+        begin = np.cumsum(size) - size
+        at = np.asarray(coded.indices)
+        ids = gather(own, begin[at], size[at]).astype("<u4", copy=False)
+        stops = np.concatenate([[0], np.cumsum(size[at])])[np.asarray(lists.offsets)]
+        for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of one whole text, without an end id; null is the empty text."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if self.chars > self.max_chars:
-            self._clear()
-        chunks = text.replace("\n", " ").split(" ")
-        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
-        if (missing := np.flatnonzero(at < 0)).size:
-            self._add(list(dict.fromkeys(chunks[i] for i in missing)))
-            at[missing] = [self.index[chunks[i]] for i in missing]
-        return gather(self.flat, self.begin[at], self.length[at])
-
-
-def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The slices flat[begin : begin + length] one after the other."""
-    ends = np.cumsum(length)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(begin - (ends - length), length)]
+        return np.frombuffer(next(self.encode_many([text])), "<u4")
