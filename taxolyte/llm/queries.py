@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from taxolyte.llm.chat_format import op5_chat_format
 from taxolyte.llm.packing import op7_packing
+from taxolyte.llm.pii import op10_pii
 from taxolyte.llm.quality_rules import op3_quality_rules
 from taxolyte.llm.token_store import op9_token_store
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op7_packing": op7_packing,
     "op9_token_store": op9_token_store,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
