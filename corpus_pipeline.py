@@ -1,20 +1,56 @@
-"""The corpus pipeline: operators of taxolyte.llm one after the other over documents."""
+"""The corpus pipeline: operators of taxolyte.llm one after the other over documents.
+
+Every stage works on the rows that the one before has kept, and its decisions take effect: a filtering
+stage drops rows, redaction changes texts, packing returns pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taxolyte.llm.common import materialize, table
+from taxolyte.llm.decontamination import without_leaks
+from taxolyte.llm.near_dedup import one_of_each
 from taxolyte.llm.packing import pack
+from taxolyte.llm.pii import Selector, redact
+from taxolyte.llm.quality_classifier import keep_good
 from taxolyte.llm.tokens import default_tokenizer
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return keep_good(spark, docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return one_of_each(spark, docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return without_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced; n_chars is that of the new text."""
+    out = redact(docs, Selector(spark))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack(spark, docs, default_tokenizer())
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality classifier", quality),
+    ("near dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("personal data", redact_pii),
+    ("packing", packing),
+]
 
 #: Trained models and tokenization are part of the stages, which SQL can't express.
 ORACLE_SQL = None

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from taxolyte.llm.chat_format import op5_chat_format
+from taxolyte.llm.decontamination import op2_decontamination
+from taxolyte.llm.near_dedup import op4_near_dedup
 from taxolyte.llm.packing import op7_packing
 from taxolyte.llm.pii import op10_pii
+from taxolyte.llm.quality_classifier import op6_quality_classifier
 from taxolyte.llm.quality_rules import op3_quality_rules
 from taxolyte.llm.token_store import op9_token_store
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
+    "op4_near_dedup": op4_near_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op9_token_store": op9_token_store,
     "op10_pii": op10_pii,
