@@ -106,7 +106,8 @@ def replace(text: Column, kind: str, use: Callable[[Column, Column, Column], Col
         parts = F.transform(z["m"], lambda m, i: F.concat(F.get(z["p"], i), F.when(use(*_proposal(z, m, i)), by(m)).otherwise(m)))
         return F.concat(F.array_join(parts, ""), F.element_at(z["p"], -1))
 
-    return F.when(text.rlike(needs), _let(_cut(text, pattern), of)).otherwise(text)
+    # Bound once, because calls of this function are nested.
+    return _let(text, lambda t: F.when(t.rlike(needs), _let(_cut(t, pattern), of)).otherwise(t))
 
 
 def _digits(s: Column) -> Column:
