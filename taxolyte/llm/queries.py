@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from taxolyte.llm.chat_format import op5_chat_format
 from taxolyte.llm.decontamination import op2_decontamination
+from taxolyte.llm.html_extract import op1_html_extract
 from taxolyte.llm.near_dedup import op4_near_dedup
 from taxolyte.llm.packing import op7_packing
 from taxolyte.llm.pii import op10_pii
@@ -12,6 +13,7 @@ from taxolyte.llm.quality_rules import op3_quality_rules
 from taxolyte.llm.token_store import op9_token_store
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
