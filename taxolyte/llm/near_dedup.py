@@ -2,14 +2,16 @@
 
 1. Each text's set of word shingles gives a MinHash signature. Texts with one set are one node.
 2. Signatures are cut into bands; equal bands share a bucket. A bucket proposes star pairs, each member
-   with the bucket's centre, never all pairs.
+   with the bucket's centre, never all pairs; of its centres a member takes the one that it meets in most
+   buckets.
 3. Signatures of a pair are compared batch by batch. A pair is dropped once the posterior probability
    that its similarity reaches the threshold (uniform prior) is below MISS.
 4. What survives is verified on full shingle sets; links give components.
 5. Buckets whose members are still in different components propose again: first stars with other
    centres, then, for what is left, all pairs across components, compared as blocks of signatures inside
-   a task, of which only those that pass step 3 come out. So no link within a bucket is lost, and members
-   of one component, however many, are never compared with each other.
+   a task, of which only those that pass step 3 come out, each from the first band that it shares. So no
+   link within a bucket is lost, and members of one component, however many, are never compared with
+   each other.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ BATCH = 26
 #: Probability of dropping a true link at one batch.
 MISS = 1e-6
 #: Rounds of stars before all pairs across components are compared, and members in a block of those.
-STARS, BLOCK = 3, 1024
+STARS, BLOCK = 4, 1024
 #: So many ids, 2 MB, may be broadcast; above, texts are joined without that filter.
 FEW_IDS = 250_000
 _rng = np.random.default_rng(20240613)
@@ -167,8 +169,15 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _one_centre(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each id with the centre that it meets in most rows (id, center)."""
+    met = rows.groupBy("id", "center").agg(F.count("*").alias("n"))
+    best = met.groupBy("id").agg(F.min(F.struct(-F.col("n"), "center"))["center"].alias("center"))
+    return best.select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct()
+
+
 def _across(spark: SparkSession, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket (key, id, comp) in different components that pass the signature batches.
+    """Pairs of one bucket (band, key, id, comp) in different components that pass the signature batches.
 
     A bucket is cut into blocks of members by the hash of their id, and a task compares two blocks.
     """
@@ -182,12 +191,13 @@ def _across(spark: SparkSession, rows: DataFrame, nodes: DataFrame, percent: int
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")),
     )
-    spread = placed.select("key", "id", "comp", "n_shingles", "signature", "block", F.explode(cells).alias("cell"))
+    spread = placed.select("band", "key", "id", "comp", "n_shingles", "signature", "block", F.explode(cells).alias("cell"))
 
     def cell(table: pa.Table) -> pa.Table:
         ids, comps, n, blocks = (np.asarray(table.column(c)) for c in ("id", "comp", "n_shingles", "block"))
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
-        one = table.column("cell")[0].as_py()
+        bands = signatures.reshape(len(ids), BANDS, ROWS)
+        one, band = table.column("cell")[0].as_py(), table.column("band")[0].as_py()
         left, right = np.flatnonzero(blocks == one["i"]), np.flatnonzero(blocks == one["j"])
         a, b = [], []
         for x in left:
@@ -196,11 +206,12 @@ def _across(spark: SparkSession, rows: DataFrame, nodes: DataFrame, percent: int
                 y = y[y > x]
             if len(y):
                 y = y[passing(np.broadcast_to(signatures[x], (len(y), HASHES)), signatures[y], percent / 100)]
+                y = y[~(bands[y, :band] == bands[x, :band]).all(2).any(1)]
                 a += [max(ids[x], ids[z]) for z in y]
                 b += [min(ids[x], ids[z]) for z in y]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("key", "cell").applyInArrow(cell, "a long, b long").distinct()
+    return spread.groupBy("band", "key", "cell").applyInArrow(cell, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -219,31 +230,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     nodes = materialize(spark, nodes, "nodes")
     width = 2 * ROWS
     keys = [F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)]
-    bands = nodes.select(F.explode(F.array(*keys)).alias("key"), "id")
+    bands = nodes.select(F.posexplode(F.array(*keys)).alias("band", "key"), "id")
     shared = bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).filter("n > 1")
     buckets = materialize(spark, bands.join(shared.select("key", "center"), "key"), "buckets")
-    pairs = buckets.filter("id <> center").select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct()
+    pairs = _one_centre(buckets.filter("id <> center"))
     links = materialize(spark, _verify(materialize(spark, _prune(pairs, nodes, percent), "survivors"), docs, k, percent), "links")
     # A doc_id with different texts ties their nodes.
     several = filled.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("doc_id")
     ties = filled.join(several, "doc_id").join(nodes.select("fp", "id"), "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     links = links.unionByName(materialize(spark, ties.filter("a <> b"), "ties"))
-    rows = buckets.select("key", "id")
+    rows = buckets.select("band", "key", "id")
     for turn in range(STARS + 1):
         comps = connected(spark, links)
         # Buckets in which different components still meet.
-        named = rows.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        named = rows.select("band", "key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp")))
         mixed = named.groupBy("key").agg(pick.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
         rows = materialize(spark, named.join(mixed.select("key", "c"), "key"), "mixed")
         if rows.isEmpty():
             break
         if turn < STARS:
-            apart = rows.filter(F.col("comp") != F.col("c.comp"))
-            pairs = apart.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
-            found = _prune(pairs, nodes, percent)
+            found = _prune(_one_centre(rows.filter(F.col("comp") != F.col("c.comp")).select("id", F.col("c.id").alias("center"))), nodes, percent)
         else:
-            found = _across(spark, rows.select("key", "id", "comp"), nodes, percent)
+            found = _across(spark, rows.select("band", "key", "id", "comp"), nodes, percent)
         fresh = materialize(spark, _verify(materialize(spark, found, "survivors"), docs, k, percent), "links")
         links = links.unionByName(fresh)
     comps = connected(spark, links)
