@@ -1,7 +1,7 @@
 """Language-model scores of whole texts from a causal self-attention model on subword ids.
 
 The model gives the next id's class from attention over the ids before it, and the id within its class
-from corpus counts: P(id | before) = P(class | attention) * P(id | class, kind of the last id). Attention
+from corpus counts: P(id | before) = P(class | attention) * P(id | class, last id). Attention
 is block-wise: a block of BLOCK positions attends, causally masked, to itself and the block before, that
 is to overlapping windows of 2 * BLOCK positions of which each scores its second half once; all blocks of
 many texts are one batch.
@@ -33,9 +33,12 @@ from taxolyte.llm.tokens import END, END_ID, TextEncoder, default_tokenizer
 from taxolyte.llm.words import Words, groups
 
 BLOCK, WIDTH = 16, 16
-CLASSES, KINDS = 64, 16
+CLASSES = 64
 #: Ids with a row of their own in the input table, by frequency in the sample; others share one per class.
 ROWS = 2048
+#: Ids, by frequency in the sample, whose counts are kept for each row of the id before; others for all rows.
+COLUMNS = 4096
+MU = 10.0
 TRAIN_DOCS, TRAIN_WINDOWS, WINDOW_BLOCKS = 4000, 16_000, 5
 STEPS, WINDOWS_A_STEP, STEP_SIZE = 160, 128, 0.02
 #: Words whose counts are broadcast (16 bytes each).
@@ -50,11 +53,11 @@ def held_out(doc_id: int | None) -> bool:
 
 @dataclass
 class Attention:
-    """Row and class of each id, kind of each class, and weights. query, key and value are by row."""
+    """Row, column (COLUMNS if it has none) and class of each id, and weights. query, key and value are by row."""
 
     row: np.ndarray
+    column: np.ndarray
     klass: np.ndarray
-    kind: np.ndarray
     query: np.ndarray
     key: np.ndarray
     value: np.ndarray
@@ -143,11 +146,11 @@ def train(windows: np.ndarray, n_vocabulary: int) -> Attention:
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
     klass = np.arange(n_vocabulary) % CLASSES
     klass[known] = _cluster(points, CLASSES)
-    middle = np.stack([points[klass[known] == c].sum(0) if (klass[known] == c).any() else points[0] for c in range(CLASSES)])
-    kind = _cluster(middle / np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-9), KINDS)
     row = ROWS + klass
     row[order[:ROWS]] = np.arange(ROWS)
     n_rows = ROWS + CLASSES
+    column = np.full(n_vocabulary, COLUMNS)
+    column[order[:COLUMNS]] = np.arange(COLUMNS)
 
     r, t = row[windows[:, :-1]], klass[windows[:, 1:]]
     follow = np.bincount(r.ravel() * CLASSES + t.ravel(), minlength=n_rows * CLASSES).reshape(-1, CLASSES) + 0.0
@@ -210,24 +213,28 @@ def train(windows: np.ndarray, n_vocabulary: int) -> Attention:
             w[name] -= rate * (m[name] / (1 - 0.9 ** (step + 1))) / (np.sqrt(u[name] / (1 - 0.99 ** (step + 1))) + 1e-8)
     f32 = np.float32
     return Attention(
-        row.astype(np.int32), klass.astype(np.int32), kind[klass].astype(np.int32), (w["e"] @ w["q"] / np.sqrt(WIDTH)).astype(f32),
+        row.astype(np.int32), column.astype(np.int32), klass.astype(np.int32), (w["e"] @ w["q"] / np.sqrt(WIDTH)).astype(f32),
         (w["e"] @ w["k"]).astype(f32), (w["e"] @ w["v"]).astype(f32), w["direct"].astype(f32), w["out"].astype(f32), (w["near"][near_at] + causal).astype(f32),
     )
 
 
-def within(model: Attention, counts: np.ndarray) -> np.ndarray:
-    """ln P(id | class, kind of the last id), from counts (KINDS, ids): a proper distribution in each class.
+def within(model: Attention, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ln P(id | class, row of the last id): by row and column, and for ids without a column by row and class plus by id.
 
-    Counts of a kind are smoothed with those of all kinds, and these by 0.05 for each id.
+    counts is by id, pairs by row and column. P = (pair + MU * share) / (pairs of the class + MU), where
+    share is the id's smoothed share of its class, which is a proper distribution in each class.
     """
-    n_ids = counts.shape[1]
-    total = counts.sum(0) + 0.05
+    total = counts + 0.05
     share = total / np.bincount(model.klass, total, CLASSES)[model.klass]
-    out = np.empty((KINDS, n_ids), np.float32)
-    for k in range(KINDS):
-        whole = np.bincount(model.klass, counts[k], CLASSES)[model.klass]
-        out[k] = np.log((counts[k] + 20 * share) / (whole + 20))
-    return out
+    ids = np.flatnonzero(model.column < COLUMNS)
+    ids = ids[np.argsort(model.column[ids])]
+    klass = model.klass[ids]
+    whole = np.zeros((len(pairs), CLASSES))
+    for c in range(CLASSES):
+        whole[:, c] = pairs[:, : len(ids)][:, klass == c].sum(1)
+    table_ = np.zeros((len(pairs), COLUMNS), np.float32)
+    table_[:, : len(ids)] = np.log((pairs[:, : len(ids)] + MU * share[ids]) / (whole[:, klass] + MU))
+    return table_, np.log(MU / (whole + MU)).astype(np.float32), np.log(share).astype(np.float32)
 
 
 def sample_windows(docs: DataFrame, tokenizer: str) -> np.ndarray:
@@ -252,20 +259,21 @@ def sample_windows(docs: DataFrame, tokenizer: str) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r["ids"]) for r in windows), "<u4").reshape(-1, size).astype(np.int64)
 
 
-_SEEN = "key binary, ids binary, word long, kind int, n long"
+_SEEN = "key binary, ids binary, word long, row int, n long"
 
 
 def _count(docs: DataFrame, tokenizer: str, model: Attention) -> DataFrame:
-    """Rows of three sorts: key and ids of each text; word and n; word (an id), kind and n."""
+    """Rows of three sorts: key and ids of each text, n is 1 if it is for training; word and n; word (an id
+    or, with row >= 0, a column), row and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.of_worker(tokenizer)
         n_ids = encoder.n_vocabulary
-        by_kind = np.zeros(KINDS * n_ids, np.int64)
+        by_id, by_pair = np.zeros(n_ids, np.int64), np.zeros((ROWS + CLASSES) * (COLUMNS + 1), np.int32)
         seen_words, seen_counts, held = [], [], 0
 
         def rows(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
-            kinds = {"key": pa.binary(), "ids": pa.binary(), "word": pa.int64(), "kind": pa.int32(), "n": pa.int64()}
+            kinds = {"key": pa.binary(), "ids": pa.binary(), "word": pa.int64(), "row": pa.int32(), "n": pa.int64()}
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()], list(kinds))
 
         def words_out() -> pa.RecordBatch:
@@ -289,30 +297,36 @@ def _count(docs: DataFrame, tokenizer: str, model: Attention) -> DataFrame:
                 if held > 3_000_000:
                     yield words_out()
                     seen_words, seen_counts, held = [], [], 0
-                keys, small = [], []
-                for text, coded, used in zip(group, encoder.encode_many(group), train_, strict=True):
-                    x = np.frombuffer(coded + END, "<u4")
-                    keys.append(xxhash.xxh3_128_digest(text))
-                    small.append(x.astype("<u2").tobytes())
-                    if used:
-                        before = np.concatenate([[END_ID], x[:-1]])
-                        np.add.at(by_kind, model.kind[before].astype(np.int64) * n_ids + x, 1)
-                yield rows(len(group), key=pa.array(keys, pa.binary()), ids=pa.array(small, pa.binary()))
+                coded = [np.frombuffer(x + END, "<u4").astype("<u2") for x in encoder.encode_many(group)]
+                yield rows(
+                    len(group),
+                    key=pa.array(list(map(xxhash.xxh3_128_digest, group)), pa.binary()),
+                    ids=pa.array([x.tobytes() for x in coded], pa.binary()),
+                    n=pa.array(train_.astype(np.int64)),
+                )
+                if train_.any():
+                    x = np.concatenate([x for x, used in zip(coded, train_, strict=True) if used])
+                    by_id += np.bincount(x, minlength=n_ids)
+                    before = np.concatenate([[END_ID], x[:-1]])  # texts end with END_ID
+                    np.add.at(by_pair, model.row[before] * (COLUMNS + 1) + model.column[x], 1)
         if held:
             yield words_out()
-        there = np.flatnonzero(by_kind)
+        there = np.flatnonzero(by_id)
         if len(there):
-            yield rows(len(there), word=pa.array(there % n_ids), kind=pa.array((there // n_ids).astype(np.int32)), n=pa.array(by_kind[there]))
+            yield rows(len(there), word=pa.array(there), row=pa.array(np.full(len(there), -1, np.int32)), n=pa.array(by_id[there]))
+            there = np.flatnonzero(by_pair)
+            row, column = np.divmod(there, COLUMNS + 1)
+            yield rows(len(there), word=pa.array(column), row=pa.array(row.astype(np.int32)), n=pa.array(by_pair[there].astype(np.int64)))
 
     return docs.select("doc_id", "text").mapInArrow(run, _SEEN)
 
 
-def _model_scores(spark: SparkSession, seen: DataFrame, model: Attention, counts: np.ndarray) -> DataFrame:
+def _model_scores(spark: SparkSession, seen: DataFrame, model: Attention, counts: np.ndarray, pairs: np.ndarray) -> DataFrame:
     """key, score (log10) of each distinct text."""
-    held = spark.sparkContext.broadcast(pickle.dumps((model, within(model, counts))))
+    held = spark.sparkContext.broadcast(pickle.dumps((model, *within(model, counts, pairs))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, inside = pickle.loads(held.value)
+        own, inside, other, share = pickle.loads(held.value)
         for batch in batches:
             coded = batch.column(1).to_pylist()
             scores = np.zeros(len(coded))
@@ -324,14 +338,19 @@ def _model_scores(spark: SparkSession, seen: DataFrame, model: Attention, counts
                     b += 1
                 ids, filled, text = _blocks([np.frombuffer(x, "<u2") for x in coded[a:b]])
                 before, first = _before(ids, text)
-                log = own.class_log(own.row[before], first, own.klass[ids]) + inside[own.kind[before], ids]
+                rows, klass, column = own.row[before], own.klass[ids], own.column[ids]
+                log = own.class_log(rows, first, klass)
+                rare = np.nonzero(column == COLUMNS)
+                column[rare] = 0
+                log += inside[rows, column]
+                log[rare] += other[rows[rare], klass[rare]] + share[ids[rare]] - inside[rows[rare], 0]
                 log[~filled] = 0
                 scores[a:b] = np.bincount(text, log.sum(1, dtype=np.float64), b - a) / np.log(10)
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["key", "score"])
 
-    rows = seen.filter("key IS NOT NULL").select("key", "ids").mapInArrow(run, "key binary, score double")
-    return rows.groupBy("key").agg(F.max("score").alias("score"))
+    texts = seen.filter("key IS NOT NULL").select("key", "ids").mapInArrow(run, "key binary, score double")
+    return texts.groupBy("key").agg(F.max("score").alias("score"))
 
 
 _LOOKED = "row long, doc_id long, key binary, held_out boolean, n_tokens long, known long, logs double, words array<long>, times array<int>"
@@ -392,12 +411,13 @@ def score_texts(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFra
     n_ids = TextEncoder.of_worker(tokenizer).n_vocabulary
     model = train(sample_windows(docs, tokenizer), n_ids)
     seen = materialize(spark, _count(docs, tokenizer, model), "seen")
-    counts = np.zeros((KINDS, n_ids))
-    # At most KINDS rows for each id of the vocabulary.
-    for r in seen.filter("kind IS NOT NULL").groupBy("word", "kind").agg(F.sum("n").alias("n")).collect():
-        counts[r["kind"], r["word"]] = r["n"]
-    end_count = int(counts[:, END_ID].sum())
-    words = seen.filter("word IS NOT NULL AND kind IS NULL").groupBy("word").agg(F.sum("n").alias("n"))
+    counts, pairs = np.zeros(n_ids), np.zeros((ROWS + CLASSES, COLUMNS + 1))
+    # At most a row for each id of the vocabulary and for each cell of pairs; packed, as most cells may be there.
+    cells = seen.filter("row IS NOT NULL").groupBy("row", "word").agg(F.sum("n").alias("n")).groupBy("row")
+    for r in cells.agg(F.collect_list("word").alias("word"), F.collect_list("n").alias("n")).toLocalIterator():
+        (counts if r["row"] < 0 else pairs[r["row"]])[r["word"]] = r["n"]
+    end_count = seen.filter("key IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words = seen.filter("word IS NOT NULL AND row IS NULL").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialize(spark, words, "word-counts")
     totals = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_tokens, n_distinct = totals["n"] + end_count, totals["v"] + (end_count > 0)
@@ -412,7 +432,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFra
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more_logs"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
     )
-    scores = _model_scores(spark, seen, model, counts)
+    scores = _model_scores(spark, seen, model, counts, pairs[:, :COLUMNS])
     out = looked.drop("words", "times").join(rest, "row", "left").join(scores, "key", "left")
     whole = float(np.log10(n_tokens + 0.1 * (n_distinct + 1)))
     return out.select(

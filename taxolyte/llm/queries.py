@@ -5,6 +5,7 @@ from __future__ import annotations
 from taxolyte.llm.chat_format import op5_chat_format
 from taxolyte.llm.decontamination import op2_decontamination
 from taxolyte.llm.html_extract import op1_html_extract
+from taxolyte.llm.lm_score import op8_lm_score
 from taxolyte.llm.near_dedup import op4_near_dedup
 from taxolyte.llm.packing import op7_packing
 from taxolyte.llm.pii import op10_pii
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
+    "op8_lm_score": op8_lm_score,
     "op9_token_store": op9_token_store,
     "op10_pii": op10_pii,
 }
