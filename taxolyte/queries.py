@@ -1,6 +1,10 @@
-"""All registered queries outside the training-data subpackage, with their SQL."""
+"""All registered queries outside the training-data subpackage, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from taxolyte.plans import jobs
+
+_ALL = {**jobs.QUERIES}
+
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
