@@ -36,3 +36,15 @@ def _jump(spark: SparkSession, labels: DataFrame, name: str) -> DataFrame:
         if labels.join(roots, "comp", "left_semi").isEmpty():
             return labels
         labels = materialize(spark, labels.join(roots, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), name)
+
+
+def relink(spark: SparkSession, labels: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
+    """labels (id, comp) after further links (a, b). Only new links are walked, between components."""
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    new = ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("comp"))
+    known = labels.unionByName(new)
+    across = links.join(known.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
+    across = across.join(known.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").filter("ca <> cb")
+    moved = connected(spark, across.select(F.col("ca").alias("a"), F.col("cb").alias("b")), name)
+    moved = moved.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return materialize(spark, known.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), name)

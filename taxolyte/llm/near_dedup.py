@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolyte.llm.common import materialize, table
-from taxolyte.llm.components import connected
+from taxolyte.llm.components import connected, relink
 from taxolyte.llm.words import Words, groups, shingles
 
 BANDS, ROWS = 26, 5
@@ -240,8 +240,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     ties = filled.join(several, "doc_id").join(nodes.select("fp", "id"), "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     links = links.unionByName(materialize(spark, ties.filter("a <> b"), "ties"))
     rows = buckets.select("band", "key", "id")
+    comps = connected(spark, links)
     for turn in range(STARS + 1):
-        comps = connected(spark, links)
         # Buckets in which different components still meet.
         named = rows.select("band", "key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp")))
@@ -253,9 +253,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
             found = _prune(_one_centre(rows.filter(F.col("comp") != F.col("c.comp")).select("id", F.col("c.id").alias("center"))), nodes, percent)
         else:
             found = _across(spark, rows.select("band", "key", "id", "comp"), nodes, percent)
-        fresh = materialize(spark, _verify(materialize(spark, found, "survivors"), docs, k, percent), "links")
-        links = links.unionByName(fresh)
-    comps = connected(spark, links)
+        comps = relink(spark, comps, materialize(spark, _verify(materialize(spark, found, "survivors"), docs, k, percent), "links"))
     out = sets.join(nodes.select("fp", "id"), "fp", "left").join(comps, "id", "left")
     component = F.coalesce("comp", "id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
