@@ -18,16 +18,16 @@ def partition_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """nmi (arithmetic mean), ari, n of two labelings of the rows, from their contingency counts."""
     cells = df.groupBy(truth, pred).agg(F.count("*").cast("double").alias("c"))
     n = cells.agg(F.sum("c").alias("n"))
-    rows, cols = (cells.groupBy(x).agg(F.sum("c").alias(s)) for x, s in ((truth, "a"), (pred, "b")))
+    rows, cols = (cells.groupBy(x).agg(F.sum("c").alias(s)) for x, s in ((truth, "_a"), (pred, "_b")))
 
     def entropy(part: DataFrame, c: str, name: str) -> DataFrame:
         p = F.col(c) / F.col("n")
         return part.join(F.broadcast(n)).agg(F.sum(-p * F.ln(p)).alias(f"h{name}"), F.sum(_choose2(F.col(c))).alias(f"s{name}"))
 
     full = cells.join(rows, truth).join(cols, pred).join(F.broadcast(n))
-    mi = F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("a") * F.col("b"))))
+    mi = F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("_a") * F.col("_b"))))
     one = full.agg(mi.alias("mi"), F.sum(_choose2(F.col("c"))).alias("s"), F.first("n").alias("n"))
-    one = one.join(F.broadcast(entropy(rows, "a", "a"))).join(F.broadcast(entropy(cols, "b", "b")))
+    one = one.join(F.broadcast(entropy(rows, "_a", "a"))).join(F.broadcast(entropy(cols, "_b", "b")))
     mean = (F.col("ha") + F.col("hb")) / 2
     expected = F.col("sa") * F.col("sb") / _choose2(F.col("n"))
     top = (F.col("sa") + F.col("sb")) / 2 - expected
