@@ -42,7 +42,7 @@ MU = 10.0
 TRAIN_DOCS, TRAIN_WINDOWS, WINDOW_BLOCKS = 4000, 16_000, 5
 STEPS, WINDOWS_A_STEP, STEP_SIZE = 160, 128, 0.02
 #: Words whose counts are broadcast (16 bytes each).
-HEAD = 262_144
+HEAD = 65_536
 _NEVER = np.float32(-1e9)
 
 
@@ -230,10 +230,10 @@ def within(model: Attention, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.
     ids = ids[np.argsort(model.column[ids])]
     klass = model.klass[ids]
     whole = np.zeros((len(pairs), CLASSES))
-    for c in range(CLASSES):
-        whole[:, c] = pairs[:, : len(ids)][:, klass == c].sum(1)
     table_ = np.zeros((len(pairs), COLUMNS), np.float32)
-    table_[:, : len(ids)] = np.log((pairs[:, : len(ids)] + MU * share[ids]) / (whole[:, klass] + MU))
+    for r, own in enumerate(pairs):  # row by row, so that no second table of this size is held
+        whole[r] = np.bincount(klass, own[: len(ids)], CLASSES)
+        table_[r, : len(ids)] = np.log((own[: len(ids)] + MU * share[ids]) / (whole[r, klass] + MU))
     return table_, np.log(MU / (whole + MU)).astype(np.float32), np.log(share).astype(np.float32)
 
 
@@ -411,20 +411,23 @@ def score_texts(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFra
     n_ids = TextEncoder.of_worker(tokenizer).n_vocabulary
     model = train(sample_windows(docs, tokenizer), n_ids)
     seen = materialize(spark, _count(docs, tokenizer, model), "seen")
-    counts, pairs = np.zeros(n_ids), np.zeros((ROWS + CLASSES, COLUMNS + 1))
-    # At most a row for each id of the vocabulary and for each cell of pairs; packed, as most cells may be there.
-    cells = seen.filter("row IS NOT NULL").groupBy("row", "word").agg(F.sum("n").alias("n")).groupBy("row")
-    for r in cells.agg(F.collect_list("word").alias("word"), F.collect_list("n").alias("n")).toLocalIterator():
-        (counts if r["row"] < 0 else pairs[r["row"]])[r["word"]] = r["n"]
+    counts, pairs = np.zeros(n_ids), np.zeros((ROWS + CLASSES, COLUMNS + 1), np.float32)
+    # At most a row for each id of the vocabulary and for each cell of pairs.
+    cells = seen.filter("row IS NOT NULL").groupBy("row", "word").agg(F.sum("n").alias("n")).toArrow()
+    for batch in cells.to_batches():
+        row, word, n = (np.asarray(batch.column(i)) for i in range(3))
+        counts[word[row < 0]] = n[row < 0]
+        pairs[row[row >= 0], word[row >= 0]] = n[row >= 0]
+    del cells
     end_count = seen.filter("key IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     words = seen.filter("word IS NOT NULL AND row IS NULL").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialize(spark, words, "word-counts")
     totals = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_tokens, n_distinct = totals["n"] + end_count, totals["v"] + (end_count > 0)
-    top = words.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    top = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    hashes = np.asarray(top.column("word")).astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    head = (hashes[order], np.array([r["n"] for r in top], np.float64)[order])
+    head = (hashes[order], np.asarray(top.column("n")).astype(np.float64)[order])
     looked = materialize(spark, _look_up(spark, docs, head, end_count), "looked-up")
     rest = looked.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times")
     rest = rest.join(words.withColumnRenamed("word", "words"), "words", "left")
