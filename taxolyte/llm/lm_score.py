@@ -408,7 +408,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFra
     Words are told apart by a 64-bit hash.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n_ids = TextEncoder.of_worker(tokenizer).n_vocabulary
+    n_ids = TextEncoder(tokenizer).n_vocabulary
     model = train(sample_windows(docs, tokenizer), n_ids)
     seen = materialize(spark, _count(docs, tokenizer, model), "seen")
     counts, pairs = np.zeros(n_ids), np.zeros((ROWS + CLASSES, COLUMNS + 1), np.float32)

@@ -36,7 +36,7 @@ BATCH = 26
 #: Probability of dropping a true link at one batch.
 MISS = 1e-6
 #: Rounds of stars before all pairs across components are compared, and members in a block of those.
-STARS, BLOCK = 4, 1024
+STARS, BLOCK = 2, 1024
 #: So many ids, 2 MB, may be broadcast; above, texts are joined without that filter.
 FEW_IDS = 250_000
 _rng = np.random.default_rng(20240613)

@@ -140,19 +140,19 @@ def _select_words(rows: DataFrame) -> np.ndarray:
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, steps: int = 300) -> np.ndarray:
     """Weights of an L2-penalized logistic model, by accelerated gradient steps."""
-    w = v = np.zeros(x.shape[1])
-    limit = 0.25 * _largest(x) / len(y) + penalty.max()
+    w = v = np.zeros(x.shape[1], x.dtype)
+    limit = np.float32(0.25 * _largest(x) / len(y) + penalty.max())
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
         new = v - (x.T @ (p - y) / len(y) + penalty * v) / limit
-        v = new + k / (k + 3) * (new - w)
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
 
 def _largest(x: np.ndarray) -> float:
     """The largest eigenvalue of x'x, slightly over."""
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], x.dtype)
     for _ in range(30):
         u = x.T @ (x @ v)
         v = u / (np.linalg.norm(u) or 1)
@@ -183,23 +183,24 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
                 )
                 at += len(group)
 
-    data = rows.mapInArrow(run, "dense array<double>, words array<long>, bad int, toxic int").collect()
+    data = rows.mapInArrow(run, "dense array<double>, words array<long>, bad int, toxic int").toArrow().combine_chunks()
     n = len(data)
-    dense = np.array([r["dense"] for r in data]).reshape(n, DENSE)
+    lists = data.column("words").combine_chunks() if n else None
+    dense = pc.list_flatten(data.column("dense")).to_numpy().reshape(n, DENSE)
     mean, scale = (dense.mean(0), dense.std(0) + 1e-6) if n else (np.zeros(DENSE), np.ones(DENSE))
-    x = np.zeros((n, DENSE + len(known) + 1))
+    x = np.zeros((n, DENSE + len(known) + 1), np.float32)
     if n:
         x[:, :DENSE] = (dense - mean) / scale
         x[:, -1] = 1
-        for i, r in enumerate(data):
-            x[i, [DENSE + w for w in r["words"]]] = 1
-    penalty = np.full(x.shape[1], 1e-4)
+        text = np.repeat(np.arange(n), np.asarray(pc.list_value_length(lists)))
+        x[text, DENSE + np.asarray(pc.list_flatten(lists))] = 1
+    penalty = np.full(x.shape[1], 1e-4, np.float32)
     penalty[-1] = 0
     w = np.zeros((x.shape[1], len(HEADS)))
     w[-1] = -7
     bad = np.zeros(n, bool)
     for h, head in enumerate(HEADS):
-        y = np.array([r[head] for r in data], float)
+        y = np.asarray(data.column(head)).astype(np.float32)
         bad |= y > 0
         if 0 < y.sum() < n:
             w[:, h] = _logistic(x, y, penalty)
