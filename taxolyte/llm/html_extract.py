@@ -48,7 +48,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _RAW = "|".join(RAW)
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|</?[A-Za-z][^>]*\Z|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -56,42 +56,46 @@ _WORD = re.compile(r"[a-z]+")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: Hosts whose partial wrappers a task holds at once, and parts of a host that the first merge keeps apart.
 HELD_HOSTS, PARTS = 5000, 64
-#: Distinct pages from which on a slot that never varies counts as the site's own text.
+#: Depth from which on elements are not told apart.
+DEPTH = 100
+#: Texts from which on a slot that never varies counts as the site's own text, if pages differ.
 CONSTANT_PAGES = 3
 #: Wrappers that may be broadcast, in rows and characters.
 FEW_HOSTS, FEW_CHARS = 50_000, 32_000_000
 
 
-def scan(page: str) -> Iterator[tuple[tuple[str, ...] | None, str, bool]]:
-    """(path, text, in a link) of each text, and (None, '', False) at each block boundary.
+def scan(page: str) -> Iterator[tuple[tuple[str, ...] | None, str, bool, tuple[int, ...]]]:
+    """(path, text, in a link, numbers of the path's elements) of each text; the path is None at each block boundary.
 
     A path is the chain of block elements, as tag or tag.name; inline elements are in it only if their
     names mark them as something to drop.
     """
     stack: list[tuple[str, str | None]] = []  # tag, element in the path
     path: list[str] = []
-    links = 0
+    numbers: list[int] = []
+    links = opened = 0
 
     def pop() -> None:
         nonlocal links
         tag, element = stack.pop()
         if element is not None:
             path.pop()
+            numbers.pop()
         links -= tag == "a"
 
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
-            yield tuple(path), html.unescape(text) if "&" in text else text, links > 0
+            yield tuple(path), html.unescape(text) if "&" in text else text, links > 0, tuple(numbers)
             continue
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
         block = tag not in INLINE
         if tag == "br":
-            yield tuple(path), " ", links > 0
+            yield tuple(path), " ", links > 0, tuple(numbers)
             continue
         if block:
-            yield None, "", False
+            yield None, "", False, ()
         if m["end"]:
             if any(t == tag for t, _ in stack):
                 while stack[-1][0] != tag:
@@ -120,10 +124,14 @@ def scan(page: str) -> Iterator[tuple[tuple[str, ...] | None, str, bool]]:
             element = f"{tag}.-{first}"  # the minus sign: named as not the article
         elif words & MAIN_WORDS:
             element = f"{tag}.+{first}"
-        in_path = block or words & DROP_WORDS
+        # Elements nested deeper than any layout belong to the one above; those that drop text still count.
+        drops = tag in DROP or bool(words & DROP_WORDS)
+        in_path = (block and len(path) < DEPTH) or (drops and len(path) < 2 * DEPTH)
         stack.append((tag, element if in_path else None))
         if in_path:
             path.append(element)
+            opened += 1
+            numbers.append(opened)
         links += tag == "a"
 
 
@@ -147,7 +155,7 @@ def _rank(path: tuple[str, ...] | list[str]) -> int:
 
 
 # A wrapper element is [name, optional, repeated, children]; a slot is ["#", optional, repeated, statistics]
-# with statistics [characters, characters in links, least and greatest text hash]; a group of several
+# with statistics [characters, characters in links, least and greatest text hash, texts]; a group of several
 # repeated elements is ["()", optional, True, children].
 
 
@@ -155,21 +163,21 @@ def build(page: str) -> list:
     """The wrapper of one page: ["", False, False, children]."""
     root: list = ["", False, False, []]
     open_: list[list] = [root]
-    path: list[str] = []
-    for where, text, link in scan(page):
+    last: tuple[int, ...] = ()
+    for where, text, link, numbers in scan(page):
         if where is None or not text.strip():
             continue
         common = 0
-        while common < min(len(path), len(where)) and path[common] == where[common]:
+        while common < min(len(last), len(numbers)) and last[common] == numbers[common]:
             common += 1
         del open_[common + 1 :]
         for element in where[common:]:
             node: list = [element, False, False, []]
             open_[-1][3].append(node)
             open_.append(node)
-        path = list(where)
+        last = numbers
         n, h = len(text.strip()), xxhash.xxh3_64_intdigest(text.strip()) >> 1
-        open_[-1][3].append(["#", False, False, [n, n if link else 0, h, h]])
+        open_[-1][3].append(["#", False, False, [n, n if link else 0, h, h, 1]])
     todo = [root]
     order = []
     while todo:
@@ -215,17 +223,38 @@ def fold(nodes: list) -> list:
     return nodes
 
 
+def _pooled(x: list, y: list) -> list:
+    return [x[0] + y[0], x[1] + y[1], min(x[2], y[2]), max(x[3], y[3]), x[4] + y[4]]
+
+
 def merge(a: list, b: list, repeated: bool = False) -> list:
     """The element that stands for both of two equally named ones."""
     flags = [a[1] or b[1], a[2] or b[2] or repeated]
     if a[0] == "#":
         x, y = a[3], b[3]
-        return ["#", *flags, [x[0] + y[0], x[1] + y[1], min(x[2], y[2]), max(x[3], y[3])]]
+        return ["#", *flags, _pooled(x, y)]
     return [a[0], *flags, align(a[3], b[3])]
 
 
+def _grouped(nodes: list, other: list) -> list:
+    """nodes with runs that other has as a repeated group made into that group."""
+    for group in (x for x in other if x[0] == "()"):
+        names = [x[0] for x in group[3]]
+        out, i = [], 0
+        while i < len(nodes):
+            if [x[0] for x in nodes[i : i + len(names)]] == names:
+                out.append(["()", False, False, nodes[i : i + len(names)]])
+                i += len(names)
+            else:
+                out.append(nodes[i])
+                i += 1
+        nodes = out
+    return nodes
+
+
 def align(a: list, b: list) -> list:
     """Two lists of elements as one: equal ones merged in a longest common order, the rest optional."""
+    a, b = _grouped(a, b), _grouped(b, a)
     head = 0
     while head < min(len(a), len(b)) and _same(a[head], b[head]):
         head += 1
@@ -267,7 +296,7 @@ def slots(wrapper: list) -> dict[tuple[str, ...], list]:
             if child[0] == "#":
                 s = out.get(path)
                 t = child[3]
-                out[path] = t if s is None else [s[0] + t[0], s[1] + t[1], min(s[2], t[2]), max(s[3], t[3])]
+                out[path] = t if s is None else _pooled(s, t)
             else:
                 todo.append((path if child[0] == "()" else (*path, child[0]), child))
     return out
@@ -282,7 +311,7 @@ def decide(wrapper: list, varied: bool) -> tuple[list[str], list[str]]:
     open_ = {p: s for p, s in slots(wrapper).items() if not _dropped(p)}
     best = max((_rank(p) for p in open_), default=0)
     inside = [p for p in open_ if best and _rank(p) == best]
-    others = [p for p, s in open_.items() if 2 * s[1] <= s[0] and (not varied or s[2] != s[3])]
+    others = [p for p, s in open_.items() if 2 * s[1] <= s[0] and not (varied and s[4] >= CONSTANT_PAGES and s[2] == s[3])]
     return ["/".join(p) for p in inside], ["/".join(p) for p in others]
 
 
@@ -302,7 +331,7 @@ def extract(page: str | None, inside: set[str], others: set[str]) -> str:
                     out.append(text)
                 parts.clear()
 
-    for path, text, _ in scan(page):
+    for path, text, _, _ in scan(page):
         if path is None:
             flush()
             continue
@@ -371,7 +400,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def final(table: pa.Table) -> pa.Table:
         x = _merged(table)
-        inside, others = decide(x["wrapper"][0], x["pages"][0] >= CONSTANT_PAGES and x["lo"] != x["hi"])
+        inside, others = decide(x["wrapper"][0], x["lo"] != x["hi"])
         strings = pa.list_(pa.string())
         return pa.table(
             {"host": x["host"], "pages": x["pages"], "wrapper": [render(x["wrapper"][0])], "inside": pa.array([inside], strings), "others": pa.array([others], strings)}

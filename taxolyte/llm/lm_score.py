@@ -42,7 +42,9 @@ MU = 10.0
 TRAIN_DOCS, TRAIN_WINDOWS, WINDOW_BLOCKS = 4000, 16_000, 5
 STEPS, WINDOWS_A_STEP, STEP_SIZE = 160, 128, 0.02
 #: Words whose counts are broadcast (16 bytes each).
-HEAD = 65_536
+HEAD = 131_072
+#: Characters of texts that a worker handles at a time.
+GROUP_CHARS = 6_000_000
 _NEVER = np.float32(-1e9)
 
 
@@ -53,7 +55,8 @@ def held_out(doc_id: int | None) -> bool:
 
 @dataclass
 class Attention:
-    """Row, column (COLUMNS if it has none) and class of each id, and weights. query, key and value are by row."""
+    """Row, column (COLUMNS if it has none) and class of each id, and weights. query, key and value are by row;
+    the last column of value is 1, so that weighted sums of values hold the sum of weights too."""
 
     row: np.ndarray
     column: np.ndarray
@@ -81,13 +84,12 @@ class Attention:
             s += self.place
             s[first[a:b], :, :BLOCK] = _NEVER
             np.exp(s, out=s)
-            mixed = np.matmul(s, v)
-            mixed /= s.sum(2, keepdims=True)
-            logits = mixed.reshape(-1, WIDTH) @ self.out
+            mixed = np.matmul(s, v).reshape(-1, WIDTH + 1)
+            logits = (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ self.out
             logits += self.direct[rows[a:b].ravel()]
             chosen = logits[np.arange(len(logits)), target[a:b].ravel()]
             np.exp(logits, out=logits)
-            out[a:b] = (chosen - np.log(logits.sum(1))).reshape(-1, BLOCK)
+            out[a:b] = (chosen - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(-1, BLOCK)
         return out
 
 
@@ -214,7 +216,7 @@ def train(windows: np.ndarray, n_vocabulary: int) -> Attention:
     f32 = np.float32
     return Attention(
         row.astype(np.int32), column.astype(np.int32), klass.astype(np.int32), (w["e"] @ w["q"] / np.sqrt(WIDTH)).astype(f32),
-        (w["e"] @ w["k"]).astype(f32), (w["e"] @ w["v"]).astype(f32), w["direct"].astype(f32), w["out"].astype(f32), (w["near"][near_at] + causal).astype(f32),
+        (w["e"] @ w["k"]).astype(f32), np.concatenate([w["e"] @ w["v"], np.ones((n_rows, 1))], 1).astype(f32), w["direct"].astype(f32), w["out"].astype(f32), (w["near"][near_at] + causal).astype(f32),
     )
 
 
@@ -284,7 +286,7 @@ def _count(docs: DataFrame, tokenizer: str, model: Attention) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
-            for group in groups(batch.column(1).to_pylist()):
+            for group in groups(batch.column(1).to_pylist(), GROUP_CHARS):
                 train_ = np.fromiter((not held_out(d) for d in ids[at : at + len(group)]), bool, len(group))
                 at += len(group)
                 words = Words(group)
@@ -366,7 +368,7 @@ def _look_up(spark: SparkSession, docs: DataFrame, head: tuple[np.ndarray, np.nd
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
-            for group in groups(batch.column(1).to_pylist()):
+            for group in groups(batch.column(1).to_pylist(), GROUP_CHARS):
                 n = len(group)
                 words = Words(group)
                 each = np.fromiter(map(xxhash.xxh3_64_intdigest, words.distinct.to_pylist()), np.uint64, len(words.distinct))

@@ -33,7 +33,7 @@ BASE = (
 )
 EXTRA = (
     ("account", "[0-9]", r"(?<![0-9A-Za-z.])[0-9](?:[\x20\-]?[0-9]){8,18}+(?![0-9A-Za-z])"),
-    ("phone_like", "[0-9]", r"(?<![0-9+A-Za-z])\(?[0-9]{2,4}\)?[\x20.\-][0-9]{3,4}[\x20.\-][0-9]{3,4}(?![0-9A-Za-z])"),
+    ("phone_like", "[0-9]", r"(?<![0-9+A-Za-z]|[0-9][\x20.\-])\(?[0-9]{2,4}\)?[\x20.\-][0-9]{3,4}[\x20.\-][0-9]{3,4}(?![0-9A-Za-z]|[\x20.\-][0-9])"),
     ("national_id", "[0-9]", r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"),
     ("iban", "[0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
     ("secret", "[0-9]", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+"),
