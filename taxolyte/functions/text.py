@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Role suffixes by variant, stripped in order, and the punctuation that keys drop.
 ROLE_SUFFIXES = (
@@ -50,7 +51,7 @@ OTHER = "기타"
 _EDGE_SPACE = r"(?U)^\s+|\s+\z"
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def _nfkc(text):
     return None if text is None else unicodedata.normalize("NFKC", text)
 

@@ -62,7 +62,7 @@ def h4_clusters(spark: SparkSession, d: str) -> Result:
 
 
 def h5_revision(spark: SparkSession, d: str) -> Result:
-    """Revision years differ between majors; the Gini of years is reported by `revision_gini`."""
+    """Revision years differ between majors."""
     return _kruskal("h5", _metrics(spark, d), "major", "mean_rev_year", 0.06)
 
 
