@@ -149,10 +149,10 @@ def train(windows: np.ndarray, n_vocabulary: int) -> Attention:
     klass = np.arange(n_vocabulary) % CLASSES
     klass[known] = _cluster(points, CLASSES)
     row = ROWS + klass
-    row[order[:ROWS]] = np.arange(ROWS)
+    row[order[:ROWS]] = np.arange(len(order[:ROWS]))
     n_rows = ROWS + CLASSES
     column = np.full(n_vocabulary, COLUMNS)
-    column[order[:COLUMNS]] = np.arange(COLUMNS)
+    column[order[:COLUMNS]] = np.arange(len(order[:COLUMNS]))
 
     r, t = row[windows[:, :-1]], klass[windows[:, 1:]]
     follow = np.bincount(r.ravel() * CLASSES + t.ravel(), minlength=n_rows * CLASSES).reshape(-1, CLASSES) + 0.0
