@@ -31,10 +31,11 @@ from taxolyte.llm.components import connected, relink
 from taxolyte.llm.words import Words, groups, shingles
 
 BANDS, ROWS = 26, 5
-HASHES = BANDS * ROWS
+#: Hashes of a signature: those of the bands, and as many that only comparisons use.
+HASHES = 2 * BANDS * ROWS
 BATCH = 26
-#: Probability of dropping a true link at one batch.
-MISS = 1e-6
+#: Posterior probability of a link below which a pair is dropped at a batch.
+MISS = 3e-4
 #: Rounds of stars before all pairs across components are compared, and members in a block of those.
 STARS, BLOCK = 2, 1024
 #: So many ids, 2 MB, may be broadcast; above, texts are joined without that filter.
@@ -196,7 +197,7 @@ def _across(spark: SparkSession, rows: DataFrame, nodes: DataFrame, percent: int
     def cell(table: pa.Table) -> pa.Table:
         ids, comps, n, blocks = (np.asarray(table.column(c)) for c in ("id", "comp", "n_shingles", "block"))
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
-        bands = signatures.reshape(len(ids), BANDS, ROWS)
+        bands = signatures[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS)
         one, band = table.column("cell")[0].as_py(), table.column("band")[0].as_py()
         left, right = np.flatnonzero(blocks == one["i"]), np.flatnonzero(blocks == one["j"])
         a, b = [], []
