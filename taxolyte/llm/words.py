@@ -23,8 +23,10 @@ def groups(texts: Iterable[str | None], chars: int = 3_000_000) -> Iterator[list
         if size >= chars:
             yield group
             group, size = [], 0
+            pa.default_memory_pool().release_unused()
     if group:
         yield group
+        pa.default_memory_pool().release_unused()
 
 
 class Words:
