@@ -7,6 +7,7 @@ from taxolyte.llm.decontamination import op2_decontamination
 from taxolyte.llm.html_extract import op1_html_extract
 from taxolyte.llm.lm_score import op8_lm_score
 from taxolyte.llm.near_dedup import op4_near_dedup
+from taxolyte.llm.oracles import CHAT_FORMAT, QUALITY_RULES
 from taxolyte.llm.packing import op7_packing
 from taxolyte.llm.pii import op10_pii
 from taxolyte.llm.quality_classifier import op6_quality_classifier
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_quality_rules": QUALITY_RULES, "op5_chat_format": CHAT_FORMAT}
