@@ -44,7 +44,7 @@ STEPS, WINDOWS_A_STEP, STEP_SIZE = 160, 128, 0.02
 #: Words whose counts are broadcast (16 bytes each).
 HEAD = 131_072
 #: Characters of texts that a worker handles at a time.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 3_000_000
 _NEVER = np.float32(-1e9)
 
 
