@@ -54,7 +54,8 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     spine = jobs(spark, d).select("job", "job_name", "major", "middle").distinct()
     u = units(spark, d).groupBy("job").agg(
         F.count("*").alias("n_units"),
-        F.avg("o_totalprice").alias("mean_level"),
+        # From whole cents, so that no order of summation shows.
+        (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*") / F.lit(100.0)).alias("mean_level"),
         F.avg((F.col("o_totalprice") >= LEVEL5).cast("int")).alias("rate_l5plus"),
         F.avg(F.year("o_orderdate")).alias("mean_rev_year"),
         F.avg((F.year("o_orderdate") >= 1998).cast("int")).alias("rate_rev"),
@@ -77,7 +78,7 @@ METRICS_SQL = (
     + JOBS_SQL
     + """,
 spine AS (SELECT DISTINCT job, job_name, major, middle FROM jobs),
-u AS (SELECT job, count(*) AS n_units, avg(o_totalprice) AS mean_level, avg((o_totalprice >= 250000)::INT) AS rate_l5plus, avg(year(o_orderdate)) AS mean_rev_year,
+u AS (SELECT job, count(*) AS n_units, sum(round(o_totalprice * 100)::BIGINT)::BIGINT / count(*) / 100::DOUBLE AS mean_level, avg((o_totalprice >= 250000)::INT) AS rate_l5plus, avg(year(o_orderdate)) AS mean_rev_year,
   avg((year(o_orderdate) >= 1998)::INT) AS rate_rev, count(*) FILTER (WHERE NOT regexp_matches(o_orderstatus, '^[FO]$')) AS n_units_nocode FROM units GROUP BY job),
 c AS (SELECT job, count(*) AS n_pc, avg((l_returnflag = 'N')::INT) AS template_rate, avg(length(p_name)) AS mean_pc_len FROM items GROUP BY job),
 k AS (SELECT job, count(*) AS n_ksa, count(DISTINCT p_type || '#' || p_name) AS n_ksa_unique, avg(regexp_matches(p_name, 'steel|bolt|gear')::INT) AS digital_a,
@@ -86,15 +87,15 @@ metrics AS (SELECT spine.*, u.* EXCLUDE (job), c.* EXCLUDE (job), k.* EXCLUDE (j
   FROM spine LEFT JOIN u USING (job) LEFT JOIN c USING (job) LEFT JOIN k USING (job))
 """
 )
-_RATES = ("mean_level", "rate_l5plus", "mean_rev_year", "rate_rev", "template_rate", "mean_pc_len", "digital_a", "digital_b", "unique_rate")
+_RATES = ("rate_l5plus", "mean_rev_year", "rate_rev", "template_rate", "mean_pc_len", "digital_a", "digital_b", "unique_rate")
 
 
 def unit_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The metric table: one row per job from three aggregates that are joined to the jobs."""
-    return _metrics(spark, d).withColumns({c: F.round(c, 2 if c == "mean_level" else 6) for c in _RATES})
+    return _metrics(spark, d).withColumns({c: F.round(c, 6) for c in _RATES})
 
 
-UNIT_METRICS = METRICS_SQL + "SELECT * REPLACE (" + ", ".join(f"round({c}, {2 if c == 'mean_level' else 6}) AS {c}" for c in _RATES) + ") FROM metrics"
+UNIT_METRICS = METRICS_SQL + "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in _RATES) + ") FROM metrics"
 
 
 def classification_paths(spark: SparkSession, d: str) -> DataFrame:
