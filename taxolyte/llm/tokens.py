@@ -42,7 +42,7 @@ class TextEncoder:
     then forgotten, which bounds memory without changing results.
     """
 
-    def __init__(self, path: str, max_entries: int = 600_000):
+    def __init__(self, path: str, max_entries: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -55,7 +55,7 @@ class TextEncoder:
         self._forget()
 
     @classmethod
-    def of_worker(cls, path: str, max_entries: int = 600_000) -> TextEncoder:
+    def of_worker(cls, path: str, max_entries: int = 250_000) -> TextEncoder:
         """One encoder for all tasks of a worker process."""
         if (path, max_entries) not in _encoders:
             _encoders[path, max_entries] = cls(path, max_entries)
@@ -104,7 +104,7 @@ class TextEncoder:
             index.update(zip(new, range(first, first + len(new)), strict=True))
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
-    def encode_many(self, texts: Iterable[str | None], group_chars: int = 4_000_000) -> Iterator[bytes]:
+    def encode_many(self, texts: Iterable[str | None], group_chars: int = 3_000_000) -> Iterator[bytes]:
         """The ids of each whole text as little-endian 32-bit integers, without an end id; null is empty.
 
         Texts are taken in groups of about group_chars characters.

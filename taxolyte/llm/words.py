@@ -13,7 +13,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def groups(texts: Iterable[str | None], chars: int = 3_000_000) -> Iterator[list[str]]:
+def groups(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
     """Texts in lists of about so many characters; null is empty."""
     group: list[str] = []
     size = 0
