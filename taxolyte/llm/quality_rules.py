@@ -7,8 +7,8 @@ DELTA / (strata * rules), a Bonferroni correction over all families; within a fa
 are those above a point, so fixed-sequence testing from lenient to strict needs no further correction. So
 with probability 1 - DELTA no stratum loses more than ALPHA of its good texts. Of the certified cutoffs
 the one with the most gain (share of bad texts rejected less GUARD times that of good ones) is taken, the
-most lenient of equals, and none if no gain is positive. A stratum without a certified cutoff takes that of all texts
-together.
+most lenient of equals, and none if no gain is positive. Where a stratum's own texts choose none, the cutoff chosen on
+all texts together applies if the stratum's own texts certify it by the same test; else the rule rejects nothing there.
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ def binomial_tail(x: Column, n: Column, rate: float) -> Column:
 
 
 def fit_cutoffs(metrics: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, cutoffs: a cutoff per rule, null where none is certified.
+    """stratum, cutoffs: a cutoff per rule that the stratum's own texts certify, and no row or entry where there is none.
 
     labels: doc_id, quality (1 good, 0 bad); a document with several labels counts as bad if one is 0,
     and null labels are ignored. All labelled documents that pass the base rule are used.
@@ -170,39 +170,42 @@ def fit_cutoffs(metrics: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     )
     families = counts.agg((F.count_distinct("stratum") * len(RULES)).alias("families"))
     gain = F.col("y") * F.col("n_good") - GUARD * F.col("x") * F.col("n_bad")
+    certain = binomial_tail(F.col("x"), F.col("n_good"), alpha / len(RULES)) <= delta / F.col("families")
     certified = (
         sums.join(F.broadcast(families))
         .filter("cutoff > 0")
         .withColumn("gain", gain)
         .filter("gain > 0")
-        .filter(binomial_tail(F.col("x"), F.col("n_good"), alpha / len(RULES)) <= delta / F.col("families"))
+        .filter(certain)
     )
     best = certified.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff"))["cutoff"].alias("cutoff"))
+    # The pooled cutoff is one of the nested cutoffs of each stratum's family, so its test needs no further correction.
+    pooled = best.filter(F.col("stratum") == POOLED).select("rule", "cutoff")  # a row per rule at most
+    tried = counts.filter(F.col("stratum") != POOLED).join(F.broadcast(pooled), "rule").groupBy("stratum", "rule", "cutoff")
+    tried = tried.agg(F.sum(F.when(F.col("bin") >= F.col("cutoff"), F.col("good")).otherwise(0)).alias("x"), F.sum("good").alias("n_good"))
+    shared = tried.join(F.broadcast(families)).filter(certain).select("stratum", "rule", "cutoff", F.lit(1).alias("order"))
+    both = best.filter(F.col("stratum") != POOLED).select("stratum", "rule", "cutoff", F.lit(0).alias("order")).unionByName(shared)
+    best = both.groupBy("stratum", "rule").agg(F.min(F.struct("order", "cutoff"))["cutoff"].alias("cutoff"))
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
 def judge(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """metrics with kept: false if base_failed or if a rule rejects.
 
-    A rule takes its stratum's cutoff, else that of all texts. cutoffs has at most a row per stratum with
-    labelled documents (languages); it is broadcast by size only.
+    A rule takes its stratum's cutoff and rejects nothing in a stratum without one. cutoffs has at most a row per
+    stratum with labelled documents (languages); it is broadcast by size only.
     """
-    pooled = cutoffs.filter(F.col("stratum") == POOLED).agg(F.first("cutoffs").alias("pooled"))
-    own = cutoffs.filter(F.col("stratum") != POOLED).withColumnRenamed("stratum", "lang").withColumnRenamed("cutoffs", "own")
-    both = metrics.join(own, "lang", "left").join(F.broadcast(pooled))  # one row
+    own = cutoffs.withColumnRenamed("stratum", "lang").withColumnRenamed("cutoffs", "own")
+    both = metrics.join(own, "lang", "left")
     empty = F.create_map().cast("map<int,int>")
     rejects = [
-        F.coalesce(
-            F.get("bins", F.lit(k))
-            >= F.coalesce(F.try_element_at(F.coalesce("own", empty), F.lit(k)), F.try_element_at(F.coalesce("pooled", empty), F.lit(k))),
-            F.lit(False),
-        )
+        F.coalesce(F.get("bins", F.lit(k)) >= F.try_element_at(F.coalesce("own", empty), F.lit(k)), F.lit(False))
         for k in range(len(RULES))
     ]
     kept = ~F.col("base_failed")
     for r in rejects:
         kept = kept & ~r
-    return both.withColumn("kept", kept).drop("own", "pooled")
+    return both.withColumn("kept", kept).drop("own")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

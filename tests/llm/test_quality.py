@@ -66,6 +66,20 @@ def test_rules_keep_good_and_reject_bad(spark):
     assert all(out[i] == (i % 6 != 0) for i in out)
 
 
+def test_rules_reject_only_what_the_stratum_certifies(spark):
+    docs, labels = labelled(spark)
+    text = " ".join(f"word{i}###" for i in range(90))
+    few = [(9000 + i, text.replace("word", f"x{i}"), "xx", "s1") for i in range(6)]  # a small language with good texts alone
+    docs = docs.unionByName(spark.createDataFrame([*few, (9100, few[0][1], "en", "s1"), (9101, few[0][1], "zz", "s1")], docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(i, 1, 0) for i, *_ in few], labels.schema))
+    m = qr.base_metrics(docs)
+    out = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in qr.judge(m, qr.fit_cutoffs(m, labels)).collect()}
+    assert not any(out[i][0] for i in range(9000, 9006)) and not out[9100][0]
+    assert all(out[i][1] for i in range(9000, 9006)) and out[9101][1]
+    # en has no bad labels, but enough good ones to certify the cutoff of all texts.
+    assert not out[9100][1] and not any(out[i][1] for i in range(0, 2400, 6))
+
+
 def test_rules_without_labels_or_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
     m = qr.base_metrics(odd_docs)
