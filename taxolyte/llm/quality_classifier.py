@@ -10,8 +10,9 @@ base rate's) times its path's odds.
 
 from __future__ import annotations
 
+import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +27,8 @@ from taxolyte.llm.words import Words, groups, shingles
 
 #: Labelled documents that the models are fitted on at most, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Words that each model may use, and the documents and chi-square that a word must have.
-MODEL_WORDS, LEAST_DOCS, LEAST_CHI2 = 256, 8, 15.0
+#: Words that each model may use, and the chi-square that a word must have; its exact tail must be as small.
+MODEL_WORDS, LEAST_CHI2 = 256, 15.0
 REJECT = 0.5
 #: Rows of a rate table that may be broadcast (a few MB); a larger one is joined by shuffle.
 FEW_SITES = 100_000
@@ -105,6 +106,19 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     return texts.join(F.broadcast(chosen), "doc_id").select("text", F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
+def _tails(n: np.ndarray, k: np.ndarray, rows: int, yes: int) -> np.ndarray:
+    """The smaller hypergeometric tail, doubled: of k labelled ones among n of so many rows, yes of them labelled."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, rows + 1)))])
+    choose = lambda a, b: log[a] - log[b] - log[a - b]
+    pairs, which = np.unique(np.stack([n, k], 1), axis=0, return_inverse=True)
+    out = np.ones(len(pairs))
+    for i, (m, x) in enumerate(pairs.tolist()):
+        least, most = max(0, m - (rows - yes)), min(m, yes)
+        j = np.arange(x, most + 1) if x * rows > m * yes else np.arange(least, x + 1)
+        out[i] = 2 * np.exp(choose(yes, j) + choose(rows - yes, m - j) - choose(rows, m)).sum()
+    return out[which.ravel()]
+
+
 def _select_words(rows: DataFrame) -> np.ndarray:
     """Hashes of the words whose presence tells most about either label."""
 
@@ -123,9 +137,20 @@ def _select_words(rows: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *map(pa.array, sums)], ["word", "n", "bad", "toxic"])
                 at += len(group)
 
+    def certain(size: int, yes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Of word, n, k, chi2 the words whose exact tail is as small as that of LEAST_CHI2, which few documents need."""
+        least = math.erfc(math.sqrt(LEAST_CHI2 / 2))
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, k = (np.asarray(batch.column(i)).astype(np.int64) for i in (1, 2))
+                yield batch.select(["word", "chi2"]).filter(pa.array(_tails(n, k, size, yes) <= least))
+
+        return keep
+
     totals = rows.agg(F.count("*").alias("rows"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic")).first()
     counts = rows.mapInArrow(run, "word long, n long, bad long, toxic long").groupBy("word")
-    counts = counts.agg(*(F.sum(c).alias(c) for c in ("n", *HEADS))).filter(F.col("n") >= LEAST_DOCS)
+    counts = counts.agg(*(F.sum(c).alias(c) for c in ("n", *HEADS)))
     found: set[int] = set()
     for head in HEADS:
         yes = totals[head] or 0
@@ -133,7 +158,8 @@ def _select_words(rows: DataFrame) -> np.ndarray:
         if 0 < rate < 1:
             gap = F.col(head) - F.col("n") * rate
             chi2 = gap * gap / (F.col("n") * rate * (1 - rate)) * totals["rows"] / F.greatest(totals["rows"] - F.col("n"), F.lit(1))
-            top = counts.select("word", chi2.alias("chi2")).filter(F.col("chi2") >= LEAST_CHI2)
+            top = counts.select("word", "n", F.col(head).alias("k"), chi2.alias("chi2")).filter(F.col("chi2") >= LEAST_CHI2)
+            top = top.mapInArrow(certain(totals["rows"], yes), "word long, chi2 double")
             found |= {r["word"] for r in top.orderBy(F.desc("chi2"), "word").limit(MODEL_WORDS).collect()}
     return np.unique(np.array(sorted(found), np.int64).view(np.uint64))
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from math import comb
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from taxolyte.llm import quality_classifier as qc
@@ -101,6 +102,22 @@ def test_classifier(spark):
     assert kept == {i for i, k in out.items() if k}
 
 
+def test_few_toxic_texts_tell_their_words(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    rows = [(i, " ".join([*rng.choices(words, k=60), *(["scum", "vile"] if i % 15 == 0 else rng.choices(words, k=2))]), "en", "s") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    # 6 of 90 labelled texts are toxic.
+    labels = spark.createDataFrame([(i, 1, int(i % 15 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["kept"] for r in qc.classify(spark, docs, labels).collect()}
+    unseen = range(90, 180)
+    assert not any(out[i] for i in unseen if i % 15 == 0)
+    assert sum(out[i] for i in unseen if i % 15) >= 82
+    found = qc._tails(np.array([5, 1, 8, 40]), np.array([5, 1, 2, 0]), 87, 11)
+    exact = [comb(11, 5) / comb(87, 5), 11 / 87, sum(comb(11, j) * comb(76, 8 - j) for j in range(2, 9)) / comb(87, 8), comb(76, 40) / comb(87, 40)]
+    assert np.allclose(found, 2 * np.array(exact))
+
+
 def test_sites_shrink(spark):
     rows = [("big", "x", 0.5)] * 400 + [("low", "x", 0.1)] * 400 + [("one", "x", 1.0)]
     r = {x["host"]: x["path_rate"] for x in qc.site_rates(spark.createDataFrame(rows, "host string, path string, p_document double")).collect()}
