@@ -38,16 +38,27 @@ def stratified(df: DataFrame, stratum: str, ids: list[str], k: int, seed: int =
 
 
 def transitive_sample(clusters: DataFrame, edges: DataFrame, k: int, seed: int = 20260909) -> DataFrame:
-    """i, j, comp: one pair without an edge from each of k clusters, clusters and pairs in hash order.
+    """i, j, comp: one pair without an edge from each of k clusters that have one, clusters in hash order.
 
-    Each cluster offers its members next to each other in hash order, at most its size, not all pairs.
+    Pairs are uniform within a cluster: a node is drawn by its number of members that it has no edge to, then one
+    of these. Nodes race with exponential times, so members and edges are only grouped and all pairs never made.
     """
-    w = Window.partitionBy("comp").orderBy(order_of(seed, "node"), "node")
-    rows = clusters.withColumn("next", F.lead("node").over(w)).filter("next IS NOT NULL")
-    offers = rows.select(F.least("node", "next").alias("i"), F.greatest("node", "next").alias("j"), "comp")
-    offers = offers.join(edges.select("i", "j"), ["i", "j"], "left_anti")
-    one = stratified(offers, "comp", ["i", "j"], 1, seed)
-    return one.orderBy(order_of(seed, "comp"), "comp").limit(k).select("i", "j", "comp")
+    members = clusters.select("comp", "node")
+    once = edges.filter("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    inside = once.join(members.toDF("comp", "i"), "i").join(members.toDF("comp", "j"), ["comp", "j"])
+    linked = inside.select("comp", F.col("i").alias("node"), F.col("j").alias("other"))
+    linked = linked.unionByName(inside.select("comp", F.col("j").alias("node"), F.col("i").alias("other")))
+    degrees = linked.groupBy("comp", "node").agg(F.count("*").alias("degree"))
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
+    free = members.join(degrees, ["comp", "node"], "left").join(sizes, "comp")
+    free = free.select("comp", "node", (F.col("size") - 1 - F.coalesce("degree", F.lit(0))).alias("free")).filter("free > 0")
+    chance = (F.pmod(order_of(seed, "comp", "node"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    one = free.groupBy("comp").agg(F.min(F.struct((-F.ln(chance) / F.col("free")).alias("time"), "node"))["node"].alias("node"))
+    one = one.orderBy(order_of(seed, "comp"), "comp").limit(k)
+    others = members.toDF("comp", "other").join(F.broadcast(one), "comp").filter("other <> node")
+    others = others.join(linked, ["comp", "node", "other"], "left_anti").groupBy("comp", "node")
+    pairs = others.agg(F.min(F.struct(order_of(seed, "node", "other").alias("order"), "other"))["other"].alias("other"))
+    return pairs.select(F.least("node", "other").alias("i"), F.greatest("node", "other").alias("j"), "comp")
 
 
 def blocks(df: DataFrame, stratum: str, item: str, anchors: int, n_blocks: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,26 @@ def test_sampling(spark):
     assert sampling.split_half_exact({"x": ["b", "a", "c"]}) == sampling.split_half_exact({"x": ["c", "b", "a"]})
 
 
+def test_transitive_sample_leaves_no_cluster_out(spark):
+    # Chains of three, cliques of six less one edge, and cliques, which have no pair to offer.
+    clusters, edges, free = [], [], {}
+    for c in range(30):
+        n = (3, 6, 5)[c % 3]
+        nodes = list(range(10 * c, 10 * c + n))
+        gap = ((nodes[0], nodes[2]), (nodes[1], nodes[-2]), None)[c % 3]
+        clusters += [(c, x) for x in nodes]
+        edges += [(a, b) for a in nodes for b in nodes if a < b and (a, b) != gap]
+        free |= {c: gap} if gap else {}
+    clusters, edges = spark.createDataFrame(clusters, "comp int, node int"), spark.createDataFrame(edges, "i int, j int")
+    assert {r["comp"]: (r["i"], r["j"]) for r in sampling.transitive_sample(clusters, edges, 100).collect()} == free
+    assert sampling.transitive_sample(clusters, edges, 7).count() == 7
+    # Uniform in a cluster: a path of four has three pairs without an edge.
+    many = spark.createDataFrame([(c, 4 * c + x) for c in range(600) for x in range(4)], "comp int, node int")
+    path = spark.createDataFrame([(4 * c + x, 4 * c + x + 1) for c in range(600) for x in range(3)], "i int, j int")
+    n = Counter((r["i"] % 4, r["j"] % 4) for r in sampling.transitive_sample(many, path, 600).collect())
+    assert set(n) == {(0, 2), (0, 3), (1, 3)} and all(150 < x < 250 for x in n.values())
+
+
 def test_retrieval(spark):
     q = spark.createDataFrame([(1,), (2,), (3,)], "q int")
     answers, truth = (spark.createDataFrame(x, "q int, item string") for x in ([(1, "a"), (1, "b"), (2, "z")], [(1, "a"), (2, "a"), (3, "a")]))
