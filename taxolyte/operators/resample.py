@@ -1,5 +1,6 @@
-"""Bootstraps and permutation nulls. Data are first reduced to one row per cluster; replicates are rows of
-a range, which workers draw with generators of their own, so results don't depend on the number of tasks."""
+"""Bootstraps and permutation nulls. Data are first reduced to distinct rows with counts, which stay on the workers in
+buckets of about BUCKET distinct rows; a replicate is a multinomial draw of counts, split over the buckets by another.
+Every draw has a generator of its own, so results don't depend on the number of tasks, and no number of rows is too large."""
 
 from __future__ import annotations
 
@@ -10,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Clusters whose sums are sent to the workers at most.
-MOST_CLUSTERS = 2_000_000
+#: Distinct rows in a bucket, about, and replicates that a task draws from one.
+BUCKET, RUNS = 65_536, 250
 
 
 def _runs(spark: SparkSession, n: int, one: Callable[[np.random.Generator], float], seed: int) -> DataFrame:
@@ -22,35 +23,58 @@ def _runs(spark: SparkSession, n: int, one: Callable[[np.random.Generator], floa
     return spark.range(0, n, 1, min(32, max(1, n // 50))).mapInPandas(run, "id long, value double")
 
 
-def _held(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    rows = df.select(*columns).orderBy(*columns).limit(MOST_CLUSTERS + 1).collect()
-    if len(rows) > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters; reduce them first")
-    return [np.array([r[c] for r in rows], float) for c in columns]
+def _sums(df: DataFrame, columns: list[str], n: int, seed: int) -> DataFrame:
+    """id, sums: of the columns and of ones, over rows drawn with replacement (as many as df has) for each id from 0
+    to n - 1, and over all rows for id -1."""
+    k = len(columns)
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"v{i}") for i, c in enumerate(columns)]
+    distinct = df.select(*values).groupBy(*(f"v{i}" for i in range(k))).agg(F.count("*").alias("n"))
+    n_buckets = max(1, -(-distinct.count() // BUCKET))
+    distinct = distinct.withColumn("bucket", F.pmod(F.xxhash64(*(f"v{i}" for i in range(k))), F.lit(n_buckets)).cast("int"))
+    found = {r["bucket"]: r["n"] for r in distinct.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # n_buckets rows at most
+    sizes = np.array([found.get(b, 0) for b in range(n_buckets)], np.int64)
+    total = int(sizes.sum())
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket, part = (int(x) for x in key)
+        pdf = pdf.sort_values([f"v{i}" for i in range(k)])
+        x = np.column_stack([*(pdf[f"v{i}"].to_numpy(float) for i in range(k)), np.ones(len(pdf))])
+        counts = pdf["n"].to_numpy(np.int64)
+        ids = list(range(part * RUNS, min(n, (part + 1) * RUNS)))
+        out = [counts @ x] if part == 0 else []
+        for i in ids:
+            share = np.random.default_rng([seed, i]).multinomial(total, sizes / total)[bucket]
+            out.append(np.random.default_rng([seed, i, bucket + 1]).multinomial(share, counts / counts.sum()) @ x)
+        return pd.DataFrame({"id": [-1] * (part == 0) + ids, "bucket": bucket, "sums": [list(o) for o in out]})
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // RUNS) - 1))))
+    drawn = distinct.withColumn("part", parts).groupBy("bucket", "part").applyInPandas(draw, "id long, bucket int, sums array<double>")
+    # Buckets are added in order, so that results are the same to the last bit.
+    each = drawn.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "sums"))).alias("all"))
+    zero = F.array_repeat(F.lit(0.0), k + 1)
+    return each.select("id", F.aggregate("all", zero, lambda a, x: F.zip_with(a, x["sums"], lambda p, q: p + q)).alias("sums"))
+
+
+def _values(sums: DataFrame, value) -> DataFrame:
+    """value of each replicate, nan left out, and of all rows (seen, on each row)."""
+    one = sums.select("id", value.alias("value"))
+    seen = one.filter("id = -1").agg(F.first("value").alias("seen"))
+    return one.filter("id >= 0 AND value IS NOT NULL").filter(~F.isnan("value")).join(F.broadcast(seen), how="right")
 
 
 def bootstrap_ratio(spark: SparkSession, clusters: DataFrame, num: str, den: str, n: int = 2000, seed: int = 20260909, level: float = 0.95) -> DataFrame:
     """lo, hi, estimate of sum(num) / sum(den), clusters drawn with replacement (one row each)."""
-    a, b = _held(clusters, num, den)
-
-    def one(rng: np.random.Generator) -> float:
-        k = rng.integers(0, len(a), len(a))
-        total = b[k].sum()
-        return float(a[k].sum() / total) if total else float("nan")
-
+    a, b = F.col("sums")[0], F.col("sums")[1]
     tail = (1 - level) / 2
-    estimate = float(a.sum() / b.sum()) if b.sum() else None
-    return _runs(spark, n, one, seed).filter(~F.isnan("value")).agg(
-        F.percentile("value", tail).alias("lo"), F.percentile("value", 1 - tail).alias("hi"), F.lit(estimate).cast("double").alias("estimate")
-    )
+    runs = _values(_sums(clusters, [num, den], n, seed), F.when(b != 0, a / b))
+    return runs.agg(F.percentile("value", tail).alias("lo"), F.percentile("value", 1 - tail).alias("hi"), F.first("seen").alias("estimate"))
 
 
 def bootstrap_difference(spark: SparkSession, pairs: DataFrame, difference: str, n: int = 4000, seed: int = 20260909) -> DataFrame:
     """mean, lo, hi of paired differences and the share of replicates at or below 0."""
-    (d,) = _held(pairs, difference)
-    runs = _runs(spark, n, lambda rng: float(d[rng.integers(0, len(d), len(d))].mean()), seed)
+    runs = _values(_sums(pairs, [difference], n, seed), F.when(F.col("sums")[1] > 0, F.col("sums")[0] / F.col("sums")[1]))
     return runs.agg(
-        F.lit(float(d.mean())).alias("mean"), F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.avg((F.col("value") <= 0).cast("double")).alias("p_at_most_0")
+        F.first("seen").alias("mean"), F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.avg((F.col("value") <= 0).cast("double")).alias("p_at_most_0")
     )
 
 
@@ -58,9 +82,7 @@ def _codes(values: list) -> np.ndarray:
     return np.unique(np.array([str(v) for v in values]), return_inverse=True)[1]
 
 
-def nmi(a: np.ndarray, b: np.ndarray) -> float:
-    table = np.zeros((a.max() + 1, b.max() + 1))
-    np.add.at(table, (a, b), 1)
+def nmi(table: np.ndarray) -> float:
     p = table / table.sum()
     x, y = p.sum(1), p.sum(0)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -70,13 +92,26 @@ def nmi(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def permutation_null(spark: SparkSession, labels: DataFrame, truth: str, pred: str, n: int = 1000, seed: int = 20260909) -> DataFrame:
-    """observed nmi, mean and sd of nmi with shuffled labels, p = (as large or larger + 1) / (n + 1)."""
-    rows = labels.select(truth, pred).orderBy(truth, pred).limit(MOST_CLUSTERS + 1).collect()
-    if len(rows) > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} labelled rows")
-    a, b = _codes([r[0] for r in rows]), _codes([r[1] for r in rows])
-    seen = nmi(a, b)
-    runs = _runs(spark, n, lambda rng: nmi(rng.permutation(a), b), seed)
+    """observed nmi, mean and sd of nmi with shuffled labels, p = (as large or larger + 1) / (n + 1).
+
+    nmi depends only on the counts of pairs of labels, which shuffling makes a random table with the same margins; it is
+    drawn row by row. numpy draws from fewer than 10**9 rows. The driver holds a row for each pair of labels that occurs.
+    """
+    rows = labels.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n")).collect()
+    a, b = _codes([r["t"] for r in rows]), _codes([r["p"] for r in rows])
+    table = np.zeros((a.max() + 1, b.max() + 1), np.int64)
+    np.add.at(table, (a, b), [r["n"] for r in rows])
+    sizes, columns = table.sum(1), table.sum(0)
+    seen = nmi(table)
+
+    def one(rng: np.random.Generator) -> float:
+        left, out = columns.copy(), np.zeros_like(table)
+        for i, size in enumerate(sizes):
+            out[i] = rng.multivariate_hypergeometric(left, size, method="marginals")
+            left -= out[i]
+        return nmi(out)
+
+    runs = _runs(spark, n, one, seed)
     return runs.agg(
         F.lit(seen).alias("observed"), F.avg("value").alias("null_mean"), F.stddev_pop("value").alias("null_sd"), ((F.count_if(F.col("value") >= seen) + 1) / (n + 1)).alias("p")
     )
@@ -86,14 +121,14 @@ def bootstrap_alpha(spark: SparkSession, ratings: DataFrame, item: str, value: s
     """lo, hi of Krippendorff's nominal alpha, items drawn with replacement."""
     counts = ratings.filter(F.col(value).isNotNull()).groupBy(item).pivot(value).count().na.fill(0)
     names = [c for c in counts.columns if c != item]
-    c = np.stack(_held(counts, *names), 1)
-    c = c[c.sum(1) >= 2]
-
-    def one(rng: np.random.Generator) -> float:
-        x = c[rng.integers(0, len(c), len(c))]
-        m = x.sum(1)
-        total, by_value = m.sum(), x.sum(0)
-        expected = (total * total - (by_value**2).sum()) / (total * (total - 1))
-        return float(1 - ((m * m - (x**2).sum(1)) / (m - 1)).sum() / total / expected) if expected else float("nan")
-
-    return _runs(spark, n, one, seed).filter(~F.isnan("value")).agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
+    k = len(names)
+    # Alpha is made of sums over items: ratings by value, and disagreeing pairs over the item's ratings less one.
+    cells = counts.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)))
+    m = sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0))
+    squares = sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(k)), F.lit(0.0))
+    cells = cells.filter(m >= 2).withColumn("apart", (m * m - squares) / (m - 1))
+    s = [F.col("sums")[i] for i in range(k + 1)]
+    total = sum(s[:k], F.lit(0.0))
+    expected = (total * total - sum((x * x for x in s[:k]), F.lit(0.0))) / (total * (total - 1))
+    runs = _values(_sums(cells, [*(f"c{i}" for i in range(k)), "apart"], n, seed), F.when((total > 1) & (expected != 0), 1 - s[k] / total / expected))
+    return runs.agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))

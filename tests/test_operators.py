@@ -127,6 +127,23 @@ def test_resampling_is_repeatable(spark):
     assert resample.permutation_null(spark, labels, "t", "p", n=50).first()["p"] == 1 / 51
 
 
+def test_resampling_takes_more_rows_than_fit_the_driver(spark, monkeypatch):
+    # 3,000,000 rows of three values: the interval of the mean is about 1.96 deviations wide on each side.
+    df = spark.range(3_000_000).select(F.pmod("id", F.lit(3)).cast("double").alias("x"), F.pmod("id", F.lit(2)).alias("t"))
+    r = resample.bootstrap_difference(spark, df, "x", n=400).first()
+    half = 1.96 * math.sqrt(2 / 3 / 3_000_000)
+    assert math.isclose(r["mean"], 1) and abs(1 - r["lo"] - half) < half / 4 and abs(r["hi"] - 1 - half) < half / 4
+    p = resample.permutation_null(spark, df, "t", "x", n=50).first()
+    # 2 * rows * mutual information is about chi-square with 2 degrees of freedom; the entropies are ln 2 and ln 3.
+    assert 0.5 < p["null_mean"] * 6_000_000 * (math.log(2) + math.log(3)) / 2 / 2 < 1.5
+    # Several buckets draw as one.
+    some = spark.range(900).select((F.col("id") / 900).alias("x"))
+    one = resample.bootstrap_difference(spark, some, "x", n=400).first()
+    monkeypatch.setattr(resample, "BUCKET", 100)
+    many = resample.bootstrap_difference(spark, some, "x", n=400).first()
+    assert math.isclose(one["mean"], many["mean"]) and abs((one["hi"] - one["lo"]) / (many["hi"] - many["lo"]) - 1) < 0.25
+
+
 def test_vectors(spark):
     rows = [(i, [math.cos(i / 3), math.sin(i / 3)]) for i in range(12)] + [(99, [0.0, 0.0]), (100, None)]
     df = spark.createDataFrame(rows, "k int, v array<double>")
