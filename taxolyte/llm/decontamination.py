@@ -57,6 +57,10 @@ class Index:
                 tables.append(apart <= RADIUS // BLOCKS)
             counts = [dict(zip(*(x.tolist() for x in np.unique(r, return_counts=True)), strict=True)) for r in rows]
             self.by_length[n] = {"ids": [items[i][0] for i in mine], "prints": prints, "tables": tables, "counts": counts}
+        # Items with fewer words than a shingle, by their words' hash.
+        self.by_words: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero((lengths > 0) & (lengths < SHINGLE)).tolist():
+            self.by_words.setdefault(int(lengths[i]), {}).setdefault(int(hashes[begins[i]]), []).append(items[i][0])
         self.known = np.unique(hashes)
         # The lengths of the items that each shingle occurs in.
         self.lengths_of: dict[int, tuple[int, ...]] = {}
@@ -74,6 +78,18 @@ class Index:
         place = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
         return at[self.known[place] == hashes[at]]
 
+    def short(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, dict[int, tuple[float, int, int]]]:
+        """text -> item id -> (1, first word, words) of items with fewer words than a shingle, found word for word."""
+        out: dict[int, dict[int, tuple[float, int, int]]] = {}
+        for n, items in self.by_words.items():
+            hashes, begins = shingles(words, offsets, n)
+            for p in np.flatnonzero(np.isin(hashes, np.array(list(items), np.uint64))).tolist():
+                text = int(np.searchsorted(begins, p, side="right")) - 1
+                for item in items[int(hashes[p])]:
+                    best = out.setdefault(text, {})
+                    best[item] = min(best.get(item, (1.0, p, n)), (1.0, int(p - begins[text]), n), key=lambda x: x[1])
+        return out
+
     def match(self, words: np.ndarray, hits: np.ndarray, hashes: np.ndarray, similarity: float) -> dict[int, tuple[float, int, int]]:
         """item id -> (similarity, first word, words) of its best window in a text.
 
@@ -86,10 +102,10 @@ class Index:
                 near.setdefault(n, []).append(p)
         for n, places in near.items():
             k = max(1, n - SHINGLE + 1)  # shingles in a window
+            if n < SHINGLE:
+                continue  # matched by short
             if len(words) < n:
                 starts = np.array([0])  # a text shorter than the item is one window
-            elif n < SHINGLE:
-                starts = np.array(places)
             else:
                 p = np.array(places)
                 starts = np.unique((p[:, None] - np.arange(k)[None, :]).ravel())
@@ -145,8 +161,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, simil
     """doc_id, item_id, similarity, first_word, n_words: the best window of each item in each text it leaked to.
 
     docs: doc_id, text; benchmark: item_id, text. Only items with a similarity of at least the given one
-    are reported; equal windows count from the first. An item with fewer than SHINGLE words is one
-    shingle. Null texts, null item_ids and items without words match nothing; repeated rows of docs repeat
+    are reported; equal windows count from the first. An item with fewer than SHINGLE words is found
+    where its words occur in a row. Null texts, null item_ids and items without words match nothing; repeated rows of docs repeat
     their rows, repeated items with one item_id count once; other columns are ignored; empty tables give an
     empty result. Nothing is shuffled: the benchmark goes to the workers as indexes of bounded size, a
     pass over docs for each.
@@ -166,9 +182,13 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, simil
                     hashes, begins = shingles(own, words.offsets, SHINGLE)
                     hits = index.hits(hashes)
                     which = np.searchsorted(begins, hits, side="right") - 1
-                    for i in np.unique(which).tolist():
+                    short = index.short(own, words.offsets)
+                    for i in sorted({*which.tolist(), *short}):
                         a, b = begins[i], begins[i + 1]
                         found = index.match(own[words.offsets[i] : words.offsets[i + 1]], hits[which == i] - a, hashes[a:b], similarity)
+                        for item, (value, first, n) in short.get(i, {}).items():
+                            if item not in found or (-value, first) < (-found[item][0], found[item][1]):
+                                found[item] = (value, first, n)
                         doc_id = batch.column(0)[at + i].as_py()
                         rows += [(doc_id, item, *best) for item, best in found.items()]
                     at += len(group)

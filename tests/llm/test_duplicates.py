@@ -169,3 +169,10 @@ def test_without_leaks(spark, odd_docs, no_docs):
     assert out.columns == odd_docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == sorted(map(str, [2, 3, 4, 5, 7, None]))
     assert find_leaks(spark, no_docs, items).count() == 0
     assert find_leaks(spark, odd_docs, items.limit(0)).count() == 0
+
+
+def test_short_items_are_found_in_longer_texts(spark):
+    items = spark.createDataFrame([(1, "Hello, world"), (2, "one"), (3, "a b c d"), (4, "world hello")], "item_id long, text string")
+    docs = [(10, "they said hello world. and hello world again then"), (11, "a b c"), (12, "x a b c d"), (13, "one")]
+    got = find_leaks(spark, spark.createDataFrame(docs, KIND), items).collect()
+    assert sorted(map(tuple, got)) == [(10, 1, 1.0, 2, 2), (12, 3, 1.0, 1, 4), (13, 2, 1.0, 0, 1)]
