@@ -38,6 +38,17 @@ def signs(hashes: np.ndarray) -> np.ndarray:
     return (((hashes[:, None] >> _SHIFTS) & np.uint64(1)).astype(np.int32) << 1) - 1
 
 
+def _sums(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Signed sums of the k hashes from each start (fewer at the end), from tables as long as the starts are apart."""
+    lo, span = int(starts[0]), int(starts[-1] - starts[0])
+    whole = np.zeros(BITS, np.int64)
+    for a in range(lo, min(lo + k, len(hashes)), 65536):
+        whole += signs(hashes[a : min(a + 65536, lo + k)]).sum(0)
+    # The window moves: hashes that it leaves behind and those that it reaches.
+    gone, come = (np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(hashes[a : a + span]), 0, dtype=np.int32)]) for a in (lo, lo + k))
+    return whole + come[np.minimum(starts - lo, len(come) - 1)] - gone[np.minimum(starts - lo, len(gone) - 1)]
+
+
 class Index:
     """Items by length: their fingerprints in a multi-index, and their shingles with counts."""
 
@@ -108,8 +119,10 @@ class Index:
                 starts = np.array([0])  # a text shorter than the item is one window
             else:
                 p = np.array(places)
-                starts = np.unique((p[:, None] - np.arange(k)[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts + n <= len(words))]
+                change = np.zeros(len(words) + 1, np.int64)  # windows that hold a hit, by where they begin and end
+                np.add.at(change, np.maximum(p - k + 1, 0), 1)
+                np.add.at(change, p + 1, -1)
+                starts = np.flatnonzero(np.cumsum(change)[: len(words) - n + 1] > 0)
             self._windows(n, k, starts, hashes, similarity, best)
         return best
 
@@ -117,13 +130,11 @@ class Index:
         own = self.by_length[n]
         for a in range(0, len(starts), 4096):  # bounds memory on texts full of hits
             part = starts[a : a + 4096]
-            lo, hi = part[0], min(part[-1] + k, len(hashes))
-            sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(hashes[lo:hi]), 0, dtype=np.int32)]) if hi - lo <= 65536 else None
-            if sums is None:
+            if len(part) > 1 and part[-1] - part[0] > 32768:
                 self._windows(n, k, part[: len(part) // 2], hashes, similarity, best)
                 self._windows(n, k, part[len(part) // 2 :], hashes, similarity, best)
                 continue
-            prints = fingerprint(sums[np.minimum(part - lo + k, hi - lo)] - sums[part - lo])
+            prints = fingerprint(_sums(hashes, part, k))
             found = np.zeros((len(part), len(own["ids"])), bool)
             for b, known in enumerate(own["tables"]):
                 found |= known[((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)]

@@ -176,3 +176,13 @@ def test_short_items_are_found_in_longer_texts(spark):
     docs = [(10, "they said hello world. and hello world again then"), (11, "a b c"), (12, "x a b c d"), (13, "one")]
     got = find_leaks(spark, spark.createDataFrame(docs, KIND), items).collect()
     assert sorted(map(tuple, got)) == [(10, 1, 1.0, 2, 2), (12, 3, 1.0, 1, 4), (13, 2, 1.0, 0, 1)]
+
+
+def test_items_longer_than_a_table_of_windows():
+    rng = np.random.default_rng(3)
+    item = " ".join(map(str, rng.integers(0, 10**6, 70_000)))
+    index = Index([(1, item)])
+    words = Words([f"before it {item} after it"], strip=True)
+    own = words.hashes()
+    hashes, _ = shingles(own, words.offsets, 5)
+    assert index.match(own, index.hits(hashes), hashes, 0.9) == {1: (1.0, 2, 70_000)}
