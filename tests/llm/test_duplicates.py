@@ -186,3 +186,14 @@ def test_items_longer_than_a_table_of_windows():
     own = words.hashes()
     hashes, _ = shingles(own, words.offsets, 5)
     assert index.match(own, index.hits(hashes), hashes, 0.9) == {1: (1.0, 2, 70_000)}
+
+
+def test_chance_of_a_lost_link_is_the_one_stated():
+    for threshold, similarity, stated in ((0.85, 0.85, 2.5e-3), (0.8, 0.8, 2.4e-3), (0.85, 0.86, 9e-4)):
+        step = np.array([comb(nd.BATCH, m) * similarity**m * (1 - similarity) ** (nd.BATCH - m) for m in range(nd.BATCH + 1)])
+        alive = np.ones(1)
+        for _, least in nd.least_matches(threshold):
+            alive = np.convolve(alive, step)
+            alive[:least] = 0
+        assert abs(1 - alive.sum() - stated) < 0.05e-3
+    assert "2.5e-3 at 0.85 (2.4e-3 at 0.8), one at 0.86 with 9e-4" in nd.__doc__
