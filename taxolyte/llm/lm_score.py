@@ -6,20 +6,22 @@ is block-wise: a block of BLOCK positions attends, causally masked, to itself an
 is to overlapping windows of 2 * BLOCK positions of which each scores its second half once; all blocks of
 many texts are one batch.
 
-Classes and attention weights are fitted in numpy on a bounded sample of windows (TRAIN_DOCS,
-TRAIN_WINDOWS); all counts, of words and of ids within classes, cover all training texts. Training texts
-are those whose crc32(doc_id as text) mod 10 is not 0.
+Everything is learnt from all training texts, those whose crc32(doc_id as text) mod 10 is not 0. Counts of
+all pairs of adjacent ids give the classes, the ids' embeddings, the class that follows an id and the ids
+within a class. Attention weights are fitted in numpy to every position of every training text: shards of
+texts take gradient steps from one start, and the shards' weights are averaged by their positions.
 
-The base score is that of a smoothed word unigram model. Counts of the HEAD most frequent words go to
-the workers; other words are joined to their counts as rows.
+The base score is that of a smoothed word unigram model. Counts of the HEAD most frequent words and the
+most frequent pairs of ids go to the workers; other words and pairs are joined to their counts as rows.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +36,27 @@ from taxolyte.llm.words import Words, groups
 
 BLOCK, WIDTH = 16, 16
 CLASSES = 64
-#: Ids with a row of their own in the input table, by frequency in the sample; others share one per class.
+#: Ids, by frequency, with an embedding of their own; others share one for each class.
 ROWS = 2048
-#: Ids, by frequency in the sample, whose counts are kept for each row of the id before; others for all rows.
-COLUMNS = 4096
+#: The most frequent ids that count as contexts for classes and embeddings; all others are one more.
+CONTEXTS = 127
+#: Counts of pairs that are broadcast: a table of the COLUMNS most frequent ids after each of the ROWS most
+#: frequent, and the PAIRS most frequent others. The rest is joined.
+COLUMNS, PAIRS = 4096, 2_000_000
 MU = 10.0
-TRAIN_DOCS, TRAIN_WINDOWS, WINDOW_BLOCKS = 4000, 16_000, 5
-STEPS, WINDOWS_A_STEP, STEP_SIZE = 160, 128, 0.02
+#: Blocks in a gradient step, ids in a shard at least, shards at most, and ids that are seen at least: fewer are gone through again.
+STEP_BLOCKS, SHARD_IDS, SHARDS, LEAST_IDS = 512, 16_000_000, 4096, 4_000_000
+STEP_SIZE = 0.02
+#: Logits of attention and of what it adds to classes are at most so large, which keeps exponentials finite.
+MOST_LOGIT = 30.0
 #: Words whose counts are broadcast (16 bytes each).
 HEAD = 131_072
-#: Characters of texts that a worker handles at a time.
-GROUP_CHARS = 3_000_000
+#: Characters of texts, and bytes of ids, that a worker handles at a time; parts in which hot keys are joined.
+GROUP_CHARS, GROUP_BYTES, SALTS = 3_000_000, 1 << 20, 16
 _NEVER = np.float32(-1e9)
+_BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]  # how far a key lies before a query
+_CAUSAL = np.where(_BACK >= 0, 0, _NEVER).astype(np.float32)
+_NEAR = np.clip(_BACK, 0, 2 * BLOCK - 1)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -53,45 +64,117 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
+def _below(bound: float) -> np.float32:
+    return np.float32(min(1.0, MOST_LOGIT / bound)) if bound > 0 else np.float32(1)
+
+
 @dataclass
 class Attention:
-    """Row, column (COLUMNS if it has none) and class of each id, and weights. query, key and value are by row;
-    the last column of value is 1, so that weighted sums of values hold the sum of weights too."""
+    """Row and class of each id, embedding of each row, log class frequencies after each row, and weights."""
 
     row: np.ndarray
-    column: np.ndarray
     klass: np.ndarray
-    query: np.ndarray
-    key: np.ndarray
-    value: np.ndarray
+    embedding: np.ndarray
     direct: np.ndarray
-    out: np.ndarray
-    place: np.ndarray
+    weights: dict[str, np.ndarray]
+    tables: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.set_weights(self.weights)
+
+    def set_weights(self, w: dict[str, np.ndarray]) -> None:
+        """Takes weights, scaled down where logits could exceed MOST_LOGIT, and makes the tables by row. The last column of
+        value is 1, so that weighted sums of values hold the sum of weights too."""
+        largest = lambda x: float(np.sqrt((x * x).sum(1).max()))
+        q, k, v = self.embedding @ w["q"] / np.float32(np.sqrt(WIDTH)), self.embedding @ w["k"], self.embedding @ w["v"]
+        scale = _below(largest(q) * largest(k))
+        added = _below(float(np.abs(v @ w["out"]).max()))  # mixed values are weighted means of values
+        near = np.clip(w["near"], -MOST_LOGIT, MOST_LOGIT)
+        self.weights = {**w, "q": w["q"] * scale, "out": w["out"] * added, "near": near}
+        value = np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)
+        self.tables = {"q": q * scale, "k": k, "v": value, "place": near[_NEAR] + _CAUSAL}
+
+    def _mixed(self, rows: np.ndarray, first: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
+        """For blocks a to b: their rows with those of the block before, q, k, v, attention weights and sums of values."""
+        near = rows[max(a - 1, 0) : b] if a else np.concatenate([rows[:1], rows[:b]])
+        t = self.tables
+        q = t["q"][rows[a:b]]
+        k, v = (np.concatenate([x[:-1], x[1:]], 1) for x in (t["k"][near], t["v"][near]))
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        s += t["place"]
+        s[first[a:b], :, :BLOCK] = _NEVER
+        np.exp(s, out=s)
+        return near, q, k, v, s, np.matmul(s, v)
 
     def class_log(self, rows: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
         """ln P(class) of target classes. rows: (blocks, BLOCK) of the ids before each; first: blocks that
         begin a text."""
         out = np.empty(rows.shape, np.float32)
-        for a in range(0, len(rows), 512):  # keeps intermediate tables in the cache
-            b = min(a + 512, len(rows))
-            lead = max(a - 1, 0)
-            near = rows[lead:b]
-            k, v = self.key[near], self.value[near]
-            if a == 0:
-                k, v = (np.concatenate([x[:1], x]) for x in (k, v))
-            k, v = (np.concatenate([x[:-1], x[1:]], 1) for x in (k, v))
-            s = np.matmul(self.query[rows[a:b]], k.transpose(0, 2, 1))
-            s += self.place
-            s[first[a:b], :, :BLOCK] = _NEVER
-            np.exp(s, out=s)
-            mixed = np.matmul(s, v).reshape(-1, WIDTH + 1)
-            logits = (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ self.out
+        for a in range(0, len(rows), STEP_BLOCKS):  # keeps intermediate tables in the cache
+            b = min(a + STEP_BLOCKS, len(rows))
+            mixed = self._mixed(rows, first, a, b)[-1].reshape(-1, WIDTH + 1)
+            logits = (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ self.weights["out"]
             logits += self.direct[rows[a:b].ravel()]
             chosen = logits[np.arange(len(logits)), target[a:b].ravel()]
             np.exp(logits, out=logits)
             out[a:b] = (chosen - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(-1, BLOCK)
         return out
 
+    def gradients(self, rows: np.ndarray, first: np.ndarray, target: np.ndarray, filled: np.ndarray, a: int, b: int) -> dict[str, np.ndarray]:
+        """Of the mean of -ln P(class) over the filled positions of blocks a to b, by weight."""
+        near, q, k, v, p, mixed = self._mixed(rows, first, a, b)
+        v = v[:, :, :WIDTH]
+        share = 1 / mixed[:, :, WIDTH:]
+        p *= share
+        mixed = mixed[:, :, :WIDTH] * share
+        flat = mixed.reshape(-1, WIDTH)
+        z = flat @ self.weights["out"]
+        z += self.direct[rows[a:b].ravel()]
+        np.exp(z, out=z)
+        used = filled[a:b].ravel() / np.float32(max(int(filled[a:b].sum()), 1))
+        z *= (used / (z @ np.ones(CLASSES, np.float32)))[:, None]
+        z[np.arange(len(z)), target[a:b].ravel()] -= used
+        g = {"out": (z.T @ flat).T}
+        dmixed = (z @ self.weights["out"].T).reshape(mixed.shape)
+        dv = np.matmul(p.transpose(0, 2, 1), dmixed)
+        ds = np.matmul(dmixed, v.transpose(0, 2, 1))
+        ds -= np.einsum("ijk,ijk->ij", dmixed, mixed)[:, :, None]
+        ds *= p
+        g["near"] = np.bincount(_NEAR.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
+        dk = np.matmul(ds.transpose(0, 2, 1), q)
+        dq = np.matmul(ds, k)
+        own = self.embedding[near]
+        for name, both in (("k", dk), ("v", dv)):
+            each = np.zeros(own.shape, np.float32)
+            each[1:] = both[:, BLOCK:]
+            each[:-1] += both[:, :BLOCK]
+            g[name] = own.reshape(-1, WIDTH).T @ each.reshape(-1, WIDTH)
+        g["q"] = own[1:].reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH) / np.float32(np.sqrt(WIDTH))
+        return g
+
+    def learn(self, groups_of_ids: Iterator[list[np.ndarray]]) -> int:
+        """Gradient steps (Adam, steps falling with the root of their number) over all positions of all texts (ids with
+        their end id each); returns how many there were."""
+        m, u = ({k: np.zeros_like(x) for k, x in self.weights.items()} for _ in range(2))
+        step = seen = 0
+        for streams in groups_of_ids:
+            ids, filled, text = _blocks(streams)
+            before, first = _before(ids, text)
+            rows, target = self.row[before], self.klass[ids]
+            cuts = np.linspace(0, len(rows), max(1, round(len(rows) / STEP_BLOCKS)) + 1).astype(int)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                g = self.gradients(rows, first, target, filled, a, b)
+                step += 1
+                w = dict(self.weights)
+                for name, grad in g.items():
+                    m[name] = 0.9 * m[name] + np.float32(0.1) * grad
+                    u[name] = 0.99 * u[name] + np.float32(0.01) * grad * grad
+                    rate = STEP_SIZE / math.sqrt(1 + step / 100)
+                    w[name] = w[name] - np.float32(rate / (1 - 0.9**step)) * m[name] / (np.sqrt(u[name] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                self.set_weights(w)
+            seen += int(filled.sum())
+        return seen
+
 
 def _blocks(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of texts (each with its end id) cut into blocks: (blocks, BLOCK) padded, filled, text of each block."""
@@ -126,162 +209,139 @@ def _cluster(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return (points @ centers.T).argmax(1)
 
 
-def train(windows: np.ndarray, n_vocabulary: int) -> Attention:
-    """Fits classes and attention to windows of ids (one id more than WINDOW_BLOCKS * BLOCK each)."""
-    rng = np.random.default_rng(7)
-    counts = np.bincount(windows.ravel(), minlength=n_vocabulary)
+def structure(counts: np.ndarray, cells: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row and klass of each id, and embedding of each row, from counts of ids and of their neighbours.
+
+    cells: place id * 2 * (CONTEXTS + 1) + side * (CONTEXTS + 1) + context, and count. Classes are ids with like neighbours;
+    ids without counts are dealt to all classes. Embeddings are the main directions of the neighbours' counts.
+    """
+    n = len(counts)
     order = np.argsort(-counts, kind="stable")
-    # Classes: ids with like neighbours; ids that the sample lacks are dealt to all classes.
     known = order[: max(int((counts > 0).sum()), 1)]
-    context = np.full(n_vocabulary, 255, np.int64)
-    context[order[:255]] = np.arange(255)
-    spot = np.full(n_vocabulary, -1, np.int64)
+    width = 2 * (CONTEXTS + 1)
+    spot = np.full(n, -1, np.int64)
     spot[known] = np.arange(len(known))
-    left, right = windows[:, :-1].ravel(), windows[:, 1:].ravel()
-    tables = []
-    for own, other in ((left, right), (right, left)):
-        tables.append(np.bincount(spot[own] * 256 + context[other], minlength=len(known) * 256).reshape(-1, 256).astype(np.float32))
-    points = np.concatenate(tables, 1) if len(left) else np.ones((len(known), 512), np.float32)
+    points = np.zeros((len(known), width), np.float32)
+    own, context = np.divmod(cells[0], width)
+    there = spot[own] >= 0  # the end id's left side may be all that is seen of it
+    points[spot[own[there]], context[there]] = cells[1][there]
     points = np.sqrt(points + points.sum(0) / max(points.sum(), 1))  # a little of the average, for rare ids
-    points /= np.linalg.norm(points, axis=1, keepdims=True)
-    points -= points.mean(0) * 0.7
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
-    klass = np.arange(n_vocabulary) % CLASSES
+    apart = points - points.mean(0)
+    mean = points.mean(0) * 0.7
+    points -= mean
+    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
+    klass = np.arange(n) % CLASSES
     klass[known] = _cluster(points, CLASSES)
     row = ROWS + klass
     row[order[:ROWS]] = np.arange(len(order[:ROWS]))
-    n_rows = ROWS + CLASSES
-    column = np.full(n_vocabulary, COLUMNS)
-    column[order[:COLUMNS]] = np.arange(len(order[:COLUMNS]))
-
-    r, t = row[windows[:, :-1]], klass[windows[:, 1:]]
-    follow = np.bincount(r.ravel() * CLASSES + t.ravel(), minlength=n_rows * CLASSES).reshape(-1, CLASSES) + 0.0
-    base = (follow.sum(0) + 1) / (follow.sum() + CLASSES)
-    w = {
-        "direct": np.log((follow + 4 * base) / (follow.sum(1, keepdims=True) + 4)),
-        "e": rng.normal(0, 0.3, (n_rows, WIDTH)),
-        "q": rng.normal(0, 0.3, (WIDTH, WIDTH)),
-        "k": rng.normal(0, 0.3, (WIDTH, WIDTH)),
-        "v": rng.normal(0, 0.3, (WIDTH, WIDTH)),
-        "out": np.zeros((WIDTH, CLASSES)),
-        "near": np.zeros(2 * BLOCK),
-    }
-    w = {k: x.astype(np.float32) for k, x in w.items()}
-    m, u = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    back = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]  # how far a key lies before a query
-    causal = np.where(back >= 0, 0, _NEVER).astype(np.float32)
-    near_at = np.clip(back, 0, 2 * BLOCK - 1)
-    for step in range(STEPS if len(windows) else 0):
-        pick = rng.integers(0, len(windows), WINDOWS_A_STEP)
-        rows, target = (x[pick].reshape(-1, BLOCK) for x in (r, t))
-        n = len(rows)
-        first = np.arange(n) % WINDOW_BLOCKS == 0
-        scored = np.repeat(~first, BLOCK)
-        e = w["e"][rows]
-        q, k, v = (e @ w[x] for x in "qkv")
-        shift = lambda x: np.concatenate([np.roll(x, 1, 0), x], 1)
-        kk, vv = shift(k), shift(v)
-        s = q @ kk.transpose(0, 2, 1) / np.sqrt(WIDTH) + w["near"][near_at] + causal
-        s[first, :, :BLOCK] = _NEVER
-        s = np.exp(np.minimum(s, 30))
-        p = s / s.sum(2, keepdims=True)
-        mixed = p @ vv
-        flat = rows.ravel()
-        z = w["direct"][flat] + mixed.reshape(-1, WIDTH) @ w["out"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        dz = z / z.sum(1, keepdims=True)
-        dz[np.arange(len(dz)), target.ravel()] -= 1
-        dz *= (scored / max(scored.sum(), 1))[:, None].astype(np.float32)
-        g = {"direct": np.zeros_like(w["direct"]), "out": mixed.reshape(-1, WIDTH).T @ dz}
-        np.add.at(g["direct"], flat, dz)
-        dmixed = (dz @ w["out"].T).reshape(n, BLOCK, WIDTH)
-        dvv = p.transpose(0, 2, 1) @ dmixed
-        dp = dmixed @ vv.transpose(0, 2, 1)
-        ds = p * (dp - (dp * p).sum(2, keepdims=True))
-        g["near"] = np.bincount(near_at.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
-        ds /= np.sqrt(WIDTH)
-        dq, dkk = ds @ kk, ds.transpose(0, 2, 1) @ q
-        unshift = lambda x: x[:, BLOCK:] + np.roll(x[:, :BLOCK], -1, 0)
-        dk, dv = unshift(dkk), unshift(dvv)
-        de = dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], flat, de.reshape(-1, WIDTH))
-        two = e.reshape(-1, WIDTH).T
-        g |= {"q": two @ dq.reshape(-1, WIDTH), "k": two @ dk.reshape(-1, WIDTH), "v": two @ dv.reshape(-1, WIDTH)}
-        for name, grad in g.items():
-            m[name] = 0.9 * m[name] + 0.1 * grad
-            u[name] = 0.99 * u[name] + 0.01 * grad * grad
-            rate = STEP_SIZE * (0.1 if name == "direct" else 1) * (1 - step / STEPS)
-            w[name] -= rate * (m[name] / (1 - 0.9 ** (step + 1))) / (np.sqrt(u[name] / (1 - 0.99 ** (step + 1))) + 1e-8)
-    f32 = np.float32
-    return Attention(
-        row.astype(np.int32), column.astype(np.int32), klass.astype(np.int32), (w["e"] @ w["q"] / np.sqrt(WIDTH)).astype(f32),
-        (w["e"] @ w["k"]).astype(f32), np.concatenate([w["e"] @ w["v"], np.ones((n_rows, 1))], 1).astype(f32), w["direct"].astype(f32), w["out"].astype(f32), (w["near"][near_at] + causal).astype(f32),
-    )
-
-
-def within(model: Attention, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ln P(id | class, row of the last id): by row and column, and for ids without a column by row and class plus by id.
-
-    counts is by id, pairs by row and column. P = (pair + MU * share) / (pairs of the class + MU), where
-    share is the id's smoothed share of its class, which is a proper distribution in each class.
-    """
-    total = counts + 0.05
-    share = total / np.bincount(model.klass, total, CLASSES)[model.klass]
-    ids = np.flatnonzero(model.column < COLUMNS)
-    ids = ids[np.argsort(model.column[ids])]
-    klass = model.klass[ids]
-    whole = np.zeros((len(pairs), CLASSES))
-    table_ = np.zeros((len(pairs), COLUMNS), np.float32)
-    for r, own in enumerate(pairs):  # row by row, so that no second table of this size is held
-        whole[r] = np.bincount(klass, own[: len(ids)], CLASSES)
-        table_[r, : len(ids)] = np.log((own[: len(ids)] + MU * share[ids]) / (whole[r, klass] + MU))
-    return table_, np.log(MU / (whole + MU)).astype(np.float32), np.log(share).astype(np.float32)
-
-
-def sample_windows(docs: DataFrame, tokenizer: str) -> np.ndarray:
-    """Windows of ids of training texts: those with the smallest hash, of the TRAIN_DOCS documents with the
-    smallest hash."""
-    size = WINDOW_BLOCKS * BLOCK + 1
-    chosen = docs.select("doc_id").distinct().filter("doc_id IS NOT NULL AND crc32(cast(doc_id AS STRING)) % 10 <> 0")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder.of_worker(tokenizer)
-        for batch in batches:
-            out = []
-            for coded in encoder.encode_many(batch.column(0).to_pylist()):
-                ids = np.frombuffer(END + coded + END, "<u4")
-                ids = np.concatenate([ids, np.full(-(len(ids) - 1) % (size - 1), END_ID, np.uint32)])
-                out += [ids[a : a + size].tobytes() for a in range(0, len(ids) - 1, size - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
-
-    texts = docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"))
-    windows = texts.mapInArrow(cut, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(TRAIN_WINDOWS).collect()
-    return np.frombuffer(b"".join(bytes(r["ids"]) for r in windows), "<u4").reshape(-1, size).astype(np.int64)
-
+    often = np.sqrt(counts[known]).astype(np.float32)[:, None]
+    _, main = np.linalg.eigh((apart * often).T @ (apart * often))
+    each = np.zeros((n, WIDTH), np.float32)
+    each[known, : WIDTH - 1] = apart @ main[:, ::-1][:, : WIDTH - 1].astype(np.float32)
+    each[:, : WIDTH - 1] /= np.sqrt((each[known, : WIDTH - 1] ** 2).mean(0)) + np.float32(1e-6)
+    each = np.clip(each, -3, 3)
+    each[:, WIDTH - 1] = 1
+    sums, sizes = np.zeros((ROWS + CLASSES, WIDTH)), np.bincount(row, minlength=ROWS + CLASSES)
+    np.add.at(sums, row, each)
+    return row.astype(np.int32), klass.astype(np.int32), (sums / np.maximum(sizes, 1)[:, None]).astype(np.float32)
+
+
+def untrained(row: np.ndarray, klass: np.ndarray, embedding: np.ndarray, follow: np.ndarray) -> Attention:
+    """The start of training. follow: counts of the next class, by id."""
+    by_row = np.zeros((ROWS + CLASSES, CLASSES))
+    np.add.at(by_row, row, follow)
+    base = (by_row.sum(0) + 1) / (by_row.sum() + CLASSES)
+    direct = np.log((by_row + 4 * base) / (by_row.sum(1, keepdims=True) + 4)).astype(np.float32)
+    rng = np.random.default_rng(7)
+    start = {k: rng.normal(0, 0.3, (WIDTH, WIDTH)).astype(np.float32) for k in "qkv"}
+    return Attention(row, klass, embedding, direct, {**start, "out": np.zeros((WIDTH, CLASSES), np.float32), "near": np.zeros(2 * BLOCK, np.float32)})
 
-_SEEN = "key binary, ids binary, word long, row int, n long"
 
+@dataclass
+class Within:
+    """ln P(id | class, last id) from counts of pairs: (n + MU * share) / (all of the class + MU), a proper distribution in each class, where
+    share is the id's smoothed share of its class. rank: of each id by frequency; dense: n by rank of both; keys (ascending), n: other
+    pairs as last << 16 | id; whole: counts of the next class by last id; complete: whether no pairs are left out."""
 
-def _count(docs: DataFrame, tokenizer: str, model: Attention) -> DataFrame:
-    """Rows of three sorts: key and ids of each text, n is 1 if it is for training; word and n; word (an id
-    or, with row >= 0, a column), row and n."""
+    klass: np.ndarray
+    share: np.ndarray
+    rank: np.ndarray
+    dense: np.ndarray
+    keys: np.ndarray
+    n: np.ndarray
+    less: np.ndarray
+    complete: bool
+
+    @classmethod
+    def of(cls, klass: np.ndarray, counts: np.ndarray, rank: np.ndarray, whole: np.ndarray, dense: np.ndarray, keys: np.ndarray, n: np.ndarray, complete: bool) -> Within:
+        total = counts + 0.05
+        share = total / np.bincount(klass, total, CLASSES)[klass]
+        order, by_rank = np.argsort(keys), np.argsort(rank)
+        for r in range(len(dense)):  # row by row, so that no second table of this size is held
+            there = np.flatnonzero(dense[r])
+            dense[r, there] = np.log1p(dense[r, there] / (MU * share[by_rank[there]]))
+        keys, n = keys[order], n[order]
+        return cls(klass, np.log(share).astype(np.float32), rank, dense, keys, np.log1p(n / (MU * share[keys & 0xFFFF])).astype(np.float32), np.log(MU / (whole + MU)).astype(np.float32), complete)
+
+    def log(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln P without the counts of pairs that are left out, and where these may be missing (flat places)."""
+        out = self.less[before, self.klass[ids]]
+        out += self.share[ids]
+        i, j = self.rank[before], self.rank[ids]
+        rest = np.flatnonzero((i >= len(self.dense)) | (j >= self.dense.shape[1]))
+        i.ravel()[rest] = 0
+        j.ravel()[rest] = 0
+        more = self.dense[i, j]
+        flat = more.ravel()
+        flat[rest] = 0
+        if len(rest) and len(self.keys):
+            key = before.ravel()[rest] << 16 | ids.ravel()[rest]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[place] == key
+            flat[rest[known]] = self.n[place[known]]
+            rest = rest[~known]
+        out += more
+        return out, rest[:0] if self.complete else rest
+
+
+_SEEN = "key binary, ids binary, word long, pair boolean, n long"
+
+
+def _ids_of(coded: list[bytes]) -> Iterator[list[np.ndarray]]:
+    """Ids of texts in groups of about GROUP_BYTES."""
+    a = 0
+    while a < len(coded):
+        b, size = a, 0
+        while b < len(coded) and (b == a or size + len(coded[b]) <= GROUP_BYTES):
+            size += len(coded[b])
+            b += 1
+        yield [np.frombuffer(x, "<u2") for x in coded[a:b]]
+        a = b
+
+
+def _count(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Rows of three sorts: key and ids of each text, n is 1 if it is for training; word and n; with pair, word is
+    last id << 16 | id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.of_worker(tokenizer)
-        n_ids = encoder.n_vocabulary
-        by_id, by_pair = np.zeros(n_ids, np.int64), np.zeros((ROWS + CLASSES) * (COLUMNS + 1), np.int32)
-        seen_words, seen_counts, held = [], [], 0
+        words_held, pairs_held = [], []
 
         def rows(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
-            kinds = {"key": pa.binary(), "ids": pa.binary(), "word": pa.int64(), "row": pa.int32(), "n": pa.int64()}
+            kinds = {"key": pa.binary(), "ids": pa.binary(), "word": pa.int64(), "pair": pa.bool_(), "n": pa.int64()}
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()], list(kinds))
 
-        def words_out() -> pa.RecordBatch:
-            own, which = np.unique(np.concatenate(seen_words), return_inverse=True)
-            n = np.bincount(which, np.concatenate(seen_counts), len(own)).astype(np.int64)
-            return rows(len(own), word=pa.array(own.view(np.int64)), n=pa.array(n))
+        def added(held: list, pair: bool, most: int) -> Iterator[pa.RecordBatch]:
+            """Rows of counts, added up, if there are more than so many; else they are held on."""
+            if sum(len(x) for x, _ in held) > most:
+                own, which = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+                n = np.bincount(which, np.concatenate([n for _, n in held]), len(own)).astype(np.int64)
+                held.clear()
+                if len(own) <= most // 2:
+                    held.append((own, n))
+                else:
+                    yield rows(len(own), word=pa.array(own.view(np.int64)), pair=pa.array(np.full(len(own), pair)), n=pa.array(n))
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -292,13 +352,8 @@ def _count(docs: DataFrame, tokenizer: str, model: Attention) -> DataFrame:
                 words = Words(group)
                 own = np.bincount(words.codes[np.repeat(train_, np.diff(words.offsets))], minlength=len(words.distinct))
                 there = np.flatnonzero(own)
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.distinct.take(pa.array(there)).to_pylist()), np.uint64, len(there))
-                seen_words.append(hashes)
-                seen_counts.append(own[there])
-                held += len(there)
-                if held > 3_000_000:
-                    yield words_out()
-                    seen_words, seen_counts, held = [], [], 0
+                words_held.append((words.distinct_hashes()[there], own[there]))
+                yield from added(words_held, False, 3_000_000)
                 coded = [np.frombuffer(x + END, "<u4").astype("<u2") for x in encoder.encode_many(group)]
                 yield rows(
                     len(group),
@@ -307,51 +362,137 @@ def _count(docs: DataFrame, tokenizer: str, model: Attention) -> DataFrame:
                     n=pa.array(train_.astype(np.int64)),
                 )
                 if train_.any():
-                    x = np.concatenate([x for x, used in zip(coded, train_, strict=True) if used])
-                    by_id += np.bincount(x, minlength=n_ids)
-                    before = np.concatenate([[END_ID], x[:-1]])  # texts end with END_ID
-                    np.add.at(by_pair, model.row[before] * (COLUMNS + 1) + model.column[x], 1)
-        if held:
-            yield words_out()
-        there = np.flatnonzero(by_id)
-        if len(there):
-            yield rows(len(there), word=pa.array(there), row=pa.array(np.full(len(there), -1, np.int32)), n=pa.array(by_id[there]))
-            there = np.flatnonzero(by_pair)
-            row, column = np.divmod(there, COLUMNS + 1)
-            yield rows(len(there), word=pa.array(column), row=pa.array(row.astype(np.int32)), n=pa.array(by_pair[there].astype(np.int64)))
+                    x = np.concatenate([x for x, used in zip(coded, train_, strict=True) if used]).astype(np.uint32)
+                    before = np.concatenate([np.array([END_ID], np.uint32), x[:-1]])  # texts end with END_ID
+                    pair, n = np.unique(before << np.uint32(16) | x, return_counts=True)
+                    pairs_held.append((pair.astype(np.uint64), n))
+                    yield from added(pairs_held, True, 4_000_000)
+        for held, pair in ((words_held, False), (pairs_held, True)):
+            yield from added(held, pair, 0)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SEEN)
 
 
-def _model_scores(spark: SparkSession, seen: DataFrame, model: Attention, counts: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """key, score (log10) of each distinct text."""
-    held = spark.sparkContext.broadcast(pickle.dumps((model, *within(model, counts, pairs))))
+def _cells(pairs: DataFrame, cells) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sums of counts by kind and cell. cells(last, id) gives arrays of (kind, cell, which rows) of pairs; there may be as
+    many cells as a small multiple of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for kind, cell, used in cells(word >> 16, word & 0xFFFF):
+                own, which = np.unique(cell, return_inverse=True)
+                sums = np.bincount(which, n[used], len(own)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(sums)], ["kind", "cell", "n"])
+
+    out = {}
+    found = pairs.select("word", "n").mapInArrow(run, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
+    kind, cell, n = (np.asarray(found.column(c)) for c in ("kind", "cell", "n"))
+    for k in range(2):
+        out[k] = (cell[kind == k], n[kind == k])
+    return out
+
+
+def train(spark: SparkSession, seen: DataFrame, model: Attention, n_ids: int) -> Attention:
+    """model with attention fitted to all training texts of seen, n_ids in all.
+
+    Shards of about SHARD_IDS ids or more, whole partitions of seen, start from the same weights; the average
+    of their weights by ids counts. Fewer ids than LEAST_IDS are one shard that is gone through several times.
+    """
+    held = spark.sparkContext.broadcast(pickle.dumps(model))
+    rounds = max(1, -(-LEAST_IDS // max(n_ids, 1)))
+    shards = max(1, min(SHARDS, n_ids // SHARD_IDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Attention = pickle.loads(held.value)
+        once = (group for batch in batches for group in _ids_of(batch.column(0).to_pylist()))
+        if rounds > 1:
+            kept = [[x.copy() for x in group] for group in once]  # fewer than LEAST_IDS ids
+            once = (group for _ in range(min(rounds, 50)) for group in kept)
+        n = own.learn(once)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([pickle.dumps(own.weights)], pa.binary())], ["n", "weights"])
+
+    texts = seen.filter("key IS NOT NULL AND n = 1").select("ids")
+    found = texts.coalesce(shards).mapInArrow(run, "n long, weights binary").toArrow()  # SHARDS rows at most
+    if len(found):
+        n = np.asarray(found.column("n"), float)
+        each = [pickle.loads(x) for x in found.column("weights").to_pylist()]
+        model.set_weights({k: np.average([w[k] for w in each], 0, n).astype(np.float32) for k in model.weights})
+    return model
+
+
+def fit(spark: SparkSession, seen: DataFrame, n_vocabulary: int) -> tuple[Attention, Within, DataFrame]:
+    """The model of the training texts in seen, and the counts of pairs (word, n) that a join must add."""
+    pairs = materialize(spark, seen.filter("pair").groupBy("word").agg(F.sum("n").alias("n")), "pair-counts")
+    width = CONTEXTS + 1
+    by_id = pairs.groupBy(F.col("word").bitwiseAND(0xFFFF).alias("id")).agg(F.sum("n").alias("n")).toArrow()  # the vocabulary at most
+    counts = np.zeros(n_vocabulary)
+    counts[np.asarray(by_id.column("id"))] = np.asarray(by_id.column("n"))
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(n_vocabulary, np.int64)
+    rank[order] = np.arange(n_vocabulary)
+    context = np.minimum(rank, CONTEXTS)
+    sides = _cells(pairs, lambda last, own: ((0, last * 2 * width + context[own], slice(None)), (1, own * 2 * width + width + context[last], slice(None))))
+    row, klass, embedding = structure(counts, tuple(np.concatenate([sides[0][i], sides[1][i]]) for i in range(2)))
+    n_rows, n_columns = min(ROWS, n_vocabulary), min(COLUMNS, n_vocabulary)
+
+    def tables(last: np.ndarray, own: np.ndarray):
+        inside = np.flatnonzero((rank[last] < n_rows) & (rank[own] < n_columns))
+        return (0, last * CLASSES + klass[own], slice(None)), (1, rank[last[inside]] * n_columns + rank[own[inside]], inside)
+
+    found = _cells(pairs, tables)
+    whole, dense = np.zeros(n_vocabulary * CLASSES), np.zeros(n_rows * n_columns, np.float32)
+    whole[found[0][0]], dense[found[1][0]] = found[0][1], found[1][1]
+    whole = whole.reshape(-1, CLASSES)
+    model = train(spark, seen, untrained(row, klass, embedding, whole), int(counts.sum()))
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = np.asarray(batch.column(0))
+            yield batch.filter(pa.array((rank[word >> 16] >= n_rows) | (rank[word & 0xFFFF] >= n_columns)))
+
+    rest = pairs.select("word", "n").mapInArrow(outside, "word long, n long")
+    top = rest.orderBy(F.desc("n"), "word").limit(PAIRS + 1).toArrow()
+    complete = len(top) <= PAIRS
+    top = top.slice(0, PAIRS)
+    keys, n = (np.asarray(top.column(c)).astype(np.int64) for c in ("word", "n"))
+    return model, Within.of(klass, counts, rank, whole, dense.reshape(n_rows, n_columns), keys, n, complete), rest
+
+
+def _model_scores(spark: SparkSession, seen: DataFrame, model: Attention, within: Within, rest: DataFrame) -> DataFrame:
+    """key, score (log10) of each distinct text. rest: word and n of pairs whose counts within may lack."""
+    held = spark.sparkContext.broadcast(pickle.dumps((model, within)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, inside, other, share = pickle.loads(held.value)
+        own, inside = pickle.loads(held.value)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            coded = batch.column(1).to_pylist()
-            scores = np.zeros(len(coded))
-            a = 0
-            while a < len(coded):  # as many texts as have about a million ids
-                b, size = a, 0
-                while b < len(coded) and (b == a or size + len(coded[b]) <= 1 << 20):
-                    size += len(coded[b])
-                    b += 1
-                ids, filled, text = _blocks([np.frombuffer(x, "<u2") for x in coded[a:b]])
+            scores, pairs, splits = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+            for streams in _ids_of(batch.column(1).to_pylist()):
+                ids, filled, text = _blocks(streams)
                 before, first = _before(ids, text)
-                rows, klass, column = own.row[before], own.klass[ids], own.column[ids]
-                log = own.class_log(rows, first, klass)
-                rare = np.nonzero(column == COLUMNS)
-                column[rare] = 0
-                log += inside[rows, column]
-                log[rare] += other[rows[rare], klass[rare]] + share[ids[rare]] - inside[rows[rare], 0]
+                log = own.class_log(own.row[before], first, own.klass[ids])
+                more, missing = inside.log(before, ids)
+                log += more
                 log[~filled] = 0
-                scores[a:b] = np.bincount(text, log.sum(1, dtype=np.float64), b - a) / np.log(10)
-                a = b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["key", "score"])
-
-    texts = seen.filter("key IS NOT NULL").select("key", "ids").mapInArrow(run, "key binary, score double")
+                scores.append(np.bincount(text, log.sum(1, dtype=np.float64), len(streams)) / np.log(10))
+                missing = missing[filled.ravel()[missing]]
+                pairs.append(before.ravel()[missing] << 16 | ids.ravel()[missing])
+                splits.append(splits[-1][-1] + np.searchsorted(text[missing // BLOCK], np.arange(len(streams)), side="right"))
+            n = batch.num_rows
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(splits).astype(np.int32)), pa.array(np.concatenate(pairs)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), pa.array(np.concatenate(scores)), lists], ["row", "key", "score", "pairs"])
+            row += n
+
+    texts = seen.filter("key IS NOT NULL").select("key", "ids").mapInArrow(run, "row long, key binary, score double, pairs array<long>")
+    if not within.complete:
+        texts = materialize(spark, texts, "scored")
+        share = spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.exp(within.share.astype(float)))], "id long, share double")
+        times = texts.select("row", F.explode("pairs").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+        found = times.join(rest, "word").withColumn("id", F.col("word").bitwiseAND(0xFFFF)).join(F.broadcast(share), "id")  # a row per id of the vocabulary
+        more = found.groupBy("row").agg((F.sum(F.col("times") * F.log1p(F.col("n") / (MU * F.col("share")))) / math.log(10)).alias("more"))
+        texts = texts.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     return texts.groupBy("key").agg(F.max("score").alias("score"))
 
 
@@ -371,7 +512,7 @@ def _look_up(spark: SparkSession, docs: DataFrame, head: tuple[np.ndarray, np.nd
             for group in groups(batch.column(1).to_pylist(), GROUP_CHARS):
                 n = len(group)
                 words = Words(group)
-                each = np.fromiter(map(xxhash.xxh3_64_intdigest, words.distinct.to_pylist()), np.uint64, len(words.distinct))
+                each = words.distinct_hashes()
                 place = np.minimum(np.searchsorted(known, each), max(len(known) - 1, 0))
                 inside = (known[place] == each) if len(known) else np.zeros(len(each), bool)
                 log = np.where(inside, np.log10(counts[place] + 0.1), 0.0) if len(known) else np.zeros(len(each))
@@ -407,22 +548,16 @@ def score_texts(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFra
 
     Null texts are empty and have their end alone; repeated rows are scored alike and count again in
     training; a null doc_id is held out; other columns are ignored; an empty table gives an empty result.
-    Words are told apart by a 64-bit hash.
+    Words are told apart by a 64-bit hash. The tokenizer may have 65,536 ids at most.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n_ids = TextEncoder(tokenizer).n_vocabulary
-    model = train(sample_windows(docs, tokenizer), n_ids)
-    seen = materialize(spark, _count(docs, tokenizer, model), "seen")
-    counts, pairs = np.zeros(n_ids), np.zeros((ROWS + CLASSES, COLUMNS + 1), np.float32)
-    # At most a row for each id of the vocabulary and for each cell of pairs.
-    cells = seen.filter("row IS NOT NULL").groupBy("row", "word").agg(F.sum("n").alias("n")).toArrow()
-    for batch in cells.to_batches():
-        row, word, n = (np.asarray(batch.column(i)) for i in range(3))
-        counts[word[row < 0]] = n[row < 0]
-        pairs[row[row >= 0], word[row >= 0]] = n[row >= 0]
-    del cells
+    if n_ids > 1 << 16:
+        raise ValueError(f"ids must fit 16 bits, and this vocabulary has {n_ids}")
+    seen = materialize(spark, _count(docs, tokenizer), "seen")
+    model, within, rest_pairs = fit(spark, seen, n_ids)
     end_count = seen.filter("key IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    words = seen.filter("word IS NOT NULL AND row IS NULL").groupBy("word").agg(F.sum("n").alias("n"))
+    words = seen.filter("NOT pair").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialize(spark, words, "word-counts")
     totals = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_tokens, n_distinct = totals["n"] + end_count, totals["v"] + (end_count > 0)
@@ -437,8 +572,11 @@ def score_texts(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFra
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more_logs"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
     )
-    scores = _model_scores(spark, seen, model, counts, pairs[:, :COLUMNS])
-    out = looked.drop("words", "times").join(rest, "row", "left").join(scores, "key", "left")
+    # Copies of one text share a key, so each score is there SALTS times, and rows ask for one of them.
+    scores = materialize(spark, _model_scores(spark, seen, model, within, rest_pairs), "scores")
+    scores = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = looked.drop("words", "times").join(rest, "row", "left").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    out = out.join(scores, ["key", "salt"], "left")
     whole = float(np.log10(n_tokens + 0.1 * (n_distinct + 1)))
     return out.select(
         "doc_id",

@@ -38,8 +38,9 @@ class TextEncoder:
     space stays inside chunks and is left to the library. Letters followed by ASCII punctuation (no
     apostrophe) are two pieces to the tokenizer, so such chunks are put together from both. Letter runs go
     to the library many at a time, joined by spaces: each ends in exactly one end-of-word id, and where
-    the count of those differs, they are encoded one by one. Pieces are remembered up to max_entries,
-    then forgotten, which bounds memory without changing results.
+    the count of those differs, they are encoded one by one. Pieces are remembered up to max_entries;
+    then those of one group only are forgotten, or all if that leaves more than half, which bounds memory
+    without changing results.
     """
 
     def __init__(self, path: str, max_entries: int = 250_000):
@@ -65,6 +66,33 @@ class TextEncoder:
         self.index: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
         self.bounds = np.zeros(1 << 16, np.int64)  # of piece i: bounds[i] to bounds[i + 1]
+        self.met = np.zeros(1 << 16, np.int32)  # groups that had piece i
+
+    def _make_room(self) -> None:
+        n = len(self.index)
+        again = self.met[:n] > 1
+        again[0] = True
+        if 2 * again.sum() > self.max_entries:
+            self._forget()
+            return
+        kept, size = np.flatnonzero(again), np.diff(self.bounds[: n + 1])[again]
+        flat = gather(self.flat, self.bounds[kept], size)
+        names = [x for x, used in zip(self.index, again.tolist(), strict=True) if used]
+        self._forget()
+        self._add(names, flat, size, 1)
+
+    def _add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray, first: int) -> None:
+        """Remembers pieces and their ids; the first piece, which is empty, may be among them (first is 1)."""
+        at = len(self.index) - first
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + len(names) + 1 > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.bounds[at + 1 : at + len(names) + 1] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.index.update(zip(names, range(at, at + len(names)), strict=True))
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after the other, and the number of each."""
@@ -93,16 +121,10 @@ class TextEncoder:
         new = [x for x in words if x not in index]
         if new:
             ids, sizes = self._letters(new) if letters else self._whole(new)
-            first = len(index)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(new) + 1 > len(self.bounds):
-                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.bounds[first + 1 : first + len(new) + 1] = self.used + np.cumsum(sizes)
-            self.used += len(ids)
-            index.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            self._add(new, ids, sizes, 0)
+        out = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        self.met[out] += 1
+        return out
 
     def encode_many(self, texts: Iterable[str | None], group_chars: int = 3_000_000) -> Iterator[bytes]:
         """The ids of each whole text as little-endian 32-bit integers, without an end id; null is empty.
@@ -125,7 +147,7 @@ class TextEncoder:
         coded = pc.dictionary_encode(lists.flatten())
         chunks = coded.dictionary
         if len(self.index) + len(chunks) > self.max_entries:
-            self._forget()
+            self._make_room()
         cores = pc.utf8_rtrim(chunks, _PUNCTUATION)
         plain = np.asarray(pc.utf8_is_alpha(cores))
         core_codes = pc.dictionary_encode(cores.filter(pa.array(plain)))

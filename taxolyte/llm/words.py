@@ -7,10 +7,41 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes that are hashed at a time.
+_SLICE = 1 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """x with its 64 bits mixed, in place."""
+    x ^= x >> np.uint64(31)
+    x *= _M1
+    x ^= x >> np.uint64(29)
+    x *= _M2
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def hash_strings(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string (no nulls): of its bytes, each mixed with its place, the mixed sum."""
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    strings = strings.cast(pa.large_binary())
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], np.uint8) if strings.buffers()[2] is not None else np.zeros(0, np.uint8)
+    out = np.diff(ends).astype(np.uint64)
+    for a in range(int(ends[0]), int(ends[-1]), _SLICE):  # bounds memory
+        b = min(a + _SLICE, int(ends[-1]))
+        first, last = np.searchsorted(ends, a, side="right") - 1, np.searchsorted(ends, b, side="left")
+        cut = np.clip(ends[first : last + 1], a, b)
+        size = np.diff(cut)
+        place = np.arange(a, b) - np.repeat(ends[first:last], size)
+        each = _mixed((place.astype(np.uint64) << np.uint64(8)) + data[a:b] + np.uint64(1))
+        full = np.flatnonzero(size)  # reduceat can't sum nothing
+        out[first + full] += np.add.reduceat(each, cut[full] - a)
+    return _mixed(out)
 
 
 def groups(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
@@ -54,9 +85,11 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word of all texts."""
-        digest = xxhash.xxh3_64_intdigest
-        each = np.fromiter((digest(w) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
-        return each[self.codes]
+        return self.distinct_hashes()[self.codes]
+
+    def distinct_hashes(self) -> np.ndarray:
+        """A 64-bit hash for each distinct word."""
+        return hash_strings(self.distinct)
 
 
 def fold(parts: list[np.ndarray], n: int) -> np.ndarray:

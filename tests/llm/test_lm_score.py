@@ -13,39 +13,156 @@ from taxolyte.llm.tokens import default_tokenizer
 
 @pytest.fixture(autouse=True)
 def quick(monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 40)
+    monkeypatch.setattr(lm, "LEAST_IDS", 500_000)
     monkeypatch.setattr(lm, "HEAD", 30)
 
 
-def model_of(rng, n=400):
-    windows = rng.integers(0, 300, (n, lm.WINDOW_BLOCKS * lm.BLOCK + 1))
+def pairs_of(windows):
+    pairs, n = np.unique(windows[:, :-1].ravel() << 16 | windows[:, 1:].ravel(), return_counts=True)
+    return pairs >> 16, pairs & 0xFFFF, n
+
+
+def model_of(rng, n=400, ids=500):
+    windows = rng.integers(0, 300, (n, 81))
     windows[:, 1::2] = (windows[:, ::2][:, : windows[:, 1::2].shape[1]] * 7 + 1) % 300
-    return windows, lm.train(windows, 500)
+    last, own, times = pairs_of(windows)
+    counts = np.bincount(own, times, ids)
+    rank = np.argsort(np.argsort(-counts, kind="stable"))
+    width, context = lm.CONTEXTS + 1, np.minimum(rank, lm.CONTEXTS)
+    place = np.concatenate([last * 2 * width + context[own], own * 2 * width + width + context[last]])
+    cells, which = np.unique(place, return_inverse=True)
+    row, klass, embedding = lm.structure(counts, (cells, np.bincount(which, np.tile(times, 2))))
+    follow = np.bincount(last * lm.CLASSES + klass[own], times, ids * lm.CLASSES).reshape(-1, lm.CLASSES)
+    model = lm.untrained(row, klass, embedding, follow)
+    model.learn(iter([list(windows)]))
+    return windows, model, rank, follow
 
 
 def test_next_ids_are_a_distribution():
     rng = np.random.default_rng(1)
-    windows, model = model_of(rng)
-    counts = np.bincount(windows.ravel(), minlength=500)
-    pairs = np.zeros((lm.ROWS + lm.CLASSES, lm.COLUMNS), np.float32)
-    np.add.at(pairs, (model.row[windows[:, :-1].ravel()], np.minimum(model.column[windows[:, 1:].ravel()], lm.COLUMNS - 1)), 1)
-    inside, other, share = lm.within(model, counts, pairs)
+    windows, model, rank, follow = model_of(rng)
+    last_, own, times = pairs_of(windows)
+    counts = np.bincount(own, times, 500)
+    dense = np.zeros((40, 60), np.float32)
+    inside = (rank[last_] < 40) & (rank[own] < 60)
+    dense[rank[last_[inside]], rank[own[inside]]] = times[inside]
+    keys, n = (last_ << 16 | own)[~inside], times[~inside]
+    within = lm.Within.of(model.klass, counts, rank, follow, dense, keys, n, True)
     ids = rng.integers(0, 300, 40)
-    total = np.zeros(40)
-    for last in range(500):  # every id as the one that follows
-        stream = np.append(ids[:-1], last)
-        cells, filled, text = lm._blocks([stream])
-        before, first = lm._before(cells, text)
-        at = (39 // lm.BLOCK, 39 % lm.BLOCK)
-        log = model.class_log(model.row[before], first, model.klass[cells])[at]
-        r, c = model.row[before][at], model.column[last]
-        total[39] += np.exp(log + (inside[r, c] if c < lm.COLUMNS else other[r, model.klass[last]] + share[last]))
-    assert abs(total[39] - 1) < 1e-3
+    for at in (39, 17):
+        total = 0
+        for last in range(500):  # every id as the one that follows
+            stream = ids.copy()
+            stream[at] = last
+            cells, filled, text = lm._blocks([stream])
+            before, first = lm._before(cells, text)
+            more, missing = within.log(before, cells)
+            place = divmod(at, lm.BLOCK)
+            assert not len(missing)
+            total += np.exp(model.class_log(model.row[before], first, model.klass[cells])[place] + more[place])
+        assert abs(total - 1) < 1e-3
+    # Counts that are left out are named, and a join that adds them gives the same.
+    some = lm.Within.of(model.klass, counts, rank, follow, np.zeros_like(dense), keys[::2], n[::2], False)
+    cells, _, text = lm._blocks(list(windows[:5]))
+    before, _ = lm._before(cells, text)
+    whole, part, missing = within.log(before, cells)[0], *some.log(before, cells)
+    share = np.exp(within.share.astype(float))
+    table = dict(zip(keys.tolist(), n.tolist()))
+    part = part.ravel()
+    for i in missing.tolist():
+        b, x = before.ravel()[i], cells.ravel()[i]
+        part[i] += np.log1p(table.get(int(b << 16 | x), 0) / (lm.MU * share[x]))
+    head = ((rank[before] < 40) & (rank[cells] < 60)).ravel()
+    assert np.allclose(part[~head], whole.ravel()[~head], atol=1e-4)
+
+
+def test_gradients():
+    rng = np.random.default_rng(5)
+    _, model, _, _ = model_of(rng, 60)
+    cells, filled, text = lm._blocks([rng.integers(0, 300, n) for n in (5, 70, 33)])
+    before, first = lm._before(cells, text)
+    rows, target = model.row[before], model.klass[cells]
+    for a, b in ((0, len(cells)), (2, 6)):
+        used = np.zeros_like(filled)
+        used[a:b] = filled[a:b]
+        got = model.gradients(rows, first, target, filled, a, b)
+        base = {k: x.copy() for k, x in model.weights.items()}
+        for name in base:
+            for place in [tuple(rng.integers(0, n) for n in base[name].shape) for _ in range(4)]:
+                losses = []
+                for step in (3e-3, -3e-3):
+                    changed = {k: x.copy() for k, x in base.items()}
+                    changed[name][place] += step
+                    model.set_weights(changed)
+                    losses.append(-model.class_log(rows, first, target)[used].astype(float).mean())
+                assert abs((losses[0] - losses[1]) / 6e-3 - got[name][place]) < 2e-3 + 0.05 * abs(got[name][place])
+        model.set_weights(base)
+
+
+def test_attention_learns_what_pairs_cannot_tell():
+    # The id after a 7 is the one that came two before it; pairs alone can't say which.
+    rng = np.random.default_rng(6)
+    first = rng.integers(10, 14, (600, 20))
+    windows = np.stack([first, np.full_like(first, 7), first + 10, np.full_like(first, 8)], 2).reshape(600, -1)
+    last, own, times = pairs_of(windows)
+    counts = np.bincount(own, times, 30)
+    klass = np.arange(30)
+    row = np.arange(30)
+    embedding = np.random.default_rng(0).normal(0, 1, (lm.ROWS + lm.CLASSES, lm.WIDTH)).astype(np.float32)
+    follow = np.zeros((30, lm.CLASSES))
+    np.add.at(follow, (last, klass[own]), times)
+    model = lm.untrained(row, klass, embedding, follow)
+
+    def loss():
+        cells, filled, text = lm._blocks(list(windows[500:]))
+        before, begins = lm._before(cells, text)
+        return -model.class_log(model.row[before], begins, model.klass[cells])[filled].mean()
+
+    start = loss()
+    model.learn(iter([list(windows[:500])] * 40))
+    assert loss() < start - 0.2
+
+
+def test_every_training_text_counts(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)]
+    docs = [(i, " ".join(rng.choices(words, k=60))) for i in range(80)]
+    train_ids = [i for i, _ in docs if not lm.held_out(i)]
+
+    def weights(rows):
+        seen = lm.materialize(spark, lm._count(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), default_tokenizer()), "seen")
+        model, within, _ = lm.fit(spark, seen, 49152)
+        return model.weights["q"], float(within.share.sum())
+
+    base = weights(docs)
+    for i in (train_ids[0], train_ids[-1]):
+        changed = weights([(j, t if j != i else "entirely different things are said here " * 9) for j, t in docs])
+        assert not np.array_equal(base[0], changed[0]) and base[1] != changed[1]
+    held = next(i for i, _ in docs if lm.held_out(i))
+    same = weights([(j, t if j != held else "entirely different things") for j, t in docs])
+    assert np.array_equal(base[0], same[0]) and base[1] == same[1]
+
+
+def test_pairs_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60))) for i in range(60)] + [(70, ""), (71, None)], "doc_id long, text string")
+    scores = lambda: {r["doc_id"]: r["score"] for r in lm.score_texts(spark, docs.coalesce(1), default_tokenizer()).collect()}
+    want = scores()
+    monkeypatch.setattr(lm, "COLUMNS", 20)
+    monkeypatch.setattr(lm, "PAIRS", 30)
+    got = scores()
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 + 1e-4 * abs(want[i]) for i in want)
+
+
+def test_odd_rows(spark, odd_docs):
+    out = lm.score_texts(spark, odd_docs, default_tokenizer()).collect()
+    assert len(out) == odd_docs.count() and all(math.isfinite(r["score"]) for r in out)
 
 
 def test_blocks_are_causal_and_windows_overlap():
     rng = np.random.default_rng(2)
-    _, model = model_of(rng)
+    _, model, _, _ = model_of(rng)
     ids = rng.integers(0, 300, 200)
 
     def logs(stream):
