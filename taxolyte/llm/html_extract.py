@@ -1,11 +1,15 @@
 """Main text of web pages by wrappers inferred for each host.
 
-A page's tags form a stream of block elements (tag, first class or id) with text slots. Streams of one host
-are aligned pairwise and iteratively: elements that both sides have are merged, those that one side lacks
-become optional, adjacent equal elements or runs of them become repeated groups, and text becomes slots
-with statistics. No alternatives arise, so the result is a union-free regular expression, the wrapper
-(`render`). A host's wrapper accepts all of its pages; which of its slots hold the article is decided once
-per wrapper and applied to every page.
+A page's tags form a tree of block elements (tag, first class or id) with text slots. Pages of one host
+are aligned pairwise and iteratively: where the streams of two lists of elements agree, element meets
+element; a mismatch is resolved by making equal neighbours, or runs of them, repeated groups, and what one
+side still lacks optional; text becomes slots with statistics. No alternatives arise, so the result is a
+union-free regular expression, the wrapper (`render`).
+
+Which slots hold the article is decided once per wrapper (`decide`): menus, adverts and the like are out by
+their names, of the rest the text that stays the same on different pages belongs to the site, and where no
+element says that it is the article, it is the smallest part of the wrapper with most of the text that
+varies. Every page is then matched with its host's wrapper (`match`), and its texts share the fate of their slots.
 
 Workers merge the pages of a task into a wrapper per host, and partial wrappers are merged in two grouped
 steps, so a hot host costs no more than its number of tasks.
@@ -16,7 +20,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -48,7 +53,8 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _RAW = "|".join(RAW)
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|</?[A-Za-z][^>]*\Z|(?P<text>[^<]+|<)",
+    # A quote opens a value only after =, and only if it is closed somewhere; else it is a character like others.
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attributes>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>|</?[A-Za-z][^>]*\Z|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -58,10 +64,14 @@ _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 HELD_HOSTS, PARTS = 5000, 64
 #: Depth from which on elements are not told apart.
 DEPTH = 100
-#: Texts from which on a slot that never varies counts as the site's own text, if pages differ.
-CONSTANT_PAGES = 3
-#: Wrappers that may be broadcast, in rows and characters.
-FEW_HOSTS, FEW_CHARS = 50_000, 32_000_000
+#: Elements for running text: within an article they count even if their text never varies.
+PROSE = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "caption", "blockquote", "pre", "figcaption", "summary", "address"}
+#: Equal neighbours from which on they are a repeated group by themselves.
+LONG_RUN = 32
+#: Cells up to which the longest common order of two lists is sought; beyond, elements meet the next equal one.
+MOST_CELLS = 250_000
+#: Wrappers that may be broadcast, in rows and characters, and parts in which hosts are joined otherwise.
+FEW_HOSTS, FEW_CHARS, SALTS = 50_000, 32_000_000, 16
 
 
 def scan(page: str) -> Iterator[tuple[tuple[str, ...] | None, str, bool, tuple[int, ...]]]:
@@ -155,76 +165,89 @@ def _rank(path: tuple[str, ...] | list[str]) -> int:
 
 
 # A wrapper element is [name, optional, repeated, children]; a slot is ["#", optional, repeated, statistics]
-# with statistics [characters, characters in links, least and greatest text hash, texts]; a group of several
-# repeated elements is ["()", optional, True, children].
+# with statistics [characters, characters in links, least and greatest text hash, least and greatest hash of
+# the pages it is on]; a group of several repeated elements is ["()", optional, True, children].
 
 
-def build(page: str) -> list:
-    """The wrapper of one page: ["", False, False, children]."""
+def tree(events: list[tuple]) -> list:
+    """The elements of a page (from `scan`), ["", False, False, children], with slots ["#", False, False, places of events]."""
     root: list = ["", False, False, []]
     open_: list[list] = [root]
     last: tuple[int, ...] = ()
-    for where, text, link, numbers in scan(page):
-        if where is None or not text.strip():
+    for i, (where, text, _, numbers) in enumerate(events):
+        if where is None:
             continue
         common = 0
         while common < min(len(last), len(numbers)) and last[common] == numbers[common]:
             common += 1
+        blank = not text.strip()
+        if blank and (common < len(numbers) or len(last) > common):
+            continue  # white space where an element begins or ends
         del open_[common + 1 :]
         for element in where[common:]:
             node: list = [element, False, False, []]
             open_[-1][3].append(node)
             open_.append(node)
         last = numbers
-        n, h = len(text.strip()), xxhash.xxh3_64_intdigest(text.strip()) >> 1
-        open_[-1][3].append(["#", False, False, [n, n if link else 0, h, h, 1]])
-    todo = [root]
-    order = []
+        inner = open_[-1][3]
+        if inner and inner[-1][0] == "#":
+            inner[-1][3].append(i)
+        elif not blank:
+            inner.append(["#", False, False, [i]])
+    return root
+
+
+def build(page: str) -> list:
+    """The wrapper of one page."""
+    events = list(scan(page))
+    root = tree(events)
+    own = xxhash.xxh3_64_intdigest(page) >> 1
+    todo, order = [root], []
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node[3] if c[0] != "#"]
     for node in reversed(order):
-        node[3] = fold(node[3])
+        for slot in node[3]:
+            if slot[0] == "#":
+                texts = [events[i] for i in slot[3]]
+                text = " ".join("".join(t for _, t, _, _ in texts).split())
+                h = xxhash.xxh3_64_intdigest(text) >> 1
+                slot[3] = [len(text), min(len(text), sum(len(t.strip()) for _, t, link, _ in texts if link)), h, h, own, own]
+        node[3] = _short_runs(node[3])
     return root
 
 
+def _short_runs(nodes: list) -> list:
+    """nodes with runs of LONG_RUN or more equal neighbours as one repeated element each."""
+    out: list = []
+    a = 0
+    while a < len(nodes):
+        b = a + 1
+        while b < len(nodes) and _same(nodes[b], nodes[a]):
+            b += 1
+        if b - a < LONG_RUN:
+            out += nodes[a:b]
+        else:
+            one = nodes[a]
+            for x in nodes[a + 1 : b]:
+                one = merge(one, [x[0], False, *x[2:]], repeated=x[0] != "#")
+            out.append([one[0], all(x[1] for x in nodes[a:b]), *one[2:]])
+        a = b
+    return out
+
+
 def _same(a: list, b: list) -> bool:
     return a[0] == b[0] and (a[0] != "()" or [x[0] for x in a[3]] == [x[0] for x in b[3]])
 
 
-def fold(nodes: list) -> list:
-    """Equal neighbours become one repeated element, equal neighbouring runs of up to four a repeated group."""
-    for width in (1, 2, 3, 4):
-        out: list = []
-        i = 0
-        while i < len(nodes):
-            run = nodes[i : i + width]
-            last = out[-1] if out else None
-            if width == 1:
-                if last is not None and _same(last, run[0]):
-                    out[-1] = merge(last, run[0], repeated=last[0] != "#")
-                else:
-                    out.append(run[0])
-                i += 1
-                continue
-            if last is not None and last[0] == "()" and len(run) == width and [x[0] for x in last[3]] == [x[0] for x in run]:
-                last[3] = [merge(x, y) for x, y in zip(last[3], run, strict=True)]
-                i += width
-                continue
-            after = nodes[i + width : i + 2 * width]
-            if len(after) == width and all(x[0] != "()" and _same(x, y) for x, y in zip(run, after, strict=True)):
-                out.append(["()", False, True, [merge(x, y) for x, y in zip(run, after, strict=True)]])
-                i += 2 * width
-                continue
-            out.append(nodes[i])
-            i += 1
-        nodes = out
-    return nodes
+def _alike(a: list, b: list) -> bool:
+    """Whether two equal elements have children of the same names, so that they may be one element repeated."""
+    return _same(a, b) and (a[0] in ("#", "()") or {c[0] for c in a[3]} == {c[0] for c in b[3]})
 
 
 def _pooled(x: list, y: list) -> list:
-    return [x[0] + y[0], x[1] + y[1], min(x[2], y[2]), max(x[3], y[3]), x[4] + y[4]]
+    return [x[0] + y[0], x[1] + y[1], min(x[2], y[2]), max(x[3], y[3]), min(x[4], y[4]), max(x[5], y[5])]
 
 
 def merge(a: list, b: list, repeated: bool = False) -> list:
@@ -253,29 +276,100 @@ def _grouped(nodes: list, other: list) -> list:
 
 
 def align(a: list, b: list) -> list:
-    """Two lists of elements as one: equal ones merged in a longest common order, the rest optional."""
+    """Two lists of elements as one: element by element if they agree, else equal elements merged in a common order. What
+    one list lacks is a repetition of its neighbours if it is alike, else optional."""
+    if len(a) == len(b) and all(map(_same, a, b)):
+        return [merge(x, y) for x, y in zip(a, b, strict=True)]
     a, b = _grouped(a, b), _grouped(b, a)
     head = 0
-    while head < min(len(a), len(b)) and _same(a[head], b[head]):
+    while head < min(len(a), len(b)) and _same(a[head], b[head]) and _likeness(a[head], b[head]) == 7:
         head += 1
-    out = [merge(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
-    a, b = a[head:], b[head:]
-    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    tail = 0
+    while tail < min(len(a), len(b)) - head and _same(a[-1 - tail], b[-1 - tail]) and _likeness(a[-1 - tail], b[-1 - tail]) == 7:
+        tail += 1
+    pairs = [(i, i) for i in range(head)]
+    pairs += [(head + i, head + j) for i, j in _common(a[head : len(a) - tail], b[head : len(b) - tail])]
+    pairs += [(len(a) - i, len(b) - i) for i in range(tail, 0, -1)]
+    both = []  # element, and whether one list lacks it
+    i = j = 0
+    for x, y in [*pairs, (len(a), len(b))]:
+        both += [(n, True) for n in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            both.append((merge(a[x], b[y]), False))
+        i, j = x + 1, y + 1
+    return _short_runs(_resolved(both))
+
+
+def _resolved(both: list[tuple[list, bool]]) -> list:
+    """Elements of which some are lacking in one list (True): repetitions of those before or after, or optional ones."""
+    out: list = []
+    i = 0
+    while i < len(both):
+        node, lacking = both[i]
+        i += 1
+        if not lacking:
+            out.append(node)
+        elif out and _alike(out[-1], node):
+            out[-1] = merge(out[-1], [node[0], False, *node[2:]], repeated=node[0] != "#")
+        elif i < len(both) and _alike(node, both[i][0]) and not both[i][1]:
+            after = both[i][0]
+            both[i] = (merge([node[0], after[1], *node[2:]], after, repeated=node[0] != "#"), False)
+        else:
+            for width in (2, 3, 4):
+                run = [x for x, gone in both[i - 1 : i - 1 + width] if gone]
+                group = out[-1][3] if out and out[-1][0] == "()" else []
+                if len(run) == width == len(group) and all(map(_alike, group, run)):
+                    out[-1][3] = [merge(x, y) for x, y in zip(group, run, strict=True)]
+                    out[-1][2] = True
+                elif len(run) == width <= len(out) and all(x[0] != "()" and _alike(x, y) for x, y in zip(out[-width:], run, strict=True)):
+                    out[-width:] = [["()", False, True, [merge(x, y) for x, y in zip(out[-width:], run, strict=True)]]]
+                else:
+                    continue
+                i += width - 1
+                break
+            else:
+                out.append([node[0], True, *node[2:]])
+    return out
+
+
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of equal elements in a common order: the longest one, or for very long lists a good one."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > MOST_CELLS:
+        places: dict[str, list[int]] = {}
+        for j, y in enumerate(b):
+            places.setdefault(json.dumps([y[0], [c[0] for c in y[3]] if y[0] == "()" else 0]), []).append(j)
+        out, least = [], 0
+        for i, x in enumerate(a):
+            there = places.get(json.dumps([x[0], [c[0] for c in x[3]] if x[0] == "()" else 0]), [])
+            k = bisect_left(there, least)
+            if k < len(there) and there[k] - least <= len(b) - len(a) + 64:
+                out.append((i, there[k]))
+                least = there[k] + 1
+        return out
+    # Among common orders the one whose elements are most alike: children of the same names, the same text.
+    most = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            longest[i][j] = 1 + longest[i + 1][j + 1] if _same(a[i], b[j]) else max(longest[i + 1][j], longest[i][j + 1])
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and _same(a[i], b[j]):
-            out.append(merge(a[i], b[j]))
+            most[i][j] = max(most[i + 1][j], most[i][j + 1])
+            if _same(a[i], b[j]):
+                most[i][j] = max(most[i][j], most[i + 1][j + 1] + _likeness(a[i], b[j]))
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if _same(a[i], b[j]) and most[i][j] == most[i + 1][j + 1] + _likeness(a[i], b[j]):
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and longest[i + 1][j] >= longest[i][j + 1]):
-            out.append([a[i][0], True, *a[i][2:]])
+        elif most[i][j] == most[i + 1][j]:
             i += 1
         else:
-            out.append([b[j][0], True, *b[j][2:]])
             j += 1
-    return fold(out)
+    return out
+
+
+def _likeness(a: list, b: list) -> int:
+    texts = [[c[3][2:4] for c in x[3] if c[0] == "#"] for x in (a, b)] if a[0] != "#" else [[a[3][2:4]], [b[3][2:4]]]
+    return 4 + 2 * _alike(a, b) + (texts[0] == texts[1] != [])
 
 
 def render(node: list) -> str:
@@ -286,62 +380,147 @@ def render(node: list) -> str:
     return f"({body}){sign}" if sign else body
 
 
-def slots(wrapper: list) -> dict[tuple[str, ...], list]:
-    """The statistics of a wrapper's slots by path."""
-    out: dict[tuple[str, ...], list] = {}
-    todo: list[tuple[tuple[str, ...], list]] = [((), wrapper)]
+def _slots(wrapper: list) -> list[tuple[tuple[str, ...], list, tuple[list, ...]]]:
+    """path, slot and elements around it (outermost first) of all slots."""
+    out: list[tuple[tuple[str, ...], list, tuple[list, ...]]] = []
+    todo: list[tuple[tuple[str, ...], tuple[list, ...], list]] = [((), (wrapper,), wrapper)]
     while todo:
-        path, node = todo.pop()
+        path, around, node = todo.pop()
         for child in node[3]:
             if child[0] == "#":
-                s = out.get(path)
-                t = child[3]
-                out[path] = t if s is None else _pooled(s, t)
+                out.append((path, child, around))
             else:
-                todo.append((path if child[0] == "()" else (*path, child[0]), child))
+                todo.append((path if child[0] == "()" else (*path, child[0]), (*around, child), child))
     return out
 
 
-def decide(wrapper: list, varied: bool) -> tuple[list[str], list[str]]:
-    """Paths of slots that hold the article where a page has one, and those for pages without.
+def decide(wrapper: list, varied: bool) -> list:
+    """The wrapper's rules [name, repeated, children], with slots ["#", fate]: 1 for the article, 2 for it on pages
+    that have nothing of fate 1, 3 on pages that have neither, 0 for what is never in it.
 
     Slots in menus, adverts and the like are out. Article elements come before main elements before so
-    named ones. For other pages, slots count that vary between pages and are not mostly links.
+    named ones; in them prose stays, and other text if it varies. Else the article is what varies, is not mostly links, and
+    lies in the smallest element that has more than half of such text; on pages without that element, what
+    varies and is not mostly links anywhere. Text varies unless it is the same on different pages; if all
+    pages of a host are copies (not varied), all text counts.
     """
-    open_ = {p: s for p, s in slots(wrapper).items() if not _dropped(p)}
-    best = max((_rank(p) for p in open_), default=0)
-    inside = [p for p in open_ if best and _rank(p) == best]
-    others = [p for p, s in open_.items() if 2 * s[1] <= s[0] and not (varied and s[4] >= CONSTANT_PAGES and s[2] == s[3])]
-    return ["/".join(p) for p in inside], ["/".join(p) for p in others]
-
-
-def extract(page: str | None, inside: set[str], others: set[str]) -> str:
-    """The texts of a page in the given slots: blocks joined by line feeds, white space made single."""
-    if not page:
-        return ""
-    blocks: list[str] = []
-    spare: list[str] = []
-    now: list[str] = []
-    now_spare: list[str] = []
-
-    def flush() -> None:
-        for parts, out in ((now, blocks), (now_spare, spare)):
-            if parts:
-                if text := " ".join("".join(parts).split()):
-                    out.append(text)
-                parts.clear()
-
-    for path, text, _, _ in scan(page):
-        if path is None:
-            flush()
-            continue
-        key = "/".join(path)
-        if key in inside:
-            now.append(text)
-        elif key in others:
-            now_spare.append(text)
-    flush()
-    return "\n".join(blocks or spare)
+    every = _slots(wrapper)
+    open_ = [x for x in every if not _dropped(x[0])]
+    best = max((_rank(p) for p, _, _ in open_), default=0)
+    own = lambda s: varied and s[2] == s[3] and s[4] != s[5]
+    fates = {id(slot): 0 for _, slot, _ in every}
+    others = [x for x in open_ if 2 * x[1][3][1] <= x[1][3][0] and not own(x[1][3])]
+    inside: dict[int, int] = {}
+    for _, slot, around in others:
+        for node in around:
+            inside[id(node)] = inside.get(id(node), 0) + slot[3][0]
+    whole = inside.get(id(wrapper), 0)
+    root = wrapper
+    while below := [c for c in root[3] if c[0] != "#" and 2 * inside.get(id(c), 0) > whole]:
+        root = below[0]
+    for _, slot, around in others:
+        fates[id(slot)] = 2 if any(n is root for n in around) else 3
+    for path, slot, _ in open_:
+        if best and _rank(path) == best and (path[-1].partition(".")[0] in PROSE or not own(slot[3])):
+            fates[id(slot)] = 1
+
+    def rules(node: list, path: tuple[str, ...]) -> list:
+        if node[0] == "#":
+            return ["#", fates[id(node)]]
+        path = path if node[0] in ("", "()") else (*path, node[0])
+        inner = [] if _dropped(path) and path[-1].partition(".")[0] != "header" else [rules(c, path) for c in node[3]]
+        return [node[0], node[2], inner]
+
+    return rules(wrapper, ())
+
+
+def match(rules: list, page: list, fates: list[int], by_path: dict[tuple[str, ...], int]) -> None:
+    """Sets the fates of a page's texts (places of events in `tree`) by matching its elements with a wrapper's rules.
+
+    What the rules lack (a page that the wrapper has not seen) has the fate of slots on the same path.
+    """
+    todo: list[tuple[list | None, list, tuple[str, ...]]] = [(rules, page, ())]
+    while todo:
+        rule, node, path = todo.pop()
+        for child, found in zip(node[3], _matched(rule[2], node[3]) if rule else [None] * len(node[3]), strict=True):
+            if child[0] == "#":
+                fate = found[1] if found else by_path.get(path, 0)
+                for i in child[3]:
+                    fates[i] = fate
+            else:
+                todo.append((found, child, (*path, child[0])))
+
+
+def _matched(rules: list, nodes: list) -> list[list | None]:
+    """The rule of each element of a list."""
+    if len(rules) == len(nodes) and all(r[0] == n[0] for r, n in zip(rules, nodes, strict=True)):
+        return list(rules)
+    flat = [(c, g) for g, r in enumerate(rules) for c in (r[2] if r[0] == "()" else [r])]
+    by_name: dict[str, list[int]] = {}
+    for k, (c, _) in enumerate(flat):
+        by_name.setdefault(c[0], []).append(k)
+    if all(len(x) == 1 for x in by_name.values()):
+        return [flat[by_name[n[0]][0]][0] if n[0] in by_name else None for n in nodes]
+    # The order with the most elements matched; then with the fewest rules passed over. A repeated rule, or a group, may be met again.
+    again = [rules[g][0] == "()" or (c[0] != "#" and c[1]) for c, g in flat]
+    first = {g: k for k, (_, g) in reversed(list(enumerate(flat)))}
+    best: dict[int, tuple[int, tuple | None]] = {-1: (0, None)}  # last rule met -> cost, chain
+    for n in nodes:
+        new: dict[int, tuple[int, tuple | None]] = {}
+        for last, (cost, chain) in best.items():
+            options = [(last, cost + 1000, None)]
+            for k in by_name.get(n[0], ()):
+                if k > last or (k == last and again[k] and rules[flat[k][1]][0] != "()"):
+                    options.append((k, cost + max(0, k - last - 1), flat[k][0]))
+                elif last >= 0 and flat[k][1] == flat[last][1] and rules[flat[k][1]][0] == "()":
+                    options.append((k, cost + k - first[flat[k][1]], flat[k][0]))  # the group once more
+            for k, price, rule in options:
+                if k not in new or price < new[k][0]:
+                    new[k] = (price, (rule, chain))
+        best = new
+    _, chain = min(best.values(), key=lambda x: x[0])
+    out: list[list | None] = []
+    while chain is not None:
+        out.append(chain[0])
+        chain = chain[1]
+    return out[::-1]
+
+
+class Rules:
+    """A wrapper's rules, ready for pages."""
+
+    def __init__(self, rules: list):
+        self.rules = rules
+        self.by_path: dict[tuple[str, ...], int] = {}
+        todo: list[tuple[tuple[str, ...], list]] = [((), rules)]
+        while todo:
+            path, node = todo.pop()
+            for child in node[2]:
+                if child[0] == "#":
+                    if child[1]:
+                        self.by_path[path] = min(child[1], self.by_path.get(path, 3))
+                else:
+                    todo.append((path if child[0] == "()" else (*path, child[0]), child))
+
+    def extract(self, page: str | None) -> str:
+        """The article of a page: blocks joined by line feeds, white space made single."""
+        if not page:
+            return ""
+        events = list(scan(page))
+        fates = [0] * len(events)
+        match(self.rules, tree(events), fates, self.by_path)
+        blocks: list[list[str]] = [[], [], []]  # by fate
+        now: list[list[str]] = [[], [], []]
+        for (path, text, _, _), fate in [*zip(events, fates, strict=True), ((None, "", False, ()), 0)]:
+            if path is None:
+                for parts, out in zip(now, blocks, strict=True):
+                    if parts:
+                        if joined := " ".join("".join(parts).split()):
+                            out.append(joined)
+                        parts.clear()
+            elif fate:
+                now[fate - 1].append(text)
+        return "\n".join(next(filter(None, blocks), []))
 
 
 _PARTIAL = "host string, part int, pages long, lo long, hi long, wrapper string"
@@ -362,10 +541,9 @@ def _merged(table: pa.Table) -> dict:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, pages, wrapper, inside, others: one row per host of pages (url, html).
+    """host, pages, wrapper, rules: one row per host of pages (url, html).
 
-    wrapper is the host's union-free regular expression; inside and others are the slots that `decide`
-    names. Null pages take no part; pages without a host share the host ''; repeated pages are merged
+    wrapper is the host's union-free regular expression; rules is the JSON that `decide` gives. Null pages take no part; pages without a host share the host ''; repeated pages are merged
     again, but pages that are all copies of one do not make its text constant.
     """
 
@@ -400,15 +578,12 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def final(table: pa.Table) -> pa.Table:
         x = _merged(table)
-        inside, others = decide(x["wrapper"][0], x["lo"] != x["hi"])
-        strings = pa.list_(pa.string())
-        return pa.table(
-            {"host": x["host"], "pages": x["pages"], "wrapper": [render(x["wrapper"][0])], "inside": pa.array([inside], strings), "others": pa.array([others], strings)}
-        )
+        rules = json.dumps(decide(x["wrapper"][0], x["lo"] != x["hi"]))
+        return pa.table({"host": x["host"], "pages": x["pages"], "wrapper": [render(x["wrapper"][0])], "rules": [rules]})
 
     rows = pages.filter("html IS NOT NULL").select(_host(), "html")
     parts = rows.mapInArrow(partial, _PARTIAL).groupBy("host", "part").applyInArrow(again, _PARTIAL)
-    return parts.groupBy("host").applyInArrow(final, "host string, pages long, wrapper string, inside array<string>, others array<string>")
+    return parts.groupBy("host").applyInArrow(final, "host string, pages long, wrapper string, rules string")
 
 
 def _host():
@@ -421,25 +596,30 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     A null or empty page has an empty text; repeated rows and null ids or urls are kept; other columns are
     ignored; an empty table gives an empty result.
     """
-    rules = materialize(spark, infer_wrappers(pages).select("host", "inside", "others"), "wrappers")
-    size = rules.limit(FEW_HOSTS + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.array_join(F.concat("inside", "others"), "/"))).alias("c")).first()
-    few = size["n"] <= FEW_HOSTS and (size["c"] or 0) <= FEW_CHARS
-    rows = pages.select("page_id", "url", "html", _host()).join(F.broadcast(rules) if few else rules, "host", "left")
+    rules = materialize(spark, infer_wrappers(pages).select("host", "rules"), "wrappers")
+    size = rules.limit(FEW_HOSTS + 1).agg(F.count("*").alias("n"), F.sum(F.length("rules")).alias("c")).first()
+    rows = pages.select("page_id", "url", "html", _host())
+    if size["n"] <= FEW_HOSTS and (size["c"] or 0) <= FEW_CHARS:
+        rows = rows.join(F.broadcast(rules), "host", "left")
+    else:  # a hot host's pages go to several tasks
+        rules = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(rules, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, Rules] = {}
         for batch in batches:
             texts = []
-            sets: dict[tuple, tuple[set[str], set[str]]] = {}
-            for page, inside, others in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                key = (tuple(inside or ()), tuple(others or ()))
-                if key not in sets:
-                    sets[key] = (set(key[0]), set(key[1]))
-                texts.append(extract(page.as_py(), *sets[key]))
+            for page, own in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if own not in known:
+                    if len(known) >= HELD_HOSTS:
+                        known.clear()
+                    known[own] = Rules(json.loads(own) if own else ["", False, []])
+                texts.append(known[own].extract(page.as_py()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "inside", "others").mapInArrow(
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "rules").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 from taxolyte.llm import html_extract as hx
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header class="site"><a href=/>Logo</a></header>
@@ -70,3 +73,109 @@ def test_many_partials(spark, monkeypatch):
 
 def test_empty(spark):
     assert hx.main_text(spark, pages(spark, [])).count() == 0
+
+
+def one(text):
+    return hx.Rules(hx.decide(hx.build(text), False)).extract(text)
+
+
+def test_odd_quotes_leak_no_markup():
+    assert one('<body><p title="5" inch">Hello</p>') == "Hello"
+    assert one('<p>a</p><a href="x>y') == "a\ny" or one('<p>a</p><a href="x>y') == "a"
+    assert one("<p title='it's' x=\"a>b\" y>He said \"no\"</p>") == 'He said "no"'
+    assert one("<p a=1 b='x>y'>z</p ><p =\"q>\">w</p>") == "z\nw"
+
+
+#: Pages whose names say nothing: the site's own text is known by its staying the same, and the article by its place.
+PLAIN = "<html><body><div><div>Site name</div><div>Today's {n} offers</div></div><div>{title}</div><div>{body}</div>{extra}<div>All rights kept</div></body></html>"
+
+
+def plain_pages(n):
+    rows, want = [], {}
+    for i in range(n):
+        body = [f"Paragraph {j} of text {i} says something of its own at some length." for j in range(1 + i % 5)]
+        page = PLAIN.format(n=i, title=f"Title {i}", body="".join(f"<div>{b}</div>" for b in body), extra="<div>Rate this</div>" * (i % 3 == 0))
+        rows.append((i, "http://plain.example/x", page))
+        want[i] = "\n".join(body)
+    return rows, want
+
+
+def test_wrapper_decides_where_names_say_nothing(spark):
+    rows, want = plain_pages(15)
+    assert {i: r["text"] for i, r in texts(spark, rows).items()} == want
+
+
+def test_alignment_matters(spark, monkeypatch):
+    rows, want = plain_pages(9)
+    wrapper = None
+    for _, _, page in rows:
+        wrapper = hx.build(page) if wrapper is None else hx.merge(wrapper, hx.build(page))
+    rules = hx.Rules(hx.decide(wrapper, True))
+    assert [rules.extract(p) for _, _, p in rows] == [want[i] for i, _, _ in rows]
+    monkeypatch.setattr(hx, "align", lambda a, b: [*a, *b])
+    wrapper = None
+    for _, _, page in rows:
+        wrapper = hx.build(page) if wrapper is None else hx.merge(wrapper, hx.build(page))
+    rules = hx.Rules(hx.decide(wrapper, True))
+    assert [rules.extract(p) for _, _, p in rows] != [want[i] for i, _, _ in rows]
+
+
+def random_list(rng, names, depth):
+    out = []
+    for _ in range(rng.randrange(5)):
+        name = rng.choice(names)
+        out += [(name, random_list(rng, names, depth - 1) if depth else [])] * rng.choice([1, 1, 3])
+    return out
+
+
+def page_of(nodes, counter):
+    out = ""
+    for name, inner in nodes:
+        counter[0] += 1
+        out += f"<{name}>t{counter[0]} {page_of(inner, counter)}</{name}>"
+    return out
+
+
+def accepts(pattern, names):
+    """By brute force: whether a list of children fits the wrapper's list."""
+    spelled = "".join(f"{n};" for n in names)
+    piece = lambda n: "(?:" + ("".join(map(piece, n[3])) if n[0] == "()" else f"{n[0]};") + ")" + ("*" if n[1] and n[2] else "?" if n[1] else "+" if n[2] else "")
+    return re.fullmatch("".join(map(piece, pattern)), spelled) is not None
+
+
+def test_wrappers_accept_their_pages_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(150):
+        pages_ = [page_of(random_list(rng, ["div", "p.a", "section", "ul"], 1), [0]) for _ in range(4)]
+        built = [hx.build(p) for p in pages_]
+        names = [[c[0] for c in b[3]] for b in built]
+        wrapper = built[0]
+        for b in built[1:]:
+            wrapper = hx.merge(wrapper, b)
+        assert all(accepts(wrapper[3], n) for n in names), (names, hx.render(wrapper))
+        rules = hx.decide(wrapper, True)
+        for n in names:
+            found = hx._matched(rules[2], [[x, False, False, []] for x in n])
+            assert [f and f[0] for f in found] == n, (n, hx.render(wrapper))
+
+
+def test_long_lists_of_unlike_elements():
+    rng = random.Random(6)
+    make = lambda: "".join(f"<{rng.choice('abcdefgh')}x>t</div>" for _ in range(3000))
+    wrapper = hx.merge(hx.build(make()), hx.build(make()))
+    assert hx.Rules(hx.decide(wrapper, True)).extract(make()) is not None
+
+
+def test_odd_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"http://h{i % 2}.example/{i}", PAGE.format(n=i, extra="", inner="")) for i in range(6)]
+    more = pages(spark, rows).withColumns({c: F.lit(1) for c in ("host", "rules", "salt", "text", "wrapper", "n_chars")})
+    got = {r["page_id"]: r["text"] for r in hx.main_text(spark, more).collect()}
+    assert got == {i: want(i) for i in range(6)}
+
+
+def test_many_wrappers_are_joined_with_salt(spark, monkeypatch):
+    rows, want_ = plain_pages(12)
+    monkeypatch.setattr(hx, "FEW_HOSTS", 0)
+    assert {i: r["text"] for i, r in texts(spark, rows).items()} == want_
