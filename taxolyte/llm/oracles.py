@@ -24,6 +24,10 @@ _BINS = ", ".join(
     for s, x, of in ((50, "n_symbols", "n_words"), (100, "n_dup_lines", "n_lines"), (100, "n_repeat_words", "n_words"), (5, "word_chars", "n_words"), (100, "n_capitals", "word_chars"))
 )
 _SPACE = r"[\x20\x09-\x0D]+"
+#: The chance of at most x rejections among ng good texts, if the rate were all that a rule may reject.
+_TAIL = f"""CASE WHEN x >= ng * {ALPHA / _RULES!r}::DOUBLE THEN 1 ELSE
+  (SELECT sum(exp(lgamma(ng + 1) - lgamma(j + 1) - lgamma(ng - j + 1) + j * ln({ALPHA / _RULES!r}::DOUBLE) + (ng - j) * ln(1 - {ALPHA / _RULES!r}::DOUBLE))) FROM range(0, 1000) z(j) WHERE j <= x AND j <= ng) END"""
+_LEVEL = f"{DELTA!r}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM k) * {_RULES})"
 
 QUALITY_RULES = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 s AS (SELECT *, [x for x in regexp_split_to_array(text, '{_SPACE}') if x <> ''] AS w, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
@@ -38,9 +42,10 @@ x AS (SELECT unnest(list_distinct([lang, '*'])) AS stratum, quality, bins FROM f
 k AS (SELECT stratum, rule, bins[rule] AS cutoff, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad FROM x, range(1, {_RULES + 1}) y(rule) GROUP BY ALL),
 u AS (SELECT stratum, rule, cutoff, sum(good) OVER w AS x, sum(bad) OVER w AS y, sum(good) OVER (PARTITION BY stratum, rule) AS ng, sum(bad) OVER (PARTITION BY stratum, rule) AS nb FROM k WINDOW w AS (PARTITION BY stratum, rule ORDER BY cutoff DESC)),
 g AS (SELECT *, y * ng - {GUARD} * x * nb AS gain FROM u WHERE cutoff > 0),
-c AS (SELECT stratum, rule, gain, cutoff, CASE WHEN x >= ng * {ALPHA / _RULES!r}::DOUBLE THEN 1 ELSE
-  (SELECT sum(exp(lgamma(ng + 1) - lgamma(j + 1) - lgamma(ng - j + 1) + j * ln({ALPHA / _RULES!r}::DOUBLE) + (ng - j) * ln(1 - {ALPHA / _RULES!r}::DOUBLE))) FROM range(0, 1000) z(j) WHERE j <= x AND j <= ng) END AS p FROM g WHERE gain > 0),
-b AS (SELECT stratum, rule, cutoff FROM c WHERE p <= {DELTA!r}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM k) * {_RULES}) QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1),
-v AS (SELECT r, bool_or(bins[y.rule] >= coalesce(o.cutoff, a.cutoff)) AS rejected FROM f CROSS JOIN range(1, {_RULES + 1}) y(rule) LEFT JOIN b o ON o.stratum = lang AND o.stratum <> '*' AND o.rule = y.rule LEFT JOIN b a ON a.stratum = '*' AND a.rule = y.rule GROUP BY r)
+c AS (SELECT stratum, rule, gain, cutoff, {_TAIL} AS p FROM g WHERE gain > 0),
+b AS (SELECT stratum, rule, cutoff FROM c WHERE p <= {_LEVEL} QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1),
+h AS (SELECT k.stratum, k.rule, b.cutoff, sum(good) FILTER (k.cutoff >= b.cutoff) AS x, sum(good) AS ng FROM k JOIN b ON b.stratum = '*' AND b.rule = k.rule WHERE k.stratum <> '*' GROUP BY ALL),
+i AS (SELECT stratum, rule, cutoff FROM (SELECT stratum, rule, cutoff, {_TAIL} AS p FROM (SELECT * REPLACE (coalesce(x, 0) AS x) FROM h)) WHERE p <= {_LEVEL}),
+v AS (SELECT r, bool_or(bins[y.rule] >= coalesce(b.cutoff, i.cutoff)) AS rejected FROM f CROSS JOIN range(1, {_RULES + 1}) y(rule) LEFT JOIN b ON b.stratum = lang AND b.stratum <> '*' AND b.rule = y.rule LEFT JOIN i ON i.stratum = lang AND i.rule = y.rule GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM f JOIN v USING (r)"""

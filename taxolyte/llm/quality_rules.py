@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from taxolyte.llm.common import SPACE_RE, materialize, table
 
 ALPHA, DELTA, GUARD = 0.10, 0.05, 10
+#: Strata whose cutoffs may be broadcast, and parts in which a stratum is joined otherwise.
+FEW_STRATA, SALTS = 10_000, 16
 RULES = ("symbols", "dup_lines", "repeats", "word_length", "capitals")
 BINS = 100
 POOLED = "*"
@@ -193,10 +195,16 @@ def judge(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """metrics with kept: false if base_failed or if a rule rejects.
 
     A rule takes its stratum's cutoff and rejects nothing in a stratum without one. cutoffs has at most a row per
-    stratum with labelled documents (languages); it is broadcast by size only.
+    stratum with labelled documents (languages); up to FEW_STRATA are broadcast, more are joined with each
+    stratum dealt to SALTS parts, as one may hold most rows.
     """
-    own = cutoffs.withColumnRenamed("stratum", "lang").withColumnRenamed("cutoffs", "own")
-    both = metrics.join(own, "lang", "left")
+    own = materialize(metrics.sparkSession, cutoffs.withColumnsRenamed({"stratum": "lang", "cutoffs": "own"}), "cutoffs")
+    if own.limit(FEW_STRATA + 1).count() <= FEW_STRATA:
+        both = metrics.join(F.broadcast(own), "lang", "left")
+    else:
+        own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = metrics.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        both = salted.join(own, ["lang", "_salt"], "left").drop("_salt")
     empty = F.create_map().cast("map<int,int>")
     rejects = [
         F.coalesce(F.get("bins", F.lit(k)) >= F.try_element_at(F.coalesce("own", empty), F.lit(k)), F.lit(False))
