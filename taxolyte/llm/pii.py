@@ -3,9 +3,12 @@
 Base kinds are regular expressions with a check (BASE); their matches always count. High-recall
 generators (EXTRA) propose further spans on the text with base spans blanked out; proposals of different
 generators may overlap. Gradient-boosted trees of depth two score each proposal from format and context
-features, and a threshold per generator, set on held-out labelled rows for a wanted precision, selects.
-The trees are trained here on TRAIN_ROWS labelled rows that are made from templates (`labelled`); their
-sums per feature pattern are all that the driver fits to.
+features. Scores are calibrated for each generator on documents that the trees have not seen, and a proposal is
+selected if its calibrated probability is at least CERTAIN.
+
+There are no labels of personal data, so they are made (`labelled`): values of known sorts are planted among the words of
+real texts, at most TRAIN_DOCS of them, and the generators run over what results; a proposal that meets the
+planted value has its label. Sums per feature pattern are all that the driver fits to.
 
 Everything happens within a row, so nothing is shuffled and no key can be hot. Start positions are
 two-level prefix sums over a row's matches, so texts with very many matches stay near linear.
@@ -32,7 +35,7 @@ BASE = (
     ("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9\-]+[0-9]"),
 )
 EXTRA = (
-    ("account", "[0-9]", r"(?<![0-9A-Za-z.])[0-9](?:[\x20\-]?[0-9]){8,18}+(?![0-9A-Za-z])"),
+    ("account", "[0-9]", r"(?<![0-9A-Za-z.])(?:[0-9]{9,19}+(?![0-9A-Za-z])|[0-9](?:[\x20\-]?[0-9]){8,18}+(?![0-9A-Za-z]))"),
     ("phone_like", "[0-9]", r"(?<![0-9+A-Za-z]|[0-9][\x20.\-])\(?[0-9]{2,4}\)?[\x20.\-][0-9]{3,4}[\x20.\-][0-9]{3,4}(?![0-9A-Za-z]|[\x20.\-][0-9])"),
     ("national_id", "[0-9]", r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"),
     ("iban", "[0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
@@ -45,8 +48,11 @@ EXTRA = (
 )
 KINDS = tuple(k for k, _, _ in BASE + EXTRA)
 CONTEXT = 32
-TRAIN_ROWS = 8000
-ROUNDS, RATE, PRECISION = 40, 0.3, 0.95
+#: Texts of the table, those with the smallest hash, and places in each where a value is planted; places in built-in prose.
+TRAIN_DOCS, PLACES, PROSE_PLACES = 2000, 4, 4000
+#: Documents are dealt to so many folds: the last is for tests, the one before for calibration, the others for trees.
+FOLDS, CALIBRATION, TEST = 5, 3, 4
+ROUNDS, RATE, CERTAIN = 40, 0.3, 0.8
 _BLOCK = 64
 _FOUND = "array<struct<kind:int,start:bigint,end:bigint,s:string,before:string,after:string>>"
 
@@ -141,6 +147,10 @@ def _word_before(words: str) -> str:
     return rf"(?i)(?:{words})[^A-Za-z]{{0,8}}(?:(?:no|nr|number|id|is)[^A-Za-z]{{0,4}})?$"
 
 
+#: Fixed words for what is counted or measured.
+_COUNTED = "items?|units?|pieces?|times|people|views|copies|rows|words|users|euros?|dollars?|stück|mal|euro|personas|veces|unidades|fois|personnes|pièces"
+
+
 def features(kind: Column, s: Column, before: Column, after: Column) -> Column:
     """Format and context of a proposal as bits of a whole number."""
     n = F.length(_digits(s))
@@ -167,92 +177,144 @@ def features(kind: Column, s: Column, before: Column, after: Column) -> Column:
         before.rlike(_word_before("tel|phone|call|fax|mobile|cell|handy|telefon\\w*")),
         before.rlike(_word_before("order|invoice|version|isbn|issn|page|part|item|build|sku|serial|model|doi|article")),
         before.rlike(_word_before("commit|sha1|sha256|md5|checksum|hash|revision|digest")),
-        after.rlike("^\\x20?(?:%|\\$|€|[A-Za-z]{1,2}\\b|[./][0-9])"),
+        after.rlike("^\\x20?(?:%(?!%)|\\$(?!\\$)|€|(?:km|cm|mm|kg|mg|kB|MB|GB|ms|h|m|s|g|l)\\b|[./][0-9])"),
+        after.rlike(rf"(?i)^\x20(?:{_COUNTED})\b"),
+        s.rlike("^(?:19|20)[0-9]{2}[\\x20\\-][01][0-9]"),
+        s.rlike("^97[89]"),
         *(kind == KINDS.index(k) for k, _, _ in EXTRA),
     ]
-    mask = F.lit(0)
+    mask = F.lit(0).cast("long")
     for i, bit in enumerate(bits):
-        mask = mask + F.when(bit, 1 << i).otherwise(0)
+        mask = mask + F.when(bit, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
     return mask
 
 
-N_FEATURES = 23 + len(EXTRA)
+N_FEATURES = 26 + len(EXTRA)
+
+
+#: Prose for tables without texts.
+_PROSE = (
+    "the old bridge was closed for repairs and then opened once more in the spring of that year",
+    "she said that the meeting would begin late because of the rain and asked all to wait inside",
+    "der alte Turm steht noch immer am Fluss und wird im Sommer von vielen Leuten besucht",
+    "los libros de la casa grande fueron vendidos en el mercado cerca de la plaza mayor",
+    "avec le temps les maisons du village ont été rendues aux familles qui les avaient bâties",
+    "results were better than in the years before, which nobody in the office had expected (see above)",
+)
 
 
-def labelled(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Labelled proposals from templates: kind, s, before, after, label, fold (1 is held out)."""
+def _templates() -> list[tuple[int, list[str], str, list[str]]]:
+    """Label, texts before, SQL for a value from a column id, texts after."""
 
-    def part(kind: str, alphabet: str, length: int, salt: int) -> str:
+    def part(alphabet: str, length: int, salt: int) -> str:
         return f"array_join(transform(sequence(1, {length}), j -> substr('{alphabet}', 1 + cast(pmod(xxhash64(id, {salt}, j), {len(alphabet)}) as int), 1)), '')"
 
-    d = lambda n, salt=1: part("", "0123456789", n, salt)
-    hexa = lambda n: part("", "0123456789abcdef", n, 2)
-    mixed = lambda n: part("", "ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", n, 3)
-    upper = lambda n: part("", "ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", n, 4)
-    letters = lambda n: part("", "abcdefghijklmnopqrstuvwxyz", n, 5)
-    prose = ["the ", "and then ", "of it, ", "said: ", "in die ", "para el ", "avec les ", "(see ", "", "once more. "]
-    accounts = ["account ", "account no. ", "card number: ", "passport ", "konto ", "tax id "]
-    numbers = ["order ", "invoice no. ", "isbn ", "item ", "serial: ", "part number ", "model "]
-    phones = ["call ", "phone: ", "tel. ", "fax ", "mobile "]
-    secrets = ['token = "', "api_key=", "password: ", "secret = '", "Authorization: Bearer "]
-    hashes = ["commit ", "sha1 ", "md5: ", "checksum ", "revision "]
+    d = lambda n, salt=1: part("0123456789", n, salt)
+    hexa = lambda n: part("0123456789abcdef", n, 2)
+    mixed = lambda n: part("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", n, 3)
+    upper = lambda n: part("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", n, 4)
+    letters = lambda n: part("abcdefghijklmnopqrstuvwxyz", n, 5)
+    plain = [" ", " ", ", ", " (", ": ", "\n"]
+    ends = [" ", ". ", ", ", "\n", ") "]
+    accounts = [" account ", " account no. ", " card number: ", " passport ", " konto ", " tax id ", " cuenta ", " compte "]
+    numbers = [" order ", " invoice no. ", " isbn ", " item ", " serial: ", " part number ", " model ", " version ", " build ", " article "]
+    phones = [" call ", " phone: ", " tel. ", " fax ", " mobile ", " handy "]
+    secrets = [' token = "', " api_key=", " password: ", " secret = '", " Authorization: Bearer ", ' key: "']
+    hashes = [" commit ", " sha1 ", " md5: ", " checksum ", " revision ", " digest "]
+    counted = [f" {w} " for w in ("items", "units", "times", "people", "views", "rows", "km", "euros", "Stück", "veces", "fois")]
     four = [d(4, k) for k in (11, 12, 13, 14)]
     grouped = "concat_ws(' ', " + ", ".join(four) + ")"
-    # Generator, label, contexts before, value, text after.
-    templates = [
-        ("account", 1, prose + accounts, d(16), " and"),
-        ("account", 1, prose + accounts, grouped, "."),
-        ("account", 1, accounts, d(10), ""),
-        ("account", 1, accounts, d(12), " of"),
-        ("account", 0, numbers, d(10), " is"),
-        ("account", 0, numbers, d(13), ""),
-        ("account", 0, numbers, d(16), ""),
-        ("account", 0, prose, d(9), " times"),
-        ("account", 0, prose, d(10), " km"),
-        ("account", 0, prose, d(13), "."),
-        ("account", 0, prose, d(18), " "),
-        ("account", 0, prose, "repeat('0', 16)", ""),
-        ("phone_like", 1, prose + phones, f"concat('(', {d(3)}, ') ', {d(3, 6)}, '-', {d(4, 7)})", " or"),
-        ("phone_like", 1, prose + phones, f"concat({d(3)}, '-', {d(3, 6)}, '-', {d(4, 7)})", "."),
-        ("phone_like", 1, phones, f"concat({d(3)}, '.', {d(3, 6)}, '.', {d(4, 7)})", ""),
-        ("phone_like", 0, numbers + ["version "], f"concat({d(3)}, '.', {d(3, 6)}, '.', {d(4, 7)})", ""),
-        ("phone_like", 0, numbers, f"concat({d(4)}-0, '-', {d(4, 6)}, '-', {d(3, 7)})".replace("-0", ""), ""),
-        ("phone_like", 0, prose, f"concat({d(2)}, ' ', {d(3, 6)}, ' ', {d(3, 7)})", " km"),
-        ("national_id", 1, prose + ["ssn ", "social security number "], f"concat({d(3)}, '-', {d(2, 6)}, '-', {d(4, 7)})", ""),
-        ("national_id", 0, numbers, f"concat({d(3)}, '-', {d(2, 6)}, '-', {d(4, 7)})", ""),
-        ("iban", 1, prose + accounts, f"concat('DE', {d(2)}, ' ', {four[0]}, ' ', {four[1]}, ' ', {four[2]}, ' ', {four[3]}, ' ', {d(2, 8)})", ""),
-        ("iban", 1, accounts, f"concat('FR', {d(2)}, {upper(20)})", ""),
-        ("iban", 0, numbers, f"concat('AB', {d(2)}, {upper(8)})", ""),
-        ("secret", 1, secrets, hexa(40), '"'),
-        ("secret", 1, secrets, mixed(32), ""),
-        ("secret", 1, secrets, mixed(24), " "),
-        ("secret", 1, prose, mixed(40), " "),
-        ("secret", 0, hashes, hexa(40), ""),
-        ("secret", 0, prose, letters(24), " "),
-        ("secret", 0, prose, f"concat({letters(9)}, '_', {letters(12)}, '_', {d(2)})", "("),
-        ("secret", 0, prose, f"concat({letters(22)}, {d(2)})", " "),
-        ("secret", 0, numbers, upper(20), ""),
-        ("written_email", 1, prose, f"concat({letters(6)}, ' (at) ', {letters(7)}, '.', {letters(3)})", " "),
+    three = lambda a, b, c: f"concat({d(3)}, '{a}', {d(3, 6)}, '{b}', {d(4, 7)}{c})"
+    return [
+        (1, plain + accounts, d(16), ends),
+        (1, plain + accounts, grouped, ends),
+        (1, accounts, d(10), ends),
+        (1, accounts, d(12), ends),
+        (0, numbers, d(10), ends),
+        (0, numbers, d(13), ends),
+        (0, numbers, d(16), ends),
+        (0, plain, d(9), counted),
+        (0, plain, d(10), counted),
+        (0, plain, d(13), ends),
+        (0, plain, f"concat('978-', {d(1)}, '-', {d(2, 6)}, '-', {d(6, 7)}, '-', {d(1, 8)})", ends),
+        (0, plain, f"concat('20', {d(2)}, '-0', {d(1, 6)}, '-1', {d(1, 7)}, ' ', '1', {d(1, 8)})", [":30 ", " "]),
+        (0, plain, "repeat('0', 16)", ends),
+        (0, plain, f"concat_ws(' ', {d(3)}, {d(3, 6)}, {d(3, 7)}, {d(3, 8)})", counted),
+        (0, plain, three(" ", " ", ""), counted),
+        (1, plain + phones, f"concat('(', {d(3)}, ') ', {d(3, 6)}, '-', {d(4, 7)})", ends),
+        (1, plain + phones, three("-", "-", ""), ends),
+        (1, phones, three(".", ".", ""), ends),
+        (1, phones, three(" ", " ", ""), ends),
+        (0, numbers, three(".", ".", ""), ends),
+        (0, numbers, three("-", "-", ""), ends),
+        (0, numbers, f"concat({d(4)}, '-', {d(4, 6)}, '-', {d(3, 7)})", ends),
+        (0, plain, f"concat({d(2)}, ' ', {d(3, 6)}, ' ', {d(3, 7)})", counted),
+        (1, [*plain, " ssn ", " social security number "], f"concat({d(3)}, '-', {d(2, 6)}, '-', {d(4, 7)})", ends),
+        (0, numbers, f"concat({d(3)}, '-', {d(2, 6)}, '-', {d(4, 7)})", ends),
+        (1, [*plain, " iban ", *accounts], f"concat('DE', {d(2)}, ' ', {four[0]}, ' ', {four[1]}, ' ', {four[2]}, ' ', {four[3]}, ' ', {d(2, 8)})", ends),
+        (1, [" iban ", *accounts], f"concat('FR', {d(2)}, {upper(20)})", ends),
+        (0, numbers, f"concat('AB', {d(2)}, {upper(8)})", ends),
+        (1, secrets, hexa(40), ['" ', "' ", " "]),
+        (1, secrets, f"upper({hexa(40)})", ['" ', "' ", " "]),
+        (1, secrets, mixed(32), ['" ', " "]),
+        (1, secrets, mixed(24), ['" ', " "]),
+        (1, plain, mixed(40), ends),
+        (0, hashes, hexa(40), ends),
+        (0, hashes, hexa(32), ends),
+        (0, plain, letters(24), ends),
+        (0, plain, f"concat({letters(9)}, '_', {letters(12)}, '_', {d(2)})", [*ends, "("]),
+        (0, plain, f"concat({letters(22)}, {d(2)})", ends),
+        (0, numbers, upper(20), ends),
+        (1, plain, f"concat({letters(6)}, ' (at) ', {letters(7)}, '.', {letters(3)})", ends),
+        (1, plain, f"concat({letters(5)}, '[at]', {letters(8)}, ' [dot] com')", ends),
+        (0, plain, f"concat({letters(6)}, ' (at) ', {letters(7)})", ends),
     ]
-    each = max(1, rows // len(templates))
-    n = F.col("id")
-    out = None
-    for t, (kind, label, contexts, value, after) in enumerate(templates):
-        one = spark.range(t * 1_000_000, t * 1_000_000 + each, 1, 1).select(
-            F.lit(KINDS.index(kind)).alias("kind"),
-            F.expr(value).alias("s"),
-            F.get(F.array(*map(F.lit, contexts)), F.pmod(F.xxhash64(n, F.lit(9)), F.lit(len(contexts))).cast("int")).alias("before"),
-            F.lit(after).alias("after"),
-            F.lit(label).alias("label"),
-            F.pmod(F.xxhash64(n, F.lit(10)), F.lit(2)).alias("fold"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out.coalesce(1)
+
+
+def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Labelled proposals: kind, s, before, after, label, fold. docs: doc_id, text.
+
+    A place is a few words of a text to either side; one value is planted there, by a template that the place's hash names, and
+    the generators run over the result as they do over texts. Proposals that don't meet the value have no
+    label and are left out. All places of a text are in one fold.
+    """
+    chosen = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    real = chosen.limit(TRAIN_DOCS).select(F.xxhash64("doc_id").alias("unit"), F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("place"))
+    prose = F.array(*map(F.lit, _PROSE))
+    made = spark.range(0, PROSE_PLACES, 1, 1).select(
+        F.xxhash64(F.lit("prose"), F.col("id")).alias("unit"), F.split(F.get(prose, F.pmod("id", F.lit(len(_PROSE))).cast("int")), " ").alias("w"), F.lit(0).alias("place")
+    )
+    at = F.pmod(F.xxhash64("unit", "place", F.lit(3)), F.size("w") + 1).cast("int")
+    templates = _templates()
+    cut = real.unionByName(made).select("unit", F.xxhash64("unit", "place").alias("id"), "w", at.alias("at"))
+    cut = cut.select(
+        "unit",
+        "id",
+        F.pmod(F.xxhash64("id", F.lit(4)), F.lit(len(templates))).cast("int").alias("t"),
+        F.array_join(F.slice("w", F.greatest(F.col("at") - 11, F.lit(1)), F.least("at", F.lit(12))), " ").alias("left"),
+        F.array_join(F.slice("w", F.col("at") + 1, F.lit(12)), " ").alias("right"),
+    )
+    any_of = lambda texts, salt: F.get(F.array(*map(F.lit, texts)), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(texts))).cast("int"))
+    of = lambda use: F.coalesce(*(F.when(F.col("t") == i, use(x)) for i, x in enumerate(templates)))
+    planted = cut.select(
+        F.pmod(F.xxhash64("unit", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"),
+        of(lambda x: F.lit(x[0])).alias("label"),
+        F.concat("left", of(lambda x: any_of(x[1], 6))).alias("head"),
+        of(lambda x: F.expr(x[2])).alias("value"),
+        F.concat(of(lambda x: any_of(x[3], 7)), "right").alias("rest"),
+    )
+    text = F.concat("head", "value", "rest")
+    base = F.flatten(F.array(*(F.filter(find(F.col("text"), k), _passing(k)) for k, _, _ in BASE)))
+    rows = planted.withColumn("text", text).withColumn("clean", _let(base, lambda spans: F.when(F.size(spans) == 0, F.col("text")).otherwise(_blanked(F.col("text")))))
+    found = rows.select("fold", "label", "head", "value", F.explode(F.flatten(F.array(*(find(F.col("clean"), k) for k, _, _ in EXTRA)))).alias("c"))
+    meets = (F.col("c.start") < F.length("head") + F.length("value")) & (F.col("c.end") > F.length("head"))
+    return found.filter(meets).select("c.kind", "c.s", "c.before", "c.after", "label", "fold")
 
 
 def boost(patterns: list[tuple[int, float, float]], rounds: int = ROUNDS, rate: float = RATE) -> list[tuple]:
     """Depth-two trees (feature, (feature, value, value), (feature, value, value)) on rows (mask, positives, all)."""
     scores = [0.0] * len(patterns)
+    bits = [[f for f in range(N_FEATURES) if mask >> f & 1] for mask, _, _ in patterns]
     trees = []
 
     def leaf(g: float, h: float) -> tuple[float, float]:
@@ -264,11 +326,14 @@ def boost(patterns: list[tuple[int, float, float]], rounds: int = ROUNDS, rate:
         h = [n * q * (1 - q) for (_, _, n), q in zip(patterns, p, strict=True)]
 
         def split(rows: list[int]) -> tuple[float, int, float, float]:
-            all_g, all_h = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            all_g, all_h = sum(g[i] for i in rows), sum(h[i] for i in rows)  # noqa: B023
+            on_g, on_h = [0.0] * N_FEATURES, [0.0] * N_FEATURES
+            for i in rows:
+                for f in bits[i]:
+                    on_g[f] += g[i]  # noqa: B023
+                    on_h[f] += h[i]  # noqa: B023
             best = (-1.0, 0, 0.0, 0.0)
-            for f in range(N_FEATURES):
-                on = [i for i in rows if patterns[i][0] >> f & 1]  # noqa: B023
-                a, b = sum(g[i] for i in on), sum(h[i] for i in on)
+            for f, (a, b) in enumerate(zip(on_g, on_h, strict=True)):
                 (no, x), (yes, y) = leaf(all_g - a, all_h - b), leaf(a, b)
                 if x + y > best[0] + 1e-9:
                     best = (x + y, f, no, yes)
@@ -295,36 +360,51 @@ def tree_score(trees: list[tuple], mask: int) -> float:
     return total
 
 
+def calibrate(rows: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
+    """(least score, probability), from the highest score down, of rows (score, positives, all): the rates that fall with the score
+    and fit best (neighbours that don't fall are pooled), each with half a row of either label added."""
+    pools: list[list[float]] = []
+    for score, pos, n in sorted(rows, reverse=True):
+        if pools and pools[-1][0] == score:
+            pools[-1][1] += pos
+            pools[-1][2] += n
+        else:
+            pools.append([score, pos, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] <= pools[-1][1] * pools[-2][2]:
+            score, pos, n = pools.pop()
+            pools[-1] = [score, pools[-1][1] + pos, pools[-1][2] + n]
+    return [(score, (pos + 0.5) / (n + 1)) for score, pos, n in pools]
+
+
 def fit(rows: DataFrame) -> tuple[list[tuple], dict[int, float]]:
-    """Trees, and per kind the lowest score above which held-out rows have at least PRECISION.
+    """Trees, and per kind the lowest score whose calibrated probability is at least CERTAIN (none: never selected).
 
     rows: as from `labelled`. Only sums per feature pattern come to the driver, at most one per row of
     the bounded training table.
     """
     sums = (
-        rows.select(features(F.col("kind"), F.col("s"), F.col("before"), F.col("after")).alias("mask"), "kind", "label", "fold")
-        .groupBy("mask", "kind", "fold")
+        rows.filter(F.col("fold") != TEST)
+        .select(features(F.col("kind"), F.col("s"), F.col("before"), F.col("after")).alias("mask"), "kind", "label", (F.col("fold") == CALIBRATION).alias("held"))
+        .groupBy("mask", "kind", "held")
         .agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
         .collect()
     )
-    sums.sort(key=lambda r: (r.mask, r.kind, r.fold))
-    trees = boost([(r["mask"], float(r["pos"]), float(r["n"])) for r in sums if r["fold"] == 0])
+    sums.sort(key=lambda r: (r.mask, r.kind, r.held))
+    trees = boost([(r["mask"], float(r["pos"]), float(r["n"])) for r in sums if not r["held"]])
     limits = {}
     for kind in {r["kind"] for r in sums}:
-        held = sorted(((tree_score(trees, r["mask"]), r["pos"], r["n"]) for r in sums if r["fold"] == 1 and r["kind"] == kind), reverse=True)
-        pos = n = 0
-        for score, a, b in held:
-            pos, n = pos + a, n + b
-            if pos >= PRECISION * n:
-                limits[kind] = max(0.0, score - 1e-9)
+        steps = calibrate([(tree_score(trees, r["mask"]), float(r["pos"]), float(r["n"])) for r in sums if r["held"] and r["kind"] == kind])
+        certain = [score for score, p in steps if p >= CERTAIN]
+        if certain:
+            limits[kind] = min(certain) - 1e-9
     return trees, limits
 
 
 class Selector:
     """Trained trees and thresholds as column expressions."""
 
-    def __init__(self, spark: SparkSession, rows: int = TRAIN_ROWS):
-        self.trees, self.limits = fit(labelled(spark, rows))
+    def __init__(self, spark: SparkSession, docs: DataFrame):
+        self.trees, self.limits = fit(labelled(spark, docs))
 
     def score(self, mask: Column) -> Column:
         def bit(f: int) -> Column:
@@ -346,50 +426,88 @@ class Selector:
         return lambda c: self.selects(kind, c["s"], c["before"], c["after"])
 
 
+def _blanked(text: Column) -> Column:
+    """text with its base spans blanked out."""
+    for k, _, _ in BASE:
+        text = replace(text, k, lambda s, _b, _a, k=k: passes(k, s), lambda m: F.repeat(F.lit("\u0001"), F.length(m)))
+    return text
+
+
 def find_spans(docs: DataFrame, selector: Selector) -> DataFrame:
     """docs with base_spans and more_spans: arrays of structs (start, kind, end), sorted; kind is a number in KINDS.
 
     docs needs a text column; a null or empty text has no spans. Of selected proposals that overlap, the
-    one that starts first stays, the longer of two. All other columns stay as they are.
+    one that starts first stays, the longer of two. All other columns stay as they are, but that columns named
+    base_spans and more_spans are replaced.
     """
-    base = F.flatten(F.array(*(F.filter(find(F.col("_t"), k), _passing(k)) for k, _, _ in BASE)))
-    blank = F.col("_t")
-    names = [c for c in docs.columns]
-    out = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_base", base)
-    out = out.withColumn("_masked", F.when(F.size("_base") == 0, F.col("_t")))
-    for k, _, _ in BASE:
-        blank = replace(blank, k, lambda s, _b, _a, k=k: passes(k, s), lambda m: F.repeat(F.lit("\u0001"), F.length(m)))
-    out = out.withColumn("_masked", F.coalesce("_masked", blank))
-    more = F.flatten(
-        F.array(*(F.filter(find(F.col("_masked"), k), selector.selecting(k)) for k, _, _ in EXTRA))
-    )
-    out = out.withColumn("_more", F.sort_array(F.transform(more, lambda c: F.struct(c["start"], (-c["end"]).alias("end"), c["kind"]))))
+    own = "t"
+    while any(own in c.lower() for c in docs.columns):  # names that no column has
+        own += "_t"
+    text, base, masked, more = (f"{own}{i}" for i in range(4))
+    names = [c for c in docs.columns if c.lower() not in ("base_spans", "more_spans")]
+    out = docs.withColumn(text, F.coalesce("text", F.lit("")))
+    out = out.withColumn(base, F.flatten(F.array(*(F.filter(find(F.col(text), k), _passing(k)) for k, _, _ in BASE))))
+    out = out.withColumn(masked, F.when(F.size(base) == 0, F.col(text)))
+    out = out.withColumn(masked, F.coalesce(masked, _blanked(F.col(text))))
+    found = F.flatten(F.array(*(F.filter(find(F.col(masked), k), selector.selecting(k)) for k, _, _ in EXTRA)))
+    out = out.withColumn(more, F.sort_array(F.transform(found, lambda c: F.struct(c["start"], (-c["end"]).alias("end"), c["kind"]))))
     # Matches of one generator don't overlap, so an overlap is with one of the few before it in order.
     near = len(EXTRA)
     alone = F.filter(
-        "_more",
+        more,
         lambda c, i: ~F.exists(
-            F.slice("_more", F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near))), lambda o: -o["end"] > c["start"]
+            F.slice(more, F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near))), lambda o: -o["end"] > c["start"]
         ),
     )
     span = lambda start, kind, end: F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"))
     return out.select(
-        *names,
-        F.sort_array(F.transform("_base", lambda c: span(c["start"], c["kind"], c["end"]))).alias("base_spans"),
+        *(F.col(f"`{c}`") for c in names),
+        F.sort_array(F.transform(base, lambda c: span(c["start"], c["kind"], c["end"]))).alias("base_spans"),
         F.transform(alone, lambda c: span(c["start"], c["kind"], -c["end"])).alias("more_spans"),
     )
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """text with spans (sorted by start) replaced by their kind in brackets; a span that begins within one before it has no
+    mark of its own, and what it adds goes too."""
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    zero = F.lit(0).cast("long")
+    # Blocks keep the cost of cutting near linear, and greatest ends by blocks of spans that of overlaps.
+    size = 4096
+    blocks = F.transform(F.sequence(zero, F.floor(F.length(text) / size)), lambda b: F.substring(text, (b * size + 1).cast("int"), F.lit(size)))
+    furthest = lambda xs: F.aggregate(xs, zero, lambda a, x: F.greatest(a, x["end"]))
+
+    def between(cut: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / size).cast("int")
+        joined = F.array_join(F.slice(cut, first + 1, F.floor(end / size).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(joined, (start - first * size + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+    def whole(cut: Column, ends: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            b = F.floor(i / _BLOCK).cast("int")
+            before = F.greatest(F.get(ends, b), furthest(F.slice(spans, b * _BLOCK + 1, i % _BLOCK)))
+            return _let(before, lambda e: F.when(c["start"] >= e, F.concat(between(cut, e, c["start"]), F.get(names, c["kind"]))).otherwise(""))
+
+        last = F.get(ends, F.size(ends) - 1)
+        return F.concat(F.array_join(F.transform(spans, one), ""), between(cut, last, F.length(text).cast("long")))
+
+    def over(cut: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _BLOCK).cast("int")), lambda b: furthest(F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK))))
+        ends = F.aggregate(each, F.array(zero), lambda a, x: F.array_append(a, F.greatest(F.get(a, F.size(a) - 1), x)))
+        return _let(ends, lambda e: whole(cut, e))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(blocks, over))
+
+
 def redact(docs: DataFrame, selector: Selector) -> DataFrame:
-    """docs with each span in text replaced by its kind in brackets, kind after kind; null texts stay null."""
-    text = F.col("text")
-    for k, _, _ in BASE:
-        text = replace(text, k, lambda s, _b, _a, k=k: passes(k, s), lambda _, k=k: F.lit(f"[{k.upper()}]"))
-    out = docs.withColumn("text", text)
-    text = F.col("text")
-    for k, _, _ in EXTRA:
-        text = replace(text, k, lambda s, b, a, k=k: selector.selects(k, s, b, a), lambda _, k=k: F.lit(f"[{k.upper()}]"))
-    return out.withColumn("text", text)
+    """docs with each span of `find_spans` in text replaced by its kind in brackets; null texts stay null, other columns as they are."""
+    own = "spans"
+    while any(own in c.lower() for c in docs.columns):
+        own += "_s"
+    found = find_spans(docs.select("*", F.struct("*").alias(own)), selector)
+    found = found.select(own, F.sort_array(F.concat("base_spans", "more_spans")).alias(f"{own}_s"))
+    columns = [F.col(f"{own}.`{c}`") if c != "text" else F.when(F.col(f"{own}.text").isNotNull(), _without(F.col(f"{own}.text"), F.col(f"{own}_s"))).alias(c) for c in docs.columns]
+    return found.select(*columns)
 
 
 def _written(spans: Column) -> Column:
@@ -399,7 +517,8 @@ def _written(spans: Column) -> Column:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
-    found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), Selector(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_spans(docs, Selector(spark, docs))
     counts = [F.size(F.filter("base_spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k, _, _ in BASE]
     return found.select(
         "doc_id",
