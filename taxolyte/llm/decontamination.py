@@ -2,9 +2,10 @@
 
 A text's words (lower case, ASCII punctuation stripped at both ends) are compared with each item through
 windows of as many words as the item has. Windows are fingerprinted by SimHash over their word shingles;
-a multi-index over BLOCKS parts of the fingerprint finds every item within RADIUS bits, because two
-fingerprints that differ in at most RADIUS bits have a part that differs in at most RADIUS // BLOCKS.
-Found pairs are verified by the exact weighted Jaccard similarity of their shingles, each shingle weighted
+a multi-index of BLOCKS sorted tables, one for each part of the fingerprint, finds every item within RADIUS bits, because two
+fingerprints that differ in at most RADIUS bits have a part that differs in at most RADIUS // BLOCKS. A
+window with a similarity right at 0.8 lies further away with a probability of about 1e-5 (simulated: none to 1 of
+100,000 for windows of 15 to 59 words; beyond 19 bits it were up to 55). Found pairs are verified by the exact weighted Jaccard similarity of their shingles, each shingle weighted
 by how often it occurs. Windows without a shingle of the benchmark have similarity 0 and are not made.
 """
 
@@ -19,13 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolyte.llm.common import table
+from taxolyte.llm.tokens import gather
 from taxolyte.llm.words import Words, groups, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, BLOCKS, RADIUS = 64, 8, 23
+BITS, BLOCKS, RADIUS = 64, 4, 23
 #: Items in one index, which goes to all workers; a larger benchmark is matched in several passes.
 INDEX_ITEMS = 50_000
-INDEX_CHARS = 64_000_000
+INDEX_CHARS = 16_000_000
+#: Cells of a table that is compared at a time.
+CELLS = 1 << 20
+_PART = BITS // BLOCKS
+#: What a part may differ by.
+_NEAR = np.array([m for m in range(1 << _PART) if m.bit_count() <= RADIUS // BLOCKS], np.int64)
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
 
 
@@ -49,35 +56,80 @@ def _sums(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return whole + come[np.minimum(starts - lo, len(come) - 1)] - gone[np.minimum(starts - lo, len(gone) - 1)]
 
 
+class Items:
+    """Items with the same number of words: fingerprints, a sorted table for each of their parts, sorted shingles of each."""
+
+    def __init__(self, ids: list[int], rows: np.ndarray):
+        self.ids = ids
+        self.rows = np.sort(rows, 1)
+        self.prints = np.concatenate([fingerprint(np.stack([signs(r).sum(0) for r in rows[a : a + 1024]])) for a in range(0, len(rows), 1024)])
+        self.tables = []
+        for b in range(BLOCKS):
+            part = self._part(self.prints, b)
+            order = np.argsort(part, kind="stable")
+            self.tables.append((order.astype(np.int32), np.searchsorted(part[order], np.arange((1 << _PART) + 1)).astype(np.int32)))
+
+    @staticmethod
+    def _part(prints: np.ndarray, b: int) -> np.ndarray:
+        return ((prints >> np.uint64(_PART * b)) & np.uint64((1 << _PART) - 1)).astype(np.int64)
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(place, items within RADIUS bits) for fingerprints that have any."""
+        if len(self.ids) <= len(_NEAR):  # fewer items than entries to look up: all are compared, with the same result
+            for a in range(0, len(prints), max(1, CELLS // len(self.ids))):
+                some = prints[a : a + max(1, CELLS // len(self.ids))]
+                i, j = np.nonzero(np.bitwise_count(some[:, None] ^ self.prints[None, :]) <= RADIUS)
+                for w in np.unique(i).tolist():
+                    yield a + w, j[i == w]
+            return
+        found = np.zeros(len(self.ids), bool)
+        parts = [self._part(prints, b) for b in range(BLOCKS)]
+        for w in range(len(prints)):
+            found[:] = False
+            for part, (order, begins) in zip(parts, self.tables, strict=True):
+                values = part[w] ^ _NEAR
+                found[gather(order, begins[values], begins[values + 1] - begins[values])] = True
+            items = np.flatnonzero(found)
+            items = items[np.bitwise_count(self.prints[items] ^ prints[w]) <= RADIUS]
+            if len(items):
+                yield w, items
+
+    def similar(self, window: np.ndarray, items: np.ndarray, least: float) -> Iterator[tuple[int, float]]:
+        """(item, weighted Jaccard similarity) of those items that are at least so similar to the shingles of a window."""
+        own, counts = np.unique(window, return_counts=True)
+        k = self.rows.shape[1]
+        needed = least * (len(window) + k) / (1 + least) - 1e-9  # common shingles at that similarity
+        for a in range(0, len(items), max(1, CELLS // k)):
+            some = items[a : a + max(1, CELLS // k)]
+            place = np.minimum(np.searchsorted(own, self.rows[some]), len(own) - 1)
+            for j in some[(own[place] == self.rows[some]).sum(1) >= needed].tolist():
+                theirs, times = np.unique(self.rows[j], return_counts=True)
+                place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                common = int(np.minimum(times, counts[place])[own[place] == theirs].sum())
+                value = common / (len(window) + k - common)
+                if value >= least:
+                    yield j, value
+
+
 class Index:
-    """Items by length: their fingerprints in a multi-index, and their shingles with counts."""
+    """Items by length, and the shingles of all of them."""
 
     def __init__(self, items: list[tuple[int, str]]):
         words = Words([text for _, text in items], strip=True)
         hashes, begins = shingles(words.hashes(), words.offsets, SHINGLE)
         lengths = np.diff(words.offsets)
-        self.by_length: dict[int, dict] = {}
+        self.by_length: dict[int, Items] = {}
         for n in sorted(set(lengths.tolist()) - {0}):
             mine = np.flatnonzero(lengths == n)
-            rows = np.stack([hashes[begins[i] : begins[i + 1]] for i in mine])
-            prints = fingerprint(np.stack([signs(r).sum(0) for r in rows]))
-            tables = []
-            for b in range(BLOCKS):
-                part = ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.uint8)
-                apart = np.unpackbits((np.arange(256, dtype=np.uint8)[:, None] ^ part[None, :])[..., None], axis=2).sum(2)
-                tables.append(apart <= RADIUS // BLOCKS)
-            counts = [dict(zip(*(x.tolist() for x in np.unique(r, return_counts=True)), strict=True)) for r in rows]
-            self.by_length[n] = {"ids": [items[i][0] for i in mine], "prints": prints, "tables": tables, "counts": counts}
+            self.by_length[n] = Items([items[i][0] for i in mine], np.stack([hashes[begins[i] : begins[i + 1]] for i in mine]))
         # Items with fewer words than a shingle, by their words' hash.
         self.by_words: dict[int, dict[int, list[int]]] = {}
         for i in np.flatnonzero((lengths > 0) & (lengths < SHINGLE)).tolist():
             self.by_words.setdefault(int(lengths[i]), {}).setdefault(int(hashes[begins[i]]), []).append(items[i][0])
-        self.known = np.unique(hashes)
-        # The lengths of the items that each shingle occurs in.
-        self.lengths_of: dict[int, tuple[int, ...]] = {}
-        for i, n in enumerate(lengths.tolist()):
-            for h in set(hashes[begins[i] : begins[i + 1]].tolist()):
-                self.lengths_of[h] = (*self.lengths_of.get(h, ()), n) if n not in self.lengths_of.get(h, ()) else self.lengths_of[h]
+        # The lengths of the items that each shingle occurs in, one list after the other.
+        both = np.unique(np.stack([hashes, np.repeat(lengths, np.diff(begins)).astype(np.uint64)], 1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
+        self.known, first = np.unique(both[:, 0], return_index=True)
+        self.firsts, self.lengths = np.append(first, len(both)), both[:, 1].astype(np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.known >> np.uint64(44)] = True
 
@@ -107,18 +159,18 @@ class Index:
         words are the text's word hashes, hashes its shingles and hits the positions of known ones.
         """
         best: dict[int, tuple[float, int, int]] = {}
-        near: dict[int, list[int]] = {}
-        for p in hits.tolist():
-            for n in self.lengths_of[int(hashes[p])]:
-                near.setdefault(n, []).append(p)
-        for n, places in near.items():
+        place = np.searchsorted(self.known, hashes[hits])
+        which = np.unique(place)
+        lengths = gather(self.lengths, self.firsts[which], self.firsts[which + 1] - self.firsts[which])
+        owner = np.repeat(which, self.firsts[which + 1] - self.firsts[which])
+        for n in np.unique(lengths).tolist():
             k = max(1, n - SHINGLE + 1)  # shingles in a window
             if n < SHINGLE:
                 continue  # matched by short
             if len(words) < n:
                 starts = np.array([0])  # a text shorter than the item is one window
             else:
-                p = np.array(places)
+                p = hits[np.isin(place, owner[lengths == n])]
                 change = np.zeros(len(words) + 1, np.int64)  # windows that hold a hit, by where they begin and end
                 np.add.at(change, np.maximum(p - k + 1, 0), 1)
                 np.add.at(change, p + 1, -1)
@@ -134,36 +186,25 @@ class Index:
                 self._windows(n, k, part[: len(part) // 2], hashes, similarity, best)
                 self._windows(n, k, part[len(part) // 2 :], hashes, similarity, best)
                 continue
-            prints = fingerprint(_sums(hashes, part, k))
-            found = np.zeros((len(part), len(own["ids"])), bool)
-            for b, known in enumerate(own["tables"]):
-                found |= known[((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)]
-            i, j = np.nonzero(found)
-            near = np.bitwise_count(prints[i] ^ own["prints"][j]) <= RADIUS
-            for w, item in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            for w, items in own.near(fingerprint(_sums(hashes, part, k))):
                 first = int(part[w])
-                counts: dict[int, int] = {}
-                for h in hashes[first : first + k].tolist():
-                    counts[h] = counts.get(h, 0) + 1
-                theirs = own["counts"][item]
-                common = sum(min(c, theirs[h]) for h, c in counts.items() if h in theirs)
-                value = common / (sum(counts.values()) + sum(theirs.values()) - common)
-                key = own["ids"][item]
-                if value >= similarity and (key not in best or (-value, first) < (-best[key][0], best[key][1])):
-                    best[key] = (value, first, n)
+                for item, value in own.similar(hashes[first : first + k], items, similarity):
+                    key = own.ids[item]
+                    if key not in best or (-value, first) < (-best[key][0], best[key][1]):
+                        best[key] = (value, first, n)
 
 
 def _indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[bytes]:
-    """Pickled indexes of at most INDEX_ITEMS items and about INDEX_CHARS characters each."""
+    """Pickled indexes of about INDEX_ITEMS items or INDEX_CHARS characters each; items that share an item_id are in one."""
     items: list[tuple[int, str]] = []
     chars = 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        items.append((r.item_id, r.text))
-        chars += len(r.text)
-        if len(items) >= INDEX_ITEMS or chars >= INDEX_CHARS:
+    for r in rows.distinct().orderBy("item_id", "text").toLocalIterator():
+        if (len(items) >= INDEX_ITEMS or chars >= INDEX_CHARS) and r.item_id != items[-1][0]:
             yield pickle.dumps(Index(items))
             items, chars = [], 0
+        items.append((r.item_id, r.text))
+        chars += len(r.text)
     if items:
         yield pickle.dumps(Index(items))
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from math import comb
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from taxolyte.llm import near_dedup as nd
 from taxolyte.llm.components import connected, relink
 from taxolyte.llm.decontamination import RADIUS, Index, find_leaks, without_leaks
-from taxolyte.llm.words import Words, shingles
+from taxolyte.llm.words import PUNCTUATION, Words, shingles
 
 KIND = "doc_id long, text string"
 
@@ -148,19 +149,80 @@ def test_several_passes(spark, monkeypatch):
     assert leaks_of(spark, docs, items) == once == {(i, i): (1.0, 1) for i in range(5)}
 
 
-def test_index_finds_all_within_radius():
-    rng = random.Random(6)
-    index = Index([(i, " ".join(f"{rng.random()}" for _ in range(9))) for i in range(30)])
-    own = index.by_length[9]
-    for p in own["prints"]:
-        other = int(p)
-        for bit in rng.sample(range(64), RADIUS):
-            other ^= 1 << bit
-        found = np.zeros(30, bool)
-        for b, known in enumerate(own["tables"]):
-            found |= known[(other >> (8 * b)) & 255]
-        near = np.bitwise_count(own["prints"] ^ np.uint64(other)) <= RADIUS
-        assert (found | ~near).all()
+def test_index_finds_all_within_radius(monkeypatch):
+    import taxolyte.llm.decontamination as d
+
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, 1 << 63, (8000, 5), dtype=np.uint64)
+    own = d.Items(list(range(8000)), rows)
+    assert len(own.ids) > len(d._NEAR)
+    prints = own.prints[:60].copy()
+    for i in range(60):
+        for bit in rng.choice(64, i % (RADIUS + 3), replace=False).tolist():
+            prints[i] ^= np.uint64(1 << bit)
+    want = {i: set(np.flatnonzero(np.bitwise_count(own.prints ^ p) <= RADIUS).tolist()) for i, p in enumerate(prints)}
+    got = {w: set(items.tolist()) for w, items in own.near(prints)}
+    assert got == {i: w for i, w in want.items() if w} and all(i in got[i] for i in range(60) if i % (RADIUS + 3) <= RADIUS)
+    few = d.Items(list(range(100)), rows[:100])
+    monkeypatch.setattr(d, "CELLS", 300)
+    few_want = {i: {j for j in w if j < 100} for i, w in want.items()}
+    assert {w: set(items.tolist()) for w, items in few.near(prints)} == {i: w for i, w in few_want.items() if w}
+
+
+def brute_leaks(docs, items, similarity=0.8):
+    """Every window of every text against every item."""
+    split = lambda t: [w for w in (x.strip(PUNCTUATION) for x in (t or "").lower().split()) if w]
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    out = {}
+    for doc, text in docs:
+        words = split(text)
+        for item, passage in items:
+            want = split(passage)
+            n, theirs = len(want), grams(want)
+            for at in range(max(1, len(words) - n + 1)) if want and words else ():
+                own = grams(words[at : at + n])
+                common = sum((own & theirs).values())
+                value = common / (sum(own.values()) + sum(theirs.values()) - common)
+                if value >= similarity and value > out.get((doc, item), (0, 0))[0]:
+                    out[doc, item] = (value, at)
+    return {k: (round(v, 4), at) for k, (v, at) in out.items()}
+
+
+def test_leaks_by_brute_force(spark):
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(pool, k=rng.choice([6, 15, 15, 30])))) for i in range(40)]
+    docs = []
+    for d in range(120):
+        words = rng.choices(pool, k=rng.randrange(80))
+        for _ in range(rng.randrange(3)):
+            passage = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(4)):  # changed words at the ends and in the middle
+                passage[rng.choice([0, -1, len(passage) // 2])] = rng.choice(pool)
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = passage * rng.choice([1, 1, 2])
+        docs.append((d, " ".join(words)))
+    got = leaks_of(spark, docs, items)
+    want = brute_leaks(docs, items)
+    assert got == want and 50 < len(want) and any(v < 1 for v, _ in want.values())
+
+
+def test_items_that_share_an_id_count_once(spark, monkeypatch):
+    import taxolyte.llm.decontamination as d
+
+    monkeypatch.setattr(d, "INDEX_ITEMS", 1)
+    items = [(1, ITEM), (1, ITEM), (1, ITEM + " more"), (2, "something else that is long enough to be an item here")]
+    rows = find_leaks(spark, spark.createDataFrame([(5, ITEM), (5, ITEM), (6, None), (None, ITEM)], KIND), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], r["similarity"]) for r in rows) == [("5", 1, 1.0), ("5", 1, 1.0), ("None", 1, 1.0)]
+
+
+def test_repetitive_long_texts():
+    item = " ".join(["la"] * 3000)
+    index = Index([(1, item), (2, "la " * 40), (3, ITEM)])
+    words = Words(["la " * 60_000], strip=True)
+    own = words.hashes()
+    hashes, _ = shingles(own, words.offsets, 5)
+    assert index.match(own, index.hits(hashes), hashes, 0.9) == {1: (1.0, 0, 3000), 2: (1.0, 0, 40)}
 
 
 def test_without_leaks(spark, odd_docs, no_docs):
