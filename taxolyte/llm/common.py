@@ -59,6 +59,35 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows from which on a key is joined apart from the others, and such keys that may be broadcast.
+HOT_ROWS, FEW_HOT = 4096, 100_000
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys with more than HOT_ROWS rows."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > HOT_ROWS).select(key)
+
+
+def join_unique(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:
+    """left, with the columns of right's row for its key; right has one row for each key. how: left, or inner, which leaves out rows without one.
+
+    A key may hold most rows of left: hot are the keys with more than HOT_ROWS; they are broadcast with their rows of right, so theirs
+    are not shuffled, nor are null keys. If there are more such keys than FEW_HOT, none of them holds much of so many rows.
+    """
+    hot = materialize(spark, right.join(hot, key), "hot")
+    n = hot.limit(FEW_HOT + 1).count()
+    filled = left.filter(F.col(key).isNotNull())
+    if 0 < n <= FEW_HOT:
+        cold = filled.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, how)
+        out = cold.unionByName(filled.join(F.broadcast(hot), key))
+    else:
+        out = filled.join(right, key, how)
+    if how == "inner":
+        return out
+    added = (F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key)
+    return out.unionByName(left.filter(F.col(key).isNull()).select("*", *added))
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RE), "")

@@ -5,8 +5,8 @@
    with the bucket's centre, never all pairs; of its centres a member takes the one that it meets in most
    buckets.
 3. Signatures of a pair are compared batch by batch. A pair is dropped once the posterior probability
-   that its similarity reaches the threshold (uniform prior) is below MISS. MISS is spent at each batch, so over
-   all batches a link right at the threshold is lost with 2.5e-3 at 0.85 (2.4e-3 at 0.8), one at 0.86 with 9e-4.
+   that its similarity reaches the threshold (uniform prior) is below a level, which is such that a link right
+   at the threshold is lost with a probability of at most MISS over all batches.
 4. What survives is verified on full shingle sets; links give components.
 5. Buckets whose members are still in different components propose again: first stars with other
    centres, then, for what is left, all pairs across components, compared as blocks of signatures inside
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolyte.llm.common import materialize, table
+from taxolyte.llm.common import HOT_ROWS, hot_keys, join_unique, materialize, table
 from taxolyte.llm.components import connected, relink
 from taxolyte.llm.words import Words, groups, shingles
 
@@ -35,8 +35,8 @@ BANDS, ROWS = 26, 5
 #: Hashes of a signature: those of the bands, and as many that only comparisons use.
 HASHES = 2 * BANDS * ROWS
 BATCH = 26
-#: Posterior probability of a link below which a pair is dropped at a batch.
-MISS = 3e-4
+#: The probability that a link right at the threshold is dropped, over all batches.
+MISS = 1e-3
 #: Rounds of stars before all pairs across components are compared, and members in a block of those.
 STARS, BLOCK = 2, 1024
 #: So many ids, 2 MB, may be broadcast; above, texts are joined without that filter.
@@ -45,9 +45,8 @@ _rng = np.random.default_rng(20240613)
 _FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@cache
-def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
-    """(hashes compared, fewest matches to go on): below, P(similarity >= threshold) < miss.
+def _least_at(threshold: float, level: float) -> list[tuple[int, int]]:
+    """(hashes compared, fewest matches to go on): below, P(similarity >= threshold) < level.
 
     With a uniform prior the posterior after m of n matches is Beta(m + 1, n - m + 1), and its tail
     equals P(Binomial(n + 1, threshold) <= m).
@@ -55,13 +54,32 @@ def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]
     out = []
     for n in range(BATCH, HASHES + 1, BATCH):
         total, m = 0.0, -1
-        while total < miss:
+        while total < level:
             m += 1
             total += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
         out.append((n, m))
     return out
 
 
+def lost(similarity: float, steps: list[tuple[int, int]]) -> float:
+    """The probability that a pair of this similarity is dropped at one of the steps."""
+    one = np.array([comb(BATCH, m) * similarity**m * (1 - similarity) ** (BATCH - m) for m in range(BATCH + 1)])
+    alive = np.ones(1)
+    for _, least in steps:
+        alive = np.convolve(alive, one)
+        alive[:least] = 0
+    return float(1 - alive.sum())
+
+
+@cache
+def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
+    """(hashes compared, fewest matches to go on) at each batch, by the highest level whose loss over all batches is at most miss."""
+    level = miss
+    while lost(threshold, steps := _least_at(threshold, level)) > miss:
+        level *= 0.8
+    return steps
+
+
 def passing(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Which rows of two tables of signatures go on after all batches."""
     alive = np.arange(len(a))
@@ -224,7 +242,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     is it. Texts without words are linked with nothing. Rows that repeat a doc_id are one node, linked
     with whatever one of them is; a null doc_id is linked with nothing, has a null component and is
     kept. Other columns are ignored, an empty table gives an empty result. A link is missed if no band agrees (2.4e-7 at 0.85,
-    3.3e-5 at 0.8) or if pruned (2.5e-3 right at a threshold of 0.85 over all batches, see above).
+    3.3e-5 at 0.8) or if pruned (at most MISS right at the threshold, over all batches).
     """
     sets = materialize(spark, sketch(docs, k), "sketches")
     filled = sets.filter("fp IS NOT NULL AND doc_id IS NOT NULL")
@@ -234,7 +252,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     keys = [F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)]
     bands = nodes.select(F.posexplode(F.array(*keys)).alias("band", "key"), "id")
     shared = bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    buckets = materialize(spark, bands.join(shared.select("key", "center"), "key"), "buckets")
+    shared = materialize(spark, shared, "shared")
+    # A bucket may hold most rows.
+    buckets = join_unique(spark, bands, shared.select("key", "center"), "key", shared.filter(F.col("n") > HOT_ROWS).select("key"), "inner")
+    buckets = materialize(spark, buckets, "buckets")
     pairs = _one_centre(buckets.filter("id <> center"))
     links = materialize(spark, _verify(materialize(spark, _prune(pairs, nodes, percent), "survivors"), docs, k, percent), "links")
     # A doc_id with different texts ties their nodes.
@@ -256,7 +277,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         else:
             found = _across(spark, rows.select("band", "key", "id", "comp"), nodes, percent)
         comps = relink(spark, comps, materialize(spark, _verify(materialize(spark, found, "survivors"), docs, k, percent), "links"))
-    out = sets.join(nodes.select("fp", "id"), "fp", "left").join(comps, "id", "left")
+    placed = materialize(spark, nodes.select("fp", "id").join(comps, "id", "left"), "placed")
+    out = join_unique(spark, sets.drop("signature"), placed, "fp", hot_keys(sets, "fp"))  # copies of a text share fp
     component = F.coalesce("comp", "id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 

@@ -30,8 +30,8 @@ TRAIN_ROWS = 20_000
 #: Words that each model may use, and the chi-square that a word must have; its exact tail must be as small.
 MODEL_WORDS, LEAST_CHI2 = 256, 15.0
 REJECT = 0.5
-#: Rows of a rate table that may be broadcast (a few MB); a larger one is joined by shuffle.
-FEW_SITES = 100_000
+#: Rows of a rate table that may be broadcast (a few MB), and parts in which sites of a larger one are joined.
+FEW_SITES, SALTS = 100_000, 16
 HEADS = ("bad", "toxic")
 DENSE = 9
 
@@ -292,8 +292,12 @@ def _sited(docs: DataFrame) -> DataFrame:
 
 
 def _joined(scored: DataFrame, rates: DataFrame, model: Model) -> DataFrame:
-    few = rates.limit(FEW_SITES + 1).count() <= FEW_SITES
-    both = scored.join(F.broadcast(rates) if few else rates, ["host", "path"])
+    if rates.limit(FEW_SITES + 1).count() <= FEW_SITES:
+        both = scored.join(F.broadcast(rates), ["host", "path"])
+    else:  # a site may hold most rows
+        salted = scored.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = salted.join(rates, ["host", "path", "_salt"]).drop("_salt")
     odds = _logit(F.col("p_document")) - _logit(F.lit(model.base)) + _logit(F.col("path_rate"))
     p_bad = 1 / (1 + F.exp(-odds))
     return both.withColumn("p_bad", p_bad).withColumn("kept", p_bad < REJECT)

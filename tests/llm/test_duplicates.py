@@ -85,9 +85,13 @@ def test_one_id_with_two_texts(spark):
 
 
 def test_least_matches():
+    # One posterior level for all batches.
+    below, above = [], []
     for n, m in nd.least_matches(0.85):
         tail = lambda k: sum(comb(n + 1, i) * 0.85**i * 0.15 ** (n + 1 - i) for i in range(k + 1))  # noqa: B023, E731
-        assert tail(m - 1) < nd.MISS <= tail(m)
+        below.append(tail(m - 1))
+        above.append(tail(m))
+    assert max(below) < min(above) < nd.MISS
 
 
 def test_signatures_estimate_similarity():
@@ -251,11 +255,32 @@ def test_items_longer_than_a_table_of_windows():
 
 
 def test_chance_of_a_lost_link_is_the_one_stated():
-    for threshold, similarity, stated in ((0.85, 0.85, 2.5e-3), (0.8, 0.8, 2.4e-3), (0.85, 0.86, 9e-4)):
-        step = np.array([comb(nd.BATCH, m) * similarity**m * (1 - similarity) ** (nd.BATCH - m) for m in range(nd.BATCH + 1)])
-        alive = np.ones(1)
-        for _, least in nd.least_matches(threshold):
-            alive = np.convolve(alive, step)
-            alive[:least] = 0
-        assert abs(1 - alive.sum() - stated) < 0.05e-3
-    assert "2.5e-3 at 0.85 (2.4e-3 at 0.8), one at 0.86 with 9e-4" in nd.__doc__
+    for threshold in (0.8, 0.85):
+        steps = nd.least_matches(threshold)
+        assert nd.lost(threshold, steps) <= nd.MISS < 3 * nd.lost(threshold, steps)
+        rng = np.random.default_rng(2)
+        batches = rng.binomial(nd.BATCH, threshold, (400_000, len(steps))).cumsum(1)
+        seen = (batches < np.array([m for _, m in steps])).any(1).mean()
+        assert abs(seen - nd.lost(threshold, steps)) < 3e-4
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    import taxolyte.llm.common as common
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i % 7}") for i in range(300)], "i long, key string")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k4", 3), ("other", 4)], "key string, x int")
+    want = sorted(map(str, left.join(right, "key", "left").select("i", "key", "x").collect()))
+    for rows, few in ((4096, 10), (50, 10), (0, 1)):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        monkeypatch.setattr(common, "FEW_HOT", few)
+        got = common.join_unique(spark, left, right, "key", common.hot_keys(left, "key")).select("i", "key", "x").collect()
+        assert sorted(map(str, got)) == want
+        inner = common.join_unique(spark, left, right, "key", common.hot_keys(left, "key"), "inner").select("i", "key", "x").collect()
+        assert sorted(map(str, inner)) == sorted(x for x in want if "x=None" not in x)
+
+
+def test_recall_on_a_larger_corpus(spark):
+    rows = corpus(7, 1500)
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark, spark.createDataFrame(rows, KIND), 3, 85).collect()}
+    want = {i: c for i, _, c, _ in brute(rows, 3, 85)}
+    assert sum(got[i] != c for i, c in want.items()) <= 2

@@ -124,6 +124,56 @@ def test_sites_shrink(spark):
     assert abs(r["big"] - 0.5) < 0.02 and abs(r["low"] - 0.1) < 0.02 and 0.3 < r["one"] < 0.95
 
 
+def brute_rates(rows):
+    """Posterior rates by the formulas, in plain loops."""
+    paths = {}
+    for host, path, p in rows:
+        n, s = paths.get((host, path), (0, 0.0))
+        paths[host, path] = (n + 1, s + p)
+    hosts = {}
+    for (host, _), (n, s) in paths.items():
+        a, b = hosts.get(host, (0, 0.0))
+        hosts[host] = (a + n, b + s)
+    total = sum(n for n, _ in hosts.values())
+    rate = sum(s for _, s in hosts.values()) / total
+    spread = sum(n * (s / n - rate) ** 2 for n, s in hosts.values()) / total - len(hosts) / total * rate * (1 - rate)
+    k = max(1.0, min(1e6, rate * (1 - rate) / max(spread, 1e-9)))
+    host_rate = {h: (k * rate + s) / (k + n) for h, (n, s) in hosts.items()}
+    noise = {h: r * (1 - r) for h, r in host_rate.items()}
+    spread = sum(n * (s / n - host_rate[h]) ** 2 for (h, _), (n, s) in paths.items()) / total - sum(noise[h] for h, _ in paths) / total
+    k = max(1.0, min(1e6, sum(noise[h] for h, _ in paths) / len(paths) / max(spread, 1e-9)))
+    return {(h, p): (host_rate[h], (k * host_rate[h] + s) / (k + n)) for (h, p), (n, s) in paths.items()}
+
+
+def site_rows():
+    rng = random.Random(12)
+    level = {(h, p): rng.random() * (0.6 if h < 3 else 0.1) for h in range(9) for p in range(4)}
+    return [(f"h{h}", f"p{p}", min(0.99, max(0.01, rng.gauss(level[h, p], 0.1)))) for h, p in rng.choices(list(level), weights=[1 + 30 * (h == 0) for h, _ in level], k=900)]
+
+
+def test_site_rates_by_brute_force(spark):
+    rows = site_rows()
+    want = brute_rates(rows)
+    got = qc.site_rates(spark.createDataFrame(rows, "host string, path string, p_document double")).collect()
+    assert {(r["host"], r["path"]) for r in got} == set(want)
+    for r in got:
+        assert np.allclose((r["host_rate"], r["path_rate"]), want[r["host"], r["path"]], rtol=1e-9)
+
+
+def test_verdicts_by_brute_force(spark, monkeypatch):
+    docs, labels = labelled(spark, 600)
+    out = qc.classify(spark, docs, labels).collect()
+    rates = brute_rates([(r["host"], r["path"], r["p_document"]) for r in out])
+    base = qc.fit(spark, docs, labels).base
+    logit = lambda p: np.log(min(max(p, 1e-9), 1 - 1e-9) / (1 - min(max(p, 1e-9), 1 - 1e-9)))
+    for r in out:
+        odds = logit(r["p_document"]) - logit(base) + logit(rates[r["host"], r["path"]][1])
+        assert abs(r["p_bad"] - 1 / (1 + np.exp(-odds))) < 1e-6 and r["kept"] == (r["p_bad"] < qc.REJECT)
+    monkeypatch.setattr(qc, "FEW_SITES", 0)  # the other way to join
+    again = {r["doc_id"]: (r["p_bad"], r["kept"]) for r in qc.classify(spark, docs, labels).collect()}
+    assert all(abs(again[r["doc_id"]][0] - r["p_bad"]) < 1e-9 and again[r["doc_id"]][1] == r["kept"] for r in out)
+
+
 def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     assert qc.classify(spark, odd_docs, labels).count() == odd_docs.count()
