@@ -69,7 +69,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wit
 
     with_ids adds the ids as an array. A null text is empty (its piece holds the end id alone).
     """
-    kind = _PIECES + (", ids array<long>" if with_ids else "")
+    kind = _PIECES + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, plan = TextEncoder.of_worker(tokenizer), TaskContext.get().partitionId(), plans(capacity)
@@ -94,7 +94,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wit
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, types, strict=True)]
             names = [x.split()[0] for x in _PIECES.split(", ")]
             if with_ids:
-                columns, names = [*columns, pa.array([x.tolist() for x in kept], pa.list_(pa.int64()))], [*names, "ids"]
+                ends = pa.array(np.cumsum([0, *map(len, kept)]).astype(np.int32))
+                columns, names = [*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *kept]).astype(np.int32)))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

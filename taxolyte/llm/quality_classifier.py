@@ -286,9 +286,9 @@ def site_rates(scored: DataFrame) -> DataFrame:
     )
 
 
-def _sited(docs: DataFrame) -> DataFrame:
+def _site() -> list[Column]:
     """host: the source; path: its part in one language."""
-    return docs.withColumn("host", F.coalesce("source", F.lit(""))).withColumn("path", F.coalesce("lang", F.lit("")))
+    return [F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path")]
 
 
 def _joined(scored: DataFrame, rates: DataFrame, model: Model) -> DataFrame:
@@ -311,7 +311,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     doc_id has no label; without labels all are kept; empty tables give an empty result.
     """
     model = fit(spark, docs, labels)
-    rows = _sited(docs.select("doc_id", "text", "source", "lang")).select("doc_id", "host", "path", "text")
+    rows = docs.select("doc_id", *_site(), "text")
     scored = materialize(spark, score(spark, rows, model).drop("text"), "scored")
     rates = materialize(spark, site_rates(scored), "rates")
     return _joined(scored, rates, model).select("doc_id", "host", "path", "p_document", "host_rate", "path_rate", "p_bad", "kept")
@@ -320,10 +320,10 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all columns. Texts are scored twice, which spares their shuffle."""
     model = fit(spark, docs, labels)
-    rows = _sited(docs.select("text", "source", "lang")).select("host", "path", "text")
+    rows = docs.select(*_site(), "text")
     rates = materialize(spark, site_rates(materialize(spark, score(spark, rows, model).drop("text"), "scored")), "rates")
     names = {c: f"_{i}" if c != "text" else c for i, c in enumerate(docs.columns)}
-    own = _sited(docs).select(*(F.col(c).alias(n) for c, n in names.items()), "host", "path")
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), *_site())
     return _joined(score(spark, own, model), rates, model).filter("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 

@@ -48,3 +48,39 @@ def test_stages(spark, tables):
 
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).select("sequence_id").distinct().count() > 0
+
+
+def test_sequences_can_be_rebuilt(spark, tables):
+    from tokenizers import Tokenizer
+
+    from taxolyte.llm.tokens import END_ID, default_tokenizer
+
+    library = Tokenizer.from_file(default_tokenizer())
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id < 40 OR doc_id >= 1000")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    out = corpus_pipeline.packing(spark, docs, tables).collect()
+    whole = {}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["start"])):
+        whole.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert whole == {i: [*library.encode(t, add_special_tokens=False).ids, END_ID] for i, t in texts.items()}
+    by_sequence = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == len(by_sequence.setdefault(r["sequence_id"], [])) and len(r["ids"]) == r["length"]
+        by_sequence[r["sequence_id"]].extend(r["ids"])
+    assert all(len(x) <= 2048 for x in by_sequence.values())
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_odd_rows_and_columns(spark, tables, odd_docs):
+    docs = odd_docs.withColumns({c: F.lit("own") for c in ("spans", "path", "p_bad", "fp", "comp", "band", "klass", "_salt", "t0")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        assert all(r["spans"] == r["klass"] == r["_salt"] == r["comp"] == "own" and r["host"] == "z" for r in out.collect())
+    out = corpus_pipeline.packing(spark, docs, tables)
+    assert out.filter("start = 0").count() == docs.count() and out.agg({"length": "sum"}).first()[0] > 30_000
