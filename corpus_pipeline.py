@@ -19,29 +19,48 @@ from taxolyte.llm.tokens import default_tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps, with all columns.
+
+    Null texts are empty, null sources and languages are sites of their own, repeated rows are judged alike; an empty
+    table stays empty, and without labels all are kept.
+    """
     return keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the smallest doc_id, with all columns.
+
+    Texts without words (null, empty, blank) are no duplicates; of rows that share a doc_id one stays, rows with a null doc_id
+    all stay; an empty table stays empty.
+    """
     return one_of_each(spark, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark, with all columns.
+
+    Null texts and null doc_ids stay, rows that share a doc_id with a leaking text go too; an empty table, or
+    benchmark, changes nothing.
+    """
     return without_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with personal data replaced; n_chars is that of the new text."""
+    """All documents with personal data replaced; n_chars is that of the new text.
+
+    Null texts stay null (so does their n_chars), all rows and other columns stay as they are.
+    """
     out = redact(docs, Selector(spark, docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
-    return pack(spark, docs, default_tokenizer())
+    """Pieces of all documents with their ids in sequences of at most 2048 tokens.
+
+    Null texts are empty (their end id alone), repeated rows and null doc_ids are documents of their own, other columns are
+    left out; an empty table gives no rows.
+    """
+    return pack(spark, docs, default_tokenizer(), with_ids=True)
 
 
 STAGES = [
