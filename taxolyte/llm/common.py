@@ -60,7 +60,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows from which on a key is joined apart from the others, and such keys that may be broadcast.
-HOT_ROWS, FEW_HOT = 4096, 100_000
+HOT_ROWS, FEW_HOT = 1024, 100_000
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:

@@ -278,8 +278,10 @@ def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
     the generators run over the result as they do over texts. Proposals that don't meet the value have no
     label and are left out. All places of a text are in one fold.
     """
-    chosen = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    real = chosen.limit(TRAIN_DOCS).select(F.xxhash64("doc_id").alias("unit"), F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("place"))
+    filled = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text <> ''")
+    chosen = filled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    real = filled.join(F.broadcast(chosen), "doc_id")  # TRAIN_DOCS ids
+    real = real.select(F.xxhash64("doc_id").alias("unit"), F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("place"))
     prose = F.array(*map(F.lit, _PROSE))
     made = spark.range(0, PROSE_PLACES, 1, 1).select(
         F.xxhash64(F.lit("prose"), F.col("id")).alias("unit"), F.split(F.get(prose, F.pmod("id", F.lit(len(_PROSE))).cast("int")), " ").alias("w"), F.lit(0).alias("place")
@@ -290,10 +292,11 @@ def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cut = cut.select(
         "unit",
         "id",
-        F.pmod(F.xxhash64("id", F.lit(4)), F.lit(len(templates))).cast("int").alias("t"),
         F.array_join(F.slice("w", F.greatest(F.col("at") - 11, F.lit(1)), F.least("at", F.lit(12))), " ").alias("left"),
         F.array_join(F.slice("w", F.col("at") + 1, F.lit(12)), " ").alias("right"),
     )
+    cut = cut.groupBy("unit", "id").agg(F.min(F.struct("left", "right")).alias("x"))  # rows that share a doc_id are one text
+    cut = cut.select("unit", "id", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(len(templates))).cast("int").alias("t"), "x.left", "x.right")
     any_of = lambda texts, salt: F.get(F.array(*map(F.lit, texts)), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(texts))).cast("int"))
     of = lambda use: F.coalesce(*(F.when(F.col("t") == i, use(x)) for i, x in enumerate(templates)))
     planted = cut.select(

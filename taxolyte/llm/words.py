@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes that are hashed at a time.
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
