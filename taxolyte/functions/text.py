@@ -188,6 +188,12 @@ def by_order(hits: Column, order: Sequence[str], other: str = OTHER) -> Column:
     return F.coalesce(F.get(F.filter(F.array(*map(F.lit, order)), lambda x: F.array_contains(hits, x)), F.lit(0)), F.lit(other))
 
 
+def random_order(order: Sequence[str], draw: Column, seed: int = 20260909) -> Column:
+    """A codebook's categories in a pseudo-random order that the number of the draw names."""
+    keyed = F.array(*(F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), F.lit(c)).cast("binary")).alias("h"), F.lit(c).alias("c")) for c in order))
+    return F.transform(F.sort_array(keyed), lambda x: x["c"])
+
+
 def _contains(text: Column, terms: Sequence[str]) -> Column:
     out = F.lit(False)
     for term in terms:
@@ -220,9 +226,32 @@ def pair_id(left: Column, right: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("||", left, right)), 1, 12)
 
 
+# Codes of the raters of the first round, and of their groups.
+FIRST_ROUND = ("EV-1", "EV-2", "EV-3", "EV-4", "EV-5", "EV-3B", "EV-4B", "EV-5B")
+RATER_GROUPS = (("phd", ("EV-1", "EV-2")), ("staff", ("EV-3", "EV-4", "EV-5")), ("student", ("EV-3B", "EV-4B", "EV-5B")))
+
+
 def rater_group(code: Column) -> Column:
-    """Group of a rater by the code's prefix."""
+    """A rater's group by code: author by prefix, others by the table, external beyond it; null for any other code."""
     c = F.upper(code)
-    return (
-        F.when(c.startswith("AUTHOR"), "author").when(c.startswith("PHD"), "phd").when(c.startswith("STAFF"), "staff").when(c.startswith("STUDENT"), "student").otherwise("external")
-    )
+    out = F.when(c.startswith("AU-"), "author")
+    for name, codes in RATER_GROUPS:
+        out = out.when(c.isin(*codes), name)
+    return out.when(c.startswith("EV-"), "external")
+
+
+def counts_in_first_round(code: Column) -> Column:
+    """Whether a rater's judgments belong to the first round: external raters only if they are on its list."""
+    c = F.upper(code)
+    return ~c.startswith("EV-") | c.isin(*FIRST_ROUND)
+
+
+def alpha_value(verdict: Column, scale: str) -> Column:
+    """A verdict as a value for alpha: 5 as it is, merge and lenient yes or no, 3 same, hierarchy or other with unsure missing."""
+    if scale == "5":
+        return verdict
+    if scale == "merge":
+        return F.when(is_strict(verdict), "yes").when(verdict.isNotNull(), "no")
+    if scale == "lenient":
+        return F.when(is_lenient(verdict), "yes").when(verdict.isNotNull(), "no")
+    return F.when(verdict != "unsure", F.when(verdict.isin("same", "hierarchy"), verdict).otherwise("other"))

@@ -71,6 +71,24 @@ def mode(df: DataFrame, by: list[str], value: str, name: str = "mode") -> DataFr
     return counts.groupBy(*by).agg(F.min(F.struct(-F.col("_n"), F.col(value).alias("v")))["v"].alias(name), F.max("_n").alias(f"{name}_n"))
 
 
+def matched_judgments(judgments: DataFrame, items: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """Judgments with the columns of their item, and one row with n and n_unmatched, judgments of no item."""
+    rows = judgments.join(items.withColumn("_there", F.lit(True)), item, "left")
+    return rows.filter("_there").drop("_there"), rows.agg(F.count("*").alias("n"), F.count_if(F.col("_there").isNull()).alias("n_unmatched"))
+
+
+def calibration(judgments: DataFrame, strict, lenient) -> DataFrame:
+    """One row that compares two panels of raters on the same items (panel, rater, item, verdict; panel is new or old): n, strict and
+    lenient rates of each, n_common items that both decide by majority, and how often these majorities agree, as verdicts and on merging."""
+    v = F.col("verdict")
+    rates = [f(F.when(F.col("panel") == p, c)).alias(f"{name}_{p}") for p in ("new", "old") for name, f, c in (("n", F.count, F.lit(1)), ("strict", F.avg, strict(v).cast("int")), ("lenient", F.avg, lenient(v).cast("int")))]
+    a, b = (majority(judgments.filter(F.col("panel") == p)).select("item", F.col("majority").alias(p)).filter(F.col(p).isNotNull()) for p in ("new", "old"))
+    both = a.join(b, "item").agg(
+        F.count("*").alias("n_common"), F.avg((F.col("new") == F.col("old")).cast("int")).alias("agreement"), F.avg((strict(F.col("new")) == strict(F.col("old"))).cast("int")).alias("agreement_merge")
+    )
+    return judgments.agg(*rates).join(F.broadcast(both))
+
+
 def mismatched(df: DataFrame, unit: str, group: str, cluster: str) -> DataFrame:
     """unit, group, cluster, cluster_group, mismatch: whether a unit's group is not its cluster's most frequent."""
     return df.join(mode(df, [cluster], group, "cluster_group"), cluster).select(unit, group, cluster, "cluster_group", (F.col(group) != F.col("cluster_group")).alias("mismatch"))

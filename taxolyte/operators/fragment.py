@@ -38,11 +38,12 @@ def by_group(tok: DataFrame, group: str) -> DataFrame:
 def aliases(tok: DataFrame, least: int = 2) -> DataFrame:
     """key, n_surfaces, n_jobs, types, type_mismatch, surfaces of keys with several surfaces, lists joined by bars."""
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "|")
-    rows = tok.filter("key <> ''")
-    out = rows.groupBy("key").agg(
-        F.count_distinct("surface").alias("n_surfaces"), F.count_distinct("job").alias("n_jobs"), joined("major").alias("types"), (F.size(F.collect_set("major")) > 1).alias("type_mismatch"), joined("surface").alias("surfaces")
-    )
-    return out.filter(F.col("n_surfaces") >= least)
+    rows = tok.filter("key <> ''").select("key", "surface", "job", "major")
+    # Surfaces first, so that lists are only made of keys that have several.
+    many = rows.select("key", "surface").distinct().groupBy("key").agg(F.count("*").alias("n_surfaces"), joined("surface").alias("surfaces")).filter(F.col("n_surfaces") >= least)
+    jobs = rows.select("key", "job", "major").distinct().join(many.select("key"), "key", "left_semi").groupBy("key")
+    jobs = jobs.agg(F.size(F.collect_set("job")).cast("long").alias("n_jobs"), F.sort_array(F.collect_set("major")).alias("m"))
+    return many.join(jobs, "key").select("key", "n_surfaces", "n_jobs", F.array_join("m", "|").alias("types"), (F.size("m") > 1).alias("type_mismatch"), "surfaces")
 
 
 def variants(surfaces: DataFrame, patterns: Mapping[str, Sequence[str]]) -> DataFrame:

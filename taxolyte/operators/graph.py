@@ -143,6 +143,7 @@ def louvain(spark: SparkSession, nodes: DataFrame, edges: DataFrame, resolution:
     Components are independent but for the graph's total weight, so each is one task. Nodes are taken in
     name order and moves in seeded order, so equal input gives equal output.
     """
+    edges = materialize(spark, edges.select("u", "v", "w"), "louvain-edges")  # used several times
     comps = components(spark, nodes, edges)
     total = edges.agg(F.sum("w").alias("t")).first()["t"] or 1.0
     kind = nodes.schema["node"].dataType.simpleString()
@@ -163,6 +164,16 @@ def louvain(spark: SparkSession, nodes: DataFrame, edges: DataFrame, resolution:
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
+def louvain_pairs(spark: SparkSession, nodes: DataFrame, pairs: DataFrame, threshold: float, seed: int = 20260909) -> DataFrame:
+    """node, community, min_sim: Louvain on pairs (i, j, sim) of at least the threshold, weighted by similarity; min_sim is the
+    least similarity of an edge within the community, null for those of one node."""
+    edges = materialize(spark, pairs.filter(F.col("sim") >= threshold).select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("sim").alias("w")), "pairs")
+    found = materialize(spark, louvain(spark, nodes, edges, seed=seed), "communities")
+    a, b = (found.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in "uv")
+    least = edges.join(a, "u").join(b, "v").filter("cu = cv").groupBy(F.col("cu").alias("community")).agg(F.min("w").alias("min_sim"))
+    return found.join(least, "community", "left").select("node", "community", "min_sim")
+
+
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
     """q of a partition (node, community) of the graph (u, v, w)."""
     c = communities

@@ -93,6 +93,39 @@ def verified_recovery(buckets: DataFrame, precision: DataFrame, direct: float, n
     return out.withColumn("recovery", rule + F.col("verified") / n_surfaces)
 
 
+def singleton_accounting(clusters: DataFrame, single: DataFrame, caps: dict[str, int | None]) -> DataFrame:
+    """layer, merged_keys, merged_single, merged_shared, single_into_shared: keys in clusters of several keys up to each
+    cap, those of one job (single: node, single) and of several, and single ones that join a shared key."""
+    per = clusters.join(single, "node").groupBy("comp").agg(F.count("*").alias("n"), F.count_if("single").alias("s")).filter("n > 1")
+    layers = F.array(*(F.when(F.col("n") <= cap if cap else F.lit(True), F.lit(name)) for name, cap in caps.items()))
+    rows = per.select("n", "s", F.explode(F.filter(layers, lambda x: x.isNotNull())).alias("layer"))
+    return rows.groupBy("layer").agg(
+        F.sum("n").alias("merged_keys"), F.sum("s").alias("merged_single"), F.sum(F.col("n") - F.col("s")).alias("merged_shared"), F.sum(F.when(F.col("s") < F.col("n"), F.col("s")).otherwise(0)).alias("single_into_shared")
+    )
+
+
+def rule_pairs(surfaces: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """rule, n_surfaces, ambiguous, n_keys, reduction, merged_pairs, pair_precision: what rules (columns of surface) merge.
+
+    surfaces: surface, concept. A merged pair is right if its surfaces have a concept in common. Pairs are counted from the numbers
+    of surfaces by key and set of concepts; only unequal sets of one key meet.
+    """
+    one = surfaces.groupBy("surface").agg(F.sort_array(F.collect_set("concept")).alias("set"))
+    totals = one.agg(F.count("*").alias("n_surfaces"), F.count_if(F.size("set") > 1).alias("ambiguous"))
+    rules = F.array(*(F.struct(F.lit(name).alias("rule"), key.alias("key")) for name, key in keys.items()))
+    by_set = one.select("set", F.explode(rules).alias("x")).groupBy("x.rule", "x.key", "set").agg(F.count("*").alias("m"))
+    per = by_set.groupBy("rule", "key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("equal"))
+    a, b = by_set.toDF("rule", "key", "sa", "ma"), by_set.toDF("rule", "key", "sb", "mb")
+    meet = a.join(b, ["rule", "key"]).filter((F.array_join("sa", "|") < F.array_join("sb", "|")) & F.arrays_overlap("sa", "sb"))
+    meet = meet.groupBy("rule", "key").agg(F.sum(F.col("ma") * F.col("mb")).alias("meet"))
+    rows = per.join(meet, ["rule", "key"], "left").groupBy("rule").agg(
+        F.count("*").alias("n_keys"), F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("merged_pairs"), F.sum(F.col("equal") + F.coalesce("meet", F.lit(0))).alias("right")
+    )
+    return rows.join(F.broadcast(totals)).select(
+        "rule", "n_surfaces", "ambiguous", "n_keys", ((F.col("n_surfaces") - F.col("n_keys")) / F.col("n_surfaces")).alias("reduction"), "merged_pairs", F.try_divide("right", "merged_pairs").alias("pair_precision")
+    )
+
+
 def concept_layer(nodes: DataFrame, clusters: DataFrame, cap: int | None = None) -> DataFrame:
     """node, concept: nodes of clusters of at most cap (any size without) share a concept, others keep theirs."""
     size = clusters.groupBy("comp").agg(F.count("*").alias("size"))

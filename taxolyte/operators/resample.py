@@ -78,6 +78,35 @@ def bootstrap_difference(spark: SparkSession, pairs: DataFrame, difference: str,
     )
 
 
+def bootstrap_by_group(spark: SparkSession, rows: DataFrame, group: str, num: str, den: str, n: int = 2000, seed: int = 20260909) -> DataFrame:
+    """group, lo, hi, estimate of sum(num) / sum(den) for each of a few groups."""
+    out = None
+    for name in sorted(r[0] for r in rows.select(group).filter(F.col(group).isNotNull()).distinct().collect()):  # strata of a design
+        one = bootstrap_ratio(spark, rows.filter(F.col(group) == name), num, den, n, seed).select(F.lit(name).alias(group), "lo", "hi", "estimate")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def joint_recovery(spark: SparkSession, sample: DataFrame, buckets: DataFrame, policies: dict[str, list[str]], n_surfaces: int, rule: float, n: int = 4000, seed: int = 20260909) -> DataFrame:
+    """policy, verified, recovery, lo, hi: verified recovery with all strata drawn anew in each replicate.
+
+    sample: bucket, num, den of judged items; buckets: bucket, keys_absorbed. A stratum without judged items counts as 0.
+    """
+    total = None
+    for k, name in enumerate(sorted({b for x in policies.values() for b in x})):  # size buckets
+        sums = _sums(sample.filter(F.col("bucket") == name), ["num", "den"], n, seed + k)
+        one = sums.select("id", F.lit(name).alias("bucket"), F.when(F.col("sums")[1] > 0, F.col("sums")[0] / F.col("sums")[1]).otherwise(0.0).alias("p"))
+        total = one if total is None else total.unionByName(one)
+    named = F.array(*(F.when(F.col("bucket").isin(*b), F.lit(p)) for p, b in policies.items()))
+    rows = total.join(F.broadcast(buckets.select("bucket", "keys_absorbed")), "bucket")  # a row per bucket
+    rows = rows.select("id", (F.col("p") * F.col("keys_absorbed")).alias("v"), F.explode(F.filter(named, lambda x: x.isNotNull())).alias("policy"))
+    each = rows.groupBy("policy", "id").agg(F.sum("v").alias("v"))
+    recovery = lambda v: rule + v / n_surfaces
+    drawn = F.when(F.col("id") >= 0, F.col("v"))
+    out = each.groupBy("policy").agg(F.max(F.when(F.col("id") < 0, F.col("v"))).alias("verified"), F.percentile(drawn, 0.025).alias("a"), F.percentile(drawn, 0.975).alias("b"))
+    return out.select("policy", "verified", recovery(F.col("verified")).alias("recovery"), recovery(F.col("a")).alias("lo"), recovery(F.col("b")).alias("hi"))
+
+
 def _codes(values: list) -> np.ndarray:
     return np.unique(np.array([str(v) for v in values]), return_inverse=True)[1]
 

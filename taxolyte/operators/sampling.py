@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def order_of(seed: int, *columns: str) -> Column:
-    """A pseudo-random order of rows: a hash of the seed and the columns."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """A pseudo-random order of rows: a hash of the seed and the columns, as hexadecimal text that SQL can give too."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)).cast("binary"))
 
 
 def split_half(df: DataFrame, stratum: str, unit: str, seed: int = 20260909) -> DataFrame:
@@ -52,7 +52,7 @@ def transitive_sample(clusters: DataFrame, edges: DataFrame, k: int, seed: int =
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
     free = members.join(degrees, ["comp", "node"], "left").join(sizes, "comp")
     free = free.select("comp", "node", (F.col("size") - 1 - F.coalesce("degree", F.lit(0))).alias("free")).filter("free > 0")
-    chance = (F.pmod(order_of(seed, "comp", "node"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    chance = (F.conv(F.substring(order_of(seed, "comp", "node"), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     one = free.groupBy("comp").agg(F.min(F.struct((-F.ln(chance) / F.col("free")).alias("time"), "node"))["node"].alias("node"))
     one = one.orderBy(order_of(seed, "comp"), "comp").limit(k)
     others = members.toDF("comp", "other").join(F.broadcast(one), "comp").filter("other <> node")

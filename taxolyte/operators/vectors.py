@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
-#: Pairs from which on a search is taken to have too low a threshold.
-MAX_PAIRS = 80_000_000
 
 
 def check_unit(df: DataFrame, vec: str, tolerance: float = 1e-2) -> DataFrame:
@@ -93,6 +91,28 @@ def knee(pairs: DataFrame, truth: str, bins: int = 20) -> DataFrame:
     return out.withColumn("drop", F.lag("precision").over(Window.orderBy("band")) - F.col("precision"))
 
 
+def parts_by_rank(pairs: DataFrame, parts: int) -> DataFrame:
+    """pairs with part, 1 to parts: equal parts by falling similarity, ties by i and j, the first parts one larger if need be.
+
+    Only distinct similarities are ordered in one task.
+    """
+    total = pairs.agg(F.count("*").alias("_t"))
+    by_sim = pairs.groupBy("sim").agg(F.count("*").alias("c"))
+    before = by_sim.select("sim", (F.sum("c").over(Window.orderBy(F.desc("sim"))) - F.col("c")).alias("_b"))
+    ranked = pairs.join(before, "sim").join(F.broadcast(total))  # one row
+    r = F.col("_b") + F.row_number().over(Window.partitionBy("sim").orderBy("i", "j")) - 1
+    small, more = F.floor(F.col("_t") / parts), F.col("_t") % parts
+    edge = more * (small + 1)
+    part = F.when(r < edge, F.floor(r / (small + 1))).otherwise(more + F.floor((r - edge) / F.greatest(small, F.lit(1)))) + 1
+    return ranked.withColumn("part", part.cast("int")).drop("_b", "_t")
+
+
+def edges_in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """i < j, sim_a, sim_b of pairs that both tables have, whichever way round (i, j, sim)."""
+    one = lambda df, name: df.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("sim").alias(name)).groupBy("i", "j").agg(F.max(name).alias(name))
+    return one(a, "sim_a").join(one(b, "sim_b"), ["i", "j"])
+
+
 def pair_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     """n_a, n_b, n_both, n_either, jaccard of two pair tables (i, j)."""
     both = a.select("i", "j", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select("i", "j", F.lit(0).alias("a"), F.lit(1).alias("b")))

@@ -1,4 +1,4 @@
-"""Queries on graphs of jobs that share keys. Keys of several letters that few jobs share make the edges."""
+"""Queries on graphs of jobs that share keys."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ from taxolyte.session import table
 
 
 def edges_of(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).filter("length(key) >= 4").select("job", "key").distinct()
+    return tokens(spark, d).filter("key <> ''").select("job", "key").distinct()
 
 
-E_SQL = "WITH " + TOK_SQL + """, e0 AS (SELECT DISTINCT job, key FROM tok WHERE length(key) >= 4),
+E_SQL = "WITH " + TOK_SQL + """, e0 AS (SELECT DISTINCT job, key FROM tok WHERE key <> ''),
 dg AS (SELECT key, count(*) AS df FROM e0 GROUP BY key HAVING count(*) >= 2), ed AS (SELECT job, key, df FROM e0 JOIN dg USING (key)),
 sz AS (SELECT job, count(*) AS n FROM ed GROUP BY job), cm AS (SELECT a.job AS u, b.job AS v, count(*) AS common FROM ed a JOIN ed b ON a.key = b.key AND a.job < b.job GROUP BY 1, 2),
 jac AS (SELECT u, v, common, common / (x.n + y.n - common) AS w FROM cm JOIN sz x ON u = x.job JOIN sz y ON v = y.job)"""
@@ -100,7 +100,7 @@ r AS (SELECT node, node AS comp FROM c UNION SELECT e.v, r.comp FROM r JOIN e ON
 
 
 def _communities(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.jaccard_edges(edges_of(spark, d), "job", "key", drop_share=0.5).select("u", "v", "w")
+    e = graph.jaccard_edges(edges_of(spark, d), "job", "key").select("u", "v", "w")
     nodes = tokens(spark, d).select(F.col("job").alias("node")).distinct()
     return graph.louvain(spark, nodes, e)
 
@@ -142,7 +142,7 @@ SELECT round(mi / ((ha.h + hb.h) / 2), 6) AS nmi, round((m.s - ha.s * hb.s / (n
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     """NMI of labels with a chance grouping, against shuffled labels."""
     e = table(spark, d, "embeddings").select("label", F.pmod("vec_id", F.lit(7)).alias("g"))
-    return resample.permutation_null(spark, e, "label", "g", n=200)
+    return resample.permutation_null(spark, e, "label", "g")
 
 
 QUERIES = {

@@ -54,10 +54,10 @@ def h3_fragmentation(spark: SparkSession, d: str) -> Result:
 
 def h4_clusters(spark: SparkSession, d: str) -> Result:
     """Communities of jobs agree with their major more than by chance; the statistic is NMI, the effect AMI."""
-    e = graph.jaccard_edges(edges_of(spark, d), "job", "key", drop_share=0.5).select("u", "v", "w")
+    e = graph.jaccard_edges(edges_of(spark, d), "job", "key").select("u", "v", "w")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v"))
     c = graph.louvain(spark, nodes, e).withColumn("major", F.split_part(F.col("node"), F.lit("|"), F.lit(1)))
-    r = resample.permutation_null(spark, c, "major", "community", n=200).first()
+    r = resample.permutation_null(spark, c, "major", "community").first()
     return _result("h4", r["observed"], r["p"], agreement.ami(c, "major", "community"), c.count(), r["p"] < 0.05)
 
 

@@ -3,7 +3,7 @@ concepts, events for judgments: a user rates item props.k with the event type, t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolyte.functions.text import is_lenient, is_strict, size_bucket
@@ -178,15 +178,15 @@ round(avg(CASE WHEN b > 0 THEN 2 * b / (g + w) ELSE 0 END), 6) AS f1, round(avg(
 
 
 def char3gram_knn(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest other part names by character trigrams."""
+    """The 21 nearest other part names by character trigrams."""
     names = table(spark, d, "part").select("p_name").distinct()
-    return retrieval.ngram_neighbours(names, "p_name", "p_name", k=3).select("u", "v", F.round("sim", 6).alias("sim"), "rank")
+    return retrieval.ngram_neighbours(names, "p_name", "p_name").select("u", "v", F.round("sim", 6).alias("sim"), "rank")
 
 
 KNN = """WITH n AS (SELECT DISTINCT p_name AS k, ' ' || lower(p_name) || ' ' AS t FROM part), g AS (SELECT k, gram, count(*) AS tf FROM (SELECT k, unnest([substr(t, i, 3) for i in range(1, length(t) - 1)]) AS gram FROM n) GROUP BY 1, 2),
 i AS (SELECT gram, ln((1 + (SELECT count(*) FROM n)) / (1 + count(*))) + 1 AS idf FROM g GROUP BY gram), w AS (SELECT k, gram, (1 + ln(tf)) * idf AS x FROM g JOIN i USING (gram)), o AS (SELECT k, sqrt(sum(x * x)) AS n FROM w GROUP BY k),
 s AS (SELECT a.k AS u, b.k AS v, round(sum(a.x / p.n * b.x / q.n), 9) AS sim FROM w a JOIN w b ON a.gram = b.gram AND a.k <> b.k JOIN o p ON p.k = a.k JOIN o q ON q.k = b.k GROUP BY 1, 2)
-SELECT u, v, round(sim, 6) AS sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC, v)::INT AS rank FROM s QUALIFY rank <= 3"""
+SELECT u, v, round(sim, 6) AS sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC, v)::INT AS rank FROM s QUALIFY rank <= 21"""
 
 
 def judgments(spark: SparkSession, d: str) -> DataFrame:
@@ -258,18 +258,18 @@ BLOCKS = J_SQL + " SELECT floor(item / 25)::BIGINT AS band, count(*) AS n, count
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the strict rate, items drawn with replacement."""
     per = judgments(spark, d).groupBy("item").agg(F.count_if(F.col("verdict") == "view").alias("num"), F.count("*").alias("den"))
-    return resample.bootstrap_ratio(spark, per, "num", "den", n=1000)
+    return resample.bootstrap_ratio(spark, per, "num", "den")
 
 
 def alpha_ci(spark: SparkSession, d: str) -> DataFrame:
     """Interval of alpha, items drawn with replacement."""
-    return resample.bootstrap_alpha(spark, judgments(spark, d), "item", "verdict", n=500)
+    return resample.bootstrap_alpha(spark, judgments(spark, d), "item", "verdict")
 
 
 def paired_difference(spark: SparkSession, d: str) -> DataFrame:
     """Difference of two labels by document, with its interval."""
     rows = table(spark, d, "labels").select((F.col("quality") - F.col("toxic")).cast("double").alias("x"))
-    return resample.bootstrap_difference(spark, rows, "x", n=1000)
+    return resample.bootstrap_difference(spark, rows, "x")
 
 
 def split_half(spark: SparkSession, d: str) -> DataFrame:
@@ -302,6 +302,11 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified(p, "band", ["i", "j"], 10)
 
 
+SPLIT = """SELECT n_regionkey, n_nationkey, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY md5('20260909|' || n_nationkey), n_nationkey) <= count(*) OVER (PARTITION BY n_regionkey) // 2 THEN 'A' ELSE 'B' END AS half FROM nation"""
+STRATIFIED = P_SQL + """, b AS (SELECT i, j, sim, floor(sim * 20)::BIGINT AS band FROM p)
+SELECT i, j, sim, band FROM b QUALIFY row_number() OVER (PARTITION BY band ORDER BY md5('20260909|' || i || '|' || j), i, j) <= 10"""
+
+
 def transitive_sample(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one cluster without an edge."""
     c, e = _clusters(spark, d)
@@ -319,7 +324,7 @@ BUCKETS = "SELECT CASE WHEN n <= 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 20
 
 def rank_terciles(spark: SparkSession, d: str) -> DataFrame:
     """Precision of pairs in thirds by falling similarity."""
-    t = with_truth(spark, d).withColumn("tercile", F.ntile(3).over(Window.orderBy(F.desc("sim"), "i", "j")))
+    t = vectors.parts_by_rank(with_truth(spark, d), 3).withColumnRenamed("part", "tercile")
     return t.groupBy("tercile").agg(F.count("*").alias("n"), F.round(F.avg(F.col("same").cast("int")), 6).alias("precision"))
 
 
@@ -349,10 +354,10 @@ QUERIES = {
     "bootstrap_ci": (bootstrap_ci, None),
     "alpha_ci": (alpha_ci, None),
     "paired_difference": (paired_difference, None),
-    "split_half": (split_half, None),
+    "split_half": (split_half, SPLIT),
     "block_assignment": (block_assignment, ASSIGN),
     "leave_one_out": (leave_one_out, LEAVE),
-    "stratified_sample": (stratified_sample, None),
+    "stratified_sample": (stratified_sample, STRATIFIED),
     "transitive_sample": (transitive_sample, None),
     "size_buckets": (size_buckets, BUCKETS),
 }

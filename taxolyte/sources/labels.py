@@ -17,7 +17,10 @@ OCCUPATION = (
 
 
 def csv_set(source: str, into: str | None = None) -> dict[str, str]:
-    """Paths of the CSV files of a folder, or of a zip that is unpacked into a folder, by file name."""
+    """Paths of the CSV files of a folder, or of a zip that is unpacked into a folder, by file name.
+
+    The folder (into, or one beside the zip) must be one that executors see too.
+    """
     folder = Path(source)
     if folder.suffix == ".zip":
         folder = Path(into or folder.with_suffix(""))
@@ -73,7 +76,7 @@ def relations(df: DataFrame, occupations_: DataFrame, skills_: DataFrame) -> Dat
     c = lambda *names: F.col(f"`{column(df, *names)}`")
     rows = df.select(strip(c("occupationUri")).alias("occupation"), strip(c("skillUri")).alias("skill"), relation(c("relationType")).alias("kind"))
     rows = rows.join(occupations_.select(F.col("uri").alias("occupation")), "occupation", "left_semi")
-    return rows.join(skills_.select(F.col("uri").alias("skill")), "skill", "left_semi").distinct()
+    return rows.join(skills_.select(F.col("uri").alias("skill")), "skill", "left_semi").select("occupation", "skill", "kind").distinct()
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -102,15 +105,14 @@ def version_verdict(delta: DataFrame, present: DataFrame, language: str = "en")
     return out.withColumn("verdict", verdict)
 
 
-def closure(spark: SparkSession, roots: DataFrame, narrower: DataFrame, rounds: int = 64) -> DataFrame:
-    """node: all that is reachable from roots (node) over narrower (parent, child), a frontier join a round."""
+def closure(spark: SparkSession, roots: DataFrame, narrower: DataFrame) -> DataFrame:
+    """node: all that is reachable from roots (node) over narrower (parent, child), a frontier join a round until nothing is new."""
     from taxolyte.session import materialize
 
     seen = front = materialize(spark, roots.select("node").distinct(), "closure")
-    for _ in range(rounds):
+    while True:
         step = narrower.join(front, narrower.parent == front.node).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
         front = materialize(spark, step, "closure")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
+        seen = materialize(spark, seen.unionByName(front), "closure")  # as many files however deep it goes

@@ -6,9 +6,10 @@ are hashes of natural keys, so a rerun gives equal tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolyte.functions.text import clean, clean_int, last_word
@@ -21,8 +22,14 @@ LANDING = (
 LEVELS = ("unit_level", "element_level")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new, and those of old whose key new lacks."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], batch: str | None = None) -> DataFrame:
+    """One row of new for each key, and the rows of old whose key new lacks.
+
+    Of rows of new that share a key the one with the greatest batch (a column of new) counts, of those the greatest one.
+    """
+    rest = [c for c in old.columns if c not in keys]
+    rank = F.struct(*([F.col(batch)] if batch else []), *rest) if rest else F.lit(1)
+    new = new.groupBy(*keys).agg(F.max(rank).alias("_x")).select(*keys, *(F.col(f"_x.{c}").alias(c) for c in rest))
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
@@ -44,6 +51,33 @@ def violations(rows: DataFrame) -> DataFrame:
     return rows.filter(reduce(lambda a, b: a | b, lacking))
 
 
+def write_landing(rows: DataFrame, path: str, batch_id: str) -> DataFrame:
+    """Adds landing rows to a folder as one batch and returns what the folder holds of it; a batch that is written again replaces itself."""
+    out = landing(rows).withColumn("batch_id", F.lit(batch_id))
+    out.write.partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path).filter(F.col("batch_id") == batch_id)
+
+
+def audited(spark: SparkSession, path: str, batch_id: str, source: str, load: Callable[[], DataFrame]) -> DataFrame:
+    """Runs a load and adds its audit rows to a folder: one when it starts, one with its time and count when it ends. Returns what it loaded."""
+    kind = "batch_id string, source string, state string, at timestamp, n_rows long"
+
+    def note(state: str, n: int | None) -> None:
+        spark.range(1).select(*(F.lit(v).cast(t).alias(c) for c, t, v in zip(("batch_id", "source", "state"), ("string",) * 3, (batch_id, source, state), strict=True)), F.current_timestamp().alias("at"), F.lit(n).cast("long").alias("n_rows")).write.mode("append").parquet(path)
+
+    note("started", None)
+    out = load()
+    note("finished", out.count())
+    return out
+
+
+def audit(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, source, started_at, finished_at, n_rows: the last run of each batch."""
+    rows = spark.read.parquet(path)
+    at = lambda state: F.max(F.when(F.col("state") == state, F.col("at")))
+    return rows.groupBy("batch_id", "source").agg(at("started").alias("started_at"), at("finished").alias("finished_at"), F.max_by("n_rows", F.when(F.col("state") == "finished", F.col("at"))).alias("n_rows"))
+
+
 def _id(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
