@@ -11,7 +11,7 @@ from taxolyte.plans.graphs import _rounded
 from taxolyte.plans.jobs import _HITS, CODEBOOK
 from taxolyte.plans.pairs import _CL, CUT, J_SQL, P_SQL, _clusters, concepts, judgments, pairs, with_truth
 from taxolyte.plans.texts import TOK_SQL, tokens
-from taxolyte.session import table
+from taxolyte.session import materialize, table
 
 CAPS = {"size2": 2, "le5": 5, "le20": 20, "all": None}
 
@@ -101,7 +101,7 @@ def louvain_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def recovery_over_seeds(spark: SparkSession, d: str) -> DataFrame:
     """How well communities of jobs agree with languages over five seeds: least, mean and greatest NMI and ARI."""
-    e = _rounded(spark, d)
+    e = materialize(spark, _rounded(spark, d), "edges")  # read once for each seed
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     out = None
     for found in graph.seeds(spark, nodes, e, 1.0, 5):
