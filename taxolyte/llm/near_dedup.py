@@ -32,8 +32,8 @@ from taxolyte.llm.components import connected, relink
 from taxolyte.llm.words import Words, groups, shingles
 
 BANDS, ROWS = 26, 5
-#: Hashes of a signature: those of the bands, and as many that only comparisons use.
-HASHES = 2 * BANDS * ROWS
+#: Hashes of a signature: those of the bands, and twice as many that only comparisons use.
+HASHES = 3 * BANDS * ROWS
 BATCH = 26
 #: The probability that a link right at the threshold is dropped, over all batches.
 MISS = 1e-3
