@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolyte.llm.common import table
+from taxolyte.llm.common import materialize, table
 from taxolyte.llm.tokens import gather
 from taxolyte.llm.words import Words, groups, shingles
 
@@ -28,8 +28,8 @@ BITS, BLOCKS, RADIUS = 64, 4, 23
 #: Items in one index, which goes to all workers; a larger benchmark is matched in several passes.
 INDEX_ITEMS = 50_000
 INDEX_CHARS = 16_000_000
-#: Cells of a table that is compared at a time.
-CELLS = 1 << 20
+#: Cells of a table that is compared at a time, and characters of texts that a worker handles at a time.
+CELLS, GROUP_CHARS = 1 << 20, 1_000_000
 _PART = BITS // BLOCKS
 #: What a part may differ by.
 _NEAR = np.array([m for m in range(1 << _PART) if m.bit_count() <= RADIUS // BLOCKS], np.int64)
@@ -228,7 +228,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, simil
             for batch in batches:
                 at = 0
                 rows: list[tuple] = []
-                for group in groups(batch.column(1).to_pylist()):
+                for group in groups(batch.column(1).to_pylist(), GROUP_CHARS):
                     words = Words(group, strip=True)
                     own = words.hashes()
                     hashes, begins = shingles(own, words.offsets, SHINGLE)
@@ -256,7 +256,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, simil
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs in which no item was found, with all columns; rows that share a doc_id with such a text go too."""
-    leaks = find_leaks(spark, docs, benchmark, similarity).select("doc_id").distinct()
+    leaks = materialize(spark, find_leaks(spark, docs, benchmark, similarity).select("doc_id").distinct(), "leaks")
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
