@@ -43,7 +43,7 @@ class TextEncoder:
     without changing results.
     """
 
-    def __init__(self, path: str, max_entries: int = 250_000):
+    def __init__(self, path: str, max_entries: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +56,7 @@ class TextEncoder:
         self._forget()
 
     @classmethod
-    def of_worker(cls, path: str, max_entries: int = 250_000) -> TextEncoder:
+    def of_worker(cls, path: str, max_entries: int = 100_000) -> TextEncoder:
         """One encoder for all tasks of a worker process."""
         if (path, max_entries) not in _encoders:
             _encoders[path, max_entries] = cls(path, max_entries)
