@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolyte.functions.special import log_factorials
+from taxolyte.session import materialize
+
+#: Raters and ratings of a block; rows and columns multiplied at once, and rows of raters made into one batch.
+BLOCK, RATINGS, STRIPE, WIDTH, OUT = 4096, 2_000_000, 1024, 2048, 64
 
 
 def _choose2(c: Column) -> Column:
@@ -117,12 +125,101 @@ def krippendorff(ratings: DataFrame, item: str = "item", value: str = "verdict")
     return one.select(F.when(F.col("n_items") >= 2, 1 - ratio).alias("alpha"), "n_items", F.col("n").cast("long").alias("n_ratings"))
 
 
-def pairwise(ratings: DataFrame, rater: str = "rater", item: str = "item", value: str = "verdict") -> DataFrame:
-    """r1 < r2, items both rated, and the share on which they agree."""
-    a = ratings.select(F.col(item), F.col(rater).alias("r1"), F.col(value).alias("v1"))
-    b = ratings.select(F.col(item), F.col(rater).alias("r2"), F.col(value).alias("v2"))
-    both = a.join(b, item).filter("r1 < r2")
-    return both.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.avg((F.col("v1") == F.col("v2")).cast("double")).alias("agreement"))
+def pairwise(ratings: DataFrame, rater: str = "rater", item: str = "item", value: str = "verdict", block: int = BLOCK) -> DataFrame:
+    """r1 < r2, items both rated, and the share on which they agree, null if no such item has a value of both.
+
+    Raters are dealt into blocks by hash, and each task multiplies two blocks as matrices, so ratings are sent once for each
+    block and no row is made for an item that two raters share. Where few raters share an item, such rows are fewer than
+    pairs of raters and are joined instead.
+    """
+    rows = ratings.select(F.col(rater).alias("r"), F.col(item).alias("x"), F.col(value).alias("v")).filter("r IS NOT NULL AND x IS NOT NULL")
+    rows = materialize(ratings.sparkSession, rows.groupBy("r", "x", "v").agg(F.count("*").alias("c")), "ratings")
+    shared = rows.groupBy("x").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("met")).first()
+    total = rows.agg(F.count_distinct("r").alias("n"), F.count("*").alias("size")).first()
+    if shared["most"] <= block and shared["met"] < total["n"] * (total["n"] - 1) / 8:
+        a, b = rows.toDF("r1", "x", "v1", "c1"), rows.toDF("r2", "x", "v2", "c2")
+        n, same = F.col("c1") * F.col("c2"), F.col("v1") == F.col("v2")
+        met = a.join(b, "x").filter("r1 < r2").groupBy("r1", "r2")
+        return met.agg(F.sum(n).alias("n"), F.try_divide(F.sum(F.when(same, n).when(~same, 0)), F.sum(F.when(same.isNotNull(), n))).alias("agreement"))
+
+    blocks = max(1, -(-total["n"] // block), -(-total["size"] // RATINGS), min(8, total["n"] // 256))
+    per = rows.groupBy("r").agg(F.collect_list(F.struct("x", "v", "c")).alias("has")).withColumn("b", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))
+    spread = per.select("r", "has", "b", F.explode(F.array_distinct(cells)).alias("cell")).select("r", "has", "b", "cell.lo", "cell.hi")
+    kind = ratings.schema[rater].dataType.simpleString()
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sides = [_ratings(table.filter(pc.equal(table.column("b"), x)).combine_chunks()) for x in ([lo] if lo == hi else [lo, hi])]
+        (k, left), (l, right) = sides[0], sides[-1]
+        by_item = _matrices(left, right, ["x"])
+        by_value = _matrices(*(t.filter(pc.is_valid(t.column("v"))) for t in (left, right)), ["x", "v"])
+        valued = _matrices(*(t.filter(pc.is_valid(t.column("v"))) for t in (left, right)), ["x"]) if left.column("v").null_count + right.column("v").null_count else None
+        for at in range(0, len(k), STRIPE):
+            to = min(at + STRIPE, len(k))
+            n, same = _product(by_item, at, to, len(l)), _product(by_value, at, to, len(l))
+            both = n if valued is None else _product(valued, at, to, len(l))
+            if lo == hi:
+                n[np.arange(len(l)) <= np.arange(at, to)[:, None]] = 0  # both in order of k
+            for part in range(0, to - at, OUT):
+                i, j = np.nonzero(n[part : part + OUT])
+                i += part
+                a, c, seen = k[at + i], l[j], both[i, j]
+                agreement = np.divide(same[i, j], seen, out=np.zeros(len(i)), where=seen > 0, dtype=np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, kinds) for x, kinds in ((np.minimum(a, c), table.schema.field("r").type), (np.maximum(a, c), table.schema.field("r").type))]
+                    + [pa.array(n[i, j].astype(np.int64)), pa.array(agreement, mask=seen == 0)],
+                    names=["r1", "r2", "n", "agreement"],
+                )
+
+    return spread.groupBy("lo", "hi").applyInArrow(cell, f"r1 {kind}, r2 {kind}, n long, agreement double")
+
+
+def _ratings(raters: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """Raters in order, and their ratings: row (place of the rater), x, v, c."""
+    raters = raters.sort_by("r").combine_chunks()
+    has = raters.column("has").combine_chunks()
+    flat = pc.list_flatten(has)
+    columns = {"row": pc.cast(pc.list_parent_indices(has), pa.int64()), **{name: pc.struct_field(flat, name) for name in "xvc"}}
+    return raters.column("r").to_numpy(), pa.table(columns)
+
+
+def _matrices(left: pa.Table, right: pa.Table, by: list[str]) -> tuple:
+    """Two sparse matrices of counts with a column for each combination on both sides: (row, column, count) by column, columns, number type."""
+    sides, codes = (left, right), np.zeros(len(left) + len(right), np.int64)
+    for name in by:
+        c = pa.chunked_array([x for t in sides for x in t.column(name).chunks], left.column(name).type).combine_chunks().dictionary_encode()
+        codes = np.unique(codes * (len(c.dictionary) + 1) + c.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    halves = codes[: len(left)], codes[len(left) :]
+    common = np.intersect1d(*halves)
+    out = []
+    for t, code in zip(sides, halves, strict=True):
+        at = np.flatnonzero(np.isin(code, common))
+        row = t.column("row").to_numpy()[at]
+        n = row.max(initial=0) + 1
+        cells, which = np.unique(np.searchsorted(common, code[at]) * n + row, return_inverse=True)  # a rater may have several rows of an item
+        out.append((cells % n, cells // n, np.bincount(which, t.column("c").to_numpy()[at], len(cells))))
+    (row, _, c), (_, _, d) = out
+    largest = np.bincount(row, c).max(initial=0) * d.max(initial=0)
+    return out[0], out[1], len(common), np.float32 if largest < 2**24 else np.float64  # whole numbers stay exact
+
+
+def _product(matrices: tuple, at: int, to: int, n: int) -> np.ndarray:
+    """The product of rows at to to of the left matrix with the n rows of the right one, by WIDTH columns at a time."""
+    left, right, width, kind = matrices
+    out = np.zeros((to - at, n), kind)
+    for start in range(0, width, WIDTH):
+        dense = []
+        for (row, column, c), first, last in ((left, at, to), (right, 0, n)):
+            some = slice(*np.searchsorted(column, (start, start + WIDTH)))
+            row, column, c = row[some], column[some], c[some]
+            here = (row >= first) & (row < last)
+            m = np.zeros((last - first, min(WIDTH, width - start)), kind)
+            m[row[here] - first, column[here] - start] = c[here]
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -216,3 +216,26 @@ def test_empty_tables(spark):
     assert graph.jaccard_edges(e, "job", "key").count() == 0
     assert stats.kruskal(e, "job", "key").first()["h"] is None
     assert vectors.cosine_pairs(spark.createDataFrame([], "k int, v array<double>"), "k", "v", 0.5).count() == 0
+
+
+def test_pairwise_agreement_makes_no_row_for_a_shared_item(spark, monkeypatch):
+    def brute(rows):
+        out = {}
+        for a, x, v in rows:
+            for b, y, w in rows:
+                if None not in (a, b, x, y) and x == y and a < b:
+                    n, same, seen = out.get((a, b), (0, 0, 0))
+                    out[a, b] = n + 1, same + (None not in (v, w) and v == w), seen + (None not in (v, w))
+        return {k: (n, same / seen if seen else None) for k, (n, same, seen) in out.items()}
+
+    dense = [(f"r{r:02}", r * 7 % 3 + x, (None, "a", "b")[(r * x + r // 3) % 3]) for r in range(30) for x in range(8) if (r + x) % 4] + [("r00", 3, "a"), ("r00", 3, "a"), (None, 1, "a"), ("r01", None, "a")]
+    sparse = [(f"r{r:02}", r // 3, (None, "a", "b")[r % 3]) for r in range(30)] + [("r00", 0, "a"), ("r01", 0, "a")]
+    monkeypatch.setattr(agreement, "STRIPE", 5)
+    monkeypatch.setattr(agreement, "WIDTH", 3)
+    monkeypatch.setattr(agreement, "OUT", 2)
+    for rows, joined in ((dense, False), (sparse, True), ([], False)):
+        for block in (7, 100):
+            df = agreement.pairwise(spark.createDataFrame(rows, "rater string, item long, verdict string"), block=block)
+            got = {(r["r1"], r["r2"]): (r["n"], r["agreement"]) for r in df.collect()}
+            assert got == brute(rows)
+            assert ("Join" in df._jdf.queryExecution().toString()) == joined
