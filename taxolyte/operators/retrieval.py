@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,19 +16,42 @@ def precision_recall(queries: DataFrame, answers: DataFrame, truth: DataFrame) -
     n_got, n_want = got.groupBy("q").agg(F.count("*").alias("g")), want.groupBy("q").agg(F.count("*").alias("w"))
     both = got.join(want, ["q", "item"]).groupBy("q").agg(F.count("*").alias("b"))
     rows = queries.select("q").distinct().join(n_got, "q", "left").join(n_want, "q", "left").join(both, "q", "left").na.fill(0, ["g", "w", "b"])
+    return rates(rows)
+
+
+def rates(rows: DataFrame, weight: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The figures of precision_recall from counts: g answers, w true ones and b that are both, of a query or of weight equal ones."""
+    weight = F.lit(1) if weight is None else weight
+    mean = lambda x, w=weight: F.try_divide(F.sum(x * w), F.sum(w))
     p, r = F.when(F.col("g") > 0, F.col("b") / F.col("g")).otherwise(0.0), F.when(F.col("w") > 0, F.col("b") / F.col("w")).otherwise(0.0)
     f1 = F.when(F.col("b") > 0, 2 * F.col("b") / (F.col("g") + F.col("w"))).otherwise(0.0)
-    return rows.agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("g") > 0).cast("int")).alias("answered_rate"),
-        F.avg((F.col("b") > 0).cast("int")).alias("hit_rate"),
-        F.avg(p).alias("precision"),
-        F.avg(r).alias("recall"),
-        F.avg(f1).alias("f1"),
-        F.avg(F.when(F.col("g") > 0, p)).alias("precision_answered"),
+    return rows.groupBy(*by).agg(
+        F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("n"),
+        mean((F.col("g") > 0).cast("int")).alias("answered_rate"),
+        mean((F.col("b") > 0).cast("int")).alias("hit_rate"),
+        mean(p).alias("precision"),
+        mean(r).alias("recall"),
+        mean(f1).alias("f1"),
+        mean(p, F.when(F.col("g") > 0, weight)).alias("precision_answered"),
     )
 
 
+def by_partitions(cells: DataFrame, caps: dict[str, int | None]) -> DataFrame:
+    """The figures of precision_recall by layer, where a query is answered by the others of its group, if that has at most cap
+    members, and those of its concept are true. cells: grp, concept (null: like no other), m members, each member in one cell.
+
+    Members of equal groups and concepts are counted together, so no pair is made.
+    """
+    size = cells.groupBy("grp").agg(F.sum("m").alias("size"))
+    want = cells.groupBy("concept").agg((F.sum("m") - 1).alias("w"))
+    alike = cells.join(size, "grp").groupBy("concept", "size", "m").agg(F.sum("m").alias("weight"))
+    layers = F.array(*(F.struct(F.lit(name).alias("layer"), (F.col("size") <= cap if cap else F.lit(True)).alias("there")) for name, cap in caps.items()))
+    rows = alike.join(want, "concept", "left").withColumn("x", F.explode(layers))
+    g = F.when(F.col("x.there"), F.col("size") - 1).otherwise(0)
+    b = F.when(F.col("x.there") & F.col("concept").isNotNull(), F.col("m") - 1).otherwise(0)
+    return rates(rows.select("x.layer", "weight", g.alias("g"), F.coalesce("w", F.lit(0)).alias("w"), b.alias("b")), F.col("weight"), ("layer",))
+
+
 def ngrams(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """key, gram, tf of the n-grams of characters, with a space before and after the text."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))

@@ -46,3 +46,14 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"hypotheses"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).columns
+
+
+@pytest.mark.parametrize("name", ["layer_retrieval"])
+def test_no_join_of_a_label_with_itself(spark, monkeypatch, name):
+    from taxolyte.operators import recovery
+
+    def pairs_made(*_):
+        raise AssertionError("pairs of one label were made")
+
+    monkeypatch.setattr(recovery, "true_pairs", pairs_made)
+    assert QUERIES[name](spark, DATA).columns
