@@ -21,6 +21,12 @@ def true_pairs(concepts: DataFrame) -> DataFrame:
     return a.join(b, "concept").filter("i < j").select("i", "j").distinct()
 
 
+def n_true_pairs(concepts: DataFrame) -> DataFrame:
+    """n: how many pairs of nodes share a concept, counted and not made, where each node has one concept."""
+    m = concepts.filter("concept IS NOT NULL").groupBy("concept").agg(F.count("*").alias("m"))
+    return m.agg(F.coalesce(F.sum((F.col("m") * (F.col("m") - 1) / 2).cast("long")), F.lit(0)).alias("n"))
+
+
 def cluster_sizes(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     """By size bucket of clusters of several nodes: clusters, keys_absorbed, intra_pairs, direct_edge_pairs,
     direct_edge_share. clusters: node, comp; edges: i, j."""

@@ -239,3 +239,24 @@ def test_pairwise_agreement_makes_no_row_for_a_shared_item(spark, monkeypatch):
             got = {(r["r1"], r["r2"]): (r["n"], r["agreement"]) for r in df.collect()}
             assert got == brute(rows)
             assert ("Join" in df._jdf.queryExecution().toString()) == joined
+
+
+def test_counts_of_pairs_without_pairs(spark):
+    n = 60
+    vec = [[math.cos(i * i / 9), math.sin(i * i / 9), (i % 4) / 3] for i in range(n)] + [[0.0, 0.0, 0.0], None]
+    label = [(None, "a", "b", "c")[i * i % 7 % 4] for i in range(n + 2)]
+    df = spark.createDataFrame([(i, v, x) for i, (v, x) in enumerate(zip(vec, label, strict=True))], "k int, v array<double>, x string")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    near = {i: [j for j in range(n) if j != i and cosine(vec[i], vec[j]) >= 0.7] for i in range(n)}
+    want = {i: (len(m), sum(label[i] is not None and label[i] == label[j] for j in m)) for i, m in near.items() if m}
+    for block in (16, 100):
+        assert {r["k"]: (r["n"], r["same"]) for r in vectors.similar_counts(df, "k", "v", "x", 0.7, block).collect()} == want
+    group = [i % 5 if i < 20 else i for i in range(n)]
+    nodes = spark.createDataFrame(list(zip(range(n), group, label, strict=False)), "node int, grp int, concept string")
+    others = lambda by: lambda i, j: i != j and by[i] is not None and by[i] == by[j]
+    truth, queries = [(i, j) for i in range(n) for j in range(n) if others(label)(i, j)], spark.createDataFrame([(i,) for i in range(n)], "q int")
+    got = {r["layer"]: r for r in retrieval.by_partitions(nodes.groupBy("grp", "concept").agg(F.count("*").alias("m")), {"le3": 3, "all": None}).collect()}
+    for layer, answers in (("le3", [(-1, -1)]), ("all", [(i, j) for i in range(n) for j in range(n) if others(group)(i, j)])):
+        one = retrieval.precision_recall(queries, *(spark.createDataFrame(x, "q int, item int") for x in (answers, truth))).first()
+        assert all(one[c] == got[layer][c] or math.isclose(one[c], got[layer][c]) for c in one.asDict())
+    assert recovery.n_true_pairs(nodes).first()["n"] == len(truth) // 2

@@ -48,7 +48,7 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).columns
 
 
-@pytest.mark.parametrize("name", ["layer_retrieval", "label_retrieval_f1"])
+@pytest.mark.parametrize("name", ["layer_retrieval", "label_retrieval_f1", "pair_set_algebra"])
 def test_no_join_of_a_label_with_itself(spark, monkeypatch, name):
     from taxolyte.operators import recovery
 
