@@ -77,7 +77,7 @@ def edge(tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["cluster_size_buckets", "cluster_truth_metrics", "encoder_rescoring"])
+@pytest.mark.parametrize("name", ["cluster_size_buckets", "cluster_truth_metrics", "encoder_rescoring", "path_precision"])
 def test_rounded_similarity_is_cut(spark, edge, name):
     d, c = edge
     df, want = QUERIES[name](spark, d), c.sql(ORACLE_SQL[name])
