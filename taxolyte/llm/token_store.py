@@ -29,6 +29,8 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: A segment is closed once it holds this many ids; one very long text may exceed it.
 SEGMENT_IDS = 1 << 20
+#: Pieces that a worker's encoder remembers; nothing else here needs much memory.
+PIECES = 500_000
 _SEGMENTS = "part int, segment int, first long, n_ids long, n_docs long, payload binary"
 _DOCS = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -115,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, segment_ids: int =
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = TextEncoder.of_worker(tokenizer), TaskContext.get().partitionId()
+        encoder, part = TextEncoder.of_worker(tokenizer, PIECES), TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
         n, first, k = 0, 0, 0
 

@@ -39,8 +39,8 @@ class TextEncoder:
     apostrophe) are two pieces to the tokenizer, so such chunks are put together from both. Letter runs go
     to the library many at a time, joined by spaces: each ends in exactly one end-of-word id, and where
     the count of those differs, they are encoded one by one. Pieces are remembered up to max_entries;
-    then those of one group only are forgotten, or all if that leaves more than half, which bounds memory
-    without changing results.
+    then those of one group only are forgotten, and if that leaves more than half, those of the fewest groups too, which
+    bounds memory without changing results.
     """
 
     def __init__(self, path: str, max_entries: int = 100_000):
@@ -69,17 +69,18 @@ class TextEncoder:
         self.met = np.zeros(1 << 16, np.int32)  # groups that had piece i
 
     def _make_room(self) -> None:
-        n = len(self.index)
-        again = self.met[:n] > 1
+        n, half = len(self.index), self.max_entries // 2
+        met = self.met[:n]
+        # Only pieces of several groups; if they are too many, those of the most.
+        least = 2 if n <= half else max(2, int(np.partition(met, n - half - 1)[n - half - 1]) + 1)
+        again = met >= least
         again[0] = True
-        if 2 * again.sum() > self.max_entries:
-            self._forget()
-            return
-        kept, size = np.flatnonzero(again), np.diff(self.bounds[: n + 1])[again]
+        kept, size, met = np.flatnonzero(again), np.diff(self.bounds[: n + 1])[again], met[again] // 2
         flat = gather(self.flat, self.bounds[kept], size)
         names = [x for x, used in zip(self.index, again.tolist(), strict=True) if used]
         self._forget()
         self._add(names, flat, size, 1)
+        self.met[: len(met)] = met  # older groups count for less
 
     def _add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray, first: int) -> None:
         """Remembers pieces and their ids; the first piece, which is empty, may be among them (first is 1)."""

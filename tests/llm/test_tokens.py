@@ -120,3 +120,13 @@ def test_packing_with_ids(spark, library):
 
 def test_packing_empty(spark, no_docs):
     assert pack(spark, no_docs, default_tokenizer()).count() == 0
+
+
+def test_full_cache_keeps_the_pieces_of_most_groups(library):
+    encoder = TextEncoder(default_tokenizer(), max_entries=50)
+    often, again = ([f"{x}{chr(97 + i)}" for i in range(13)] for x in "qz")
+    for words in (often, often, again, again, often):
+        assert encoder.encode(" ".join(words)).tolist() == want(library, " ".join(words))
+    encoder._make_room()  # more than half of the entries recur
+    assert set(encoder.index) == {"", *often}
+    assert encoder.encode(" ".join([*again, *often])).tolist() == want(library, " ".join([*again, *often]))
