@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxolyte.llm.common import materialize, table
-from taxolyte.llm.tokens import END, TextEncoder, default_tokenizer
+from taxolyte.llm.tokens import END, MAX_ENTRIES, PIECES, TextEncoder, default_tokenizer
 
 CAPACITY = 2048
 MAX_CUTS = 2
@@ -64,7 +64,7 @@ def plans(capacity: int = CAPACITY) -> list[tuple[int, ...]]:
     return [pieces(n, MAX_CUTS) if n else () for n in range(capacity)]
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """The pieces of all documents (doc_id, text), with their class and their rank among those of one task.
 
     with_ids adds the ids as an array. A null text is empty (its piece holds the end id alone).
@@ -72,7 +72,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wit
     kind = _PIECES + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, plan = TextEncoder.of_worker(tokenizer), TaskContext.get().partitionId(), plans(capacity)
+        encoder, part, plan = TextEncoder.of_worker(tokenizer, max_entries), TaskContext.get().partitionId(), plans(capacity)
         _, limit = classes(capacity)
         ranks, row = np.zeros(len(limit), np.int64), 0
         for batch in batches:
@@ -102,7 +102,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wit
     return rows.mapInArrow(cut, kind)
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """One row per piece with its sequence_id and offset; sequences are gapless from offset 0.
 
     Ranks are made global by counts per task and class, so no task sees a class whole. Each class leaves
@@ -111,7 +111,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     as documents of their own, other columns are ignored; an empty table gives an empty result.
     """
     per, _ = classes(capacity)
-    pieces = materialize(spark, cut_documents(docs, tokenizer, capacity, with_ids), "pieces")
+    pieces = materialize(spark, cut_documents(docs, tokenizer, capacity, with_ids, max_entries), "pieces")
     size = F.element_at(F.array(*map(F.lit, map(int, per))), F.col("klass") + 1).cast("long")
     # One row per task and class.
     counts = pieces.groupBy("part", "klass").agg(F.count("*").alias("n"))
@@ -167,6 +167,6 @@ def _few(spark: SparkSession, pieces: DataFrame) -> bool:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 2048 tokens."""
-    return pack(spark, table(spark, sf_dir, "documents"), default_tokenizer()).select(
+    return pack(spark, table(spark, sf_dir, "documents"), default_tokenizer(), max_entries=PIECES).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

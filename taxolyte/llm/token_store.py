@@ -23,14 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxolyte.llm.common import new_path, table
-from taxolyte.llm.tokens import END, TextEncoder, default_tokenizer
+from taxolyte.llm.tokens import END, PIECES, TextEncoder, default_tokenizer
 
 MAGIC = b"DAC1"
 BLOCK = 512
 #: A segment is closed once it holds this many ids; one very long text may exceed it.
 SEGMENT_IDS = 1 << 20
-#: Pieces that a worker's encoder remembers; nothing else here needs much memory.
-PIECES = 500_000
 _SEGMENTS = "part int, segment int, first long, n_ids long, n_docs long, payload binary"
 _DOCS = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 

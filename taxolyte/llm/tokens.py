@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
+#: Pieces that an encoder remembers, and those where little else needs memory.
+MAX_ENTRIES, PIECES = 100_000, 500_000
 END = END_ID.to_bytes(4, "little")
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe
 _encoders: dict[tuple[str, int], TextEncoder] = {}
@@ -30,6 +33,15 @@ def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[at]
 
 
+def _ends(strings: pa.Array, begins: pa.Array) -> pa.Array:
+    """What is left of each string (large, no nulls) after its beginning, which begins has."""
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset + 1 : strings.offset + len(strings) + 1]
+    size = np.asarray(pc.binary_length(strings)) - np.asarray(pc.binary_length(begins))
+    data = gather(np.frombuffer(strings.buffers()[2], np.uint8), ends - size, size)
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(data))
+
+
 class TextEncoder:
     """Encodes texts through the tokenizers library, each distinct piece of a group of texts once.
 
@@ -43,7 +55,7 @@ class TextEncoder:
     bounds memory without changing results.
     """
 
-    def __init__(self, path: str, max_entries: int = 100_000):
+    def __init__(self, path: str, max_entries: int = MAX_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +68,7 @@ class TextEncoder:
         self._forget()
 
     @classmethod
-    def of_worker(cls, path: str, max_entries: int = 100_000) -> TextEncoder:
+    def of_worker(cls, path: str, max_entries: int = MAX_ENTRIES) -> TextEncoder:
         """One encoder for all tasks of a worker process."""
         if (path, max_entries) not in _encoders:
             _encoders[path, max_entries] = cls(path, max_entries)
@@ -119,11 +131,13 @@ class TextEncoder:
     def _pieces(self, words: list[str], letters: bool) -> np.ndarray:
         """The numbers of pieces, which are encoded if they are new."""
         index = self.index
-        new = [x for x in words if x not in index]
-        if new:
+        out = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = [words[i] for i in at.tolist()]
             ids, sizes = self._letters(new) if letters else self._whole(new)
+            out[at] = np.arange(len(index), len(index) + len(new))  # words are distinct
             self._add(new, ids, sizes, 0)
-        out = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         self.met[out] += 1
         return out
 
@@ -157,17 +171,9 @@ class TextEncoder:
         first[plain] = self._pieces(core_codes.dictionary.to_pylist(), True)[np.asarray(core_codes.indices)]
         first[~plain] = self._pieces(chunks.filter(pa.array(~plain)).to_pylist(), False)
         tailed = plain & (np.asarray(pc.binary_length(chunks)) > np.asarray(pc.binary_length(cores)))
-        kinds: dict[str, int] = {}
-        which = np.fromiter(
-            (
-                kinds.setdefault(chunk[len(core) :], len(kinds))
-                for chunk, core in zip(chunks.filter(pa.array(tailed)).to_pylist(), cores.filter(pa.array(tailed)).to_pylist(), strict=True)
-            ),
-            np.int64,
-            int(tailed.sum()),
-        )
-        if kinds:
-            second[tailed] = self._pieces(list(kinds), False)[which]
+        if tailed.any():
+            tails = pc.dictionary_encode(_ends(chunks.filter(pa.array(tailed)), cores.filter(pa.array(tailed))))
+            second[tailed] = self._pieces(tails.dictionary.to_pylist(), False)[np.asarray(tails.indices)]
         both = np.stack([first, second], 1).ravel()
         begin, size = self.bounds[both], self.bounds[both + 1] - self.bounds[both]
         own = gather(self.flat, begin, size)

@@ -5,9 +5,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from taxolyte.llm import packing
 from taxolyte.llm.packing import classes, pack, plans
 from taxolyte.llm.token_store import Segment, encode_segment, read_documents, read_segments, write_tokens
-from taxolyte.llm.tokens import END_ID, TextEncoder, default_tokenizer
+from taxolyte.llm.tokens import END_ID, PIECES, TextEncoder, default_tokenizer
 
 TEXTS = [None, "", " \n\t", "İstanbul don't we'll <|endoftext|>x a<|startoftext|>", "é̈ ét́ ́x ΣΑΣ',( 12a3 a１２ ½ ñ' ')x abc def", "a b \x1f\x1cq 한글 'İ###", "word### " * 500]
 
@@ -130,3 +131,33 @@ def test_full_cache_keeps_the_pieces_of_most_groups(library):
     encoder._make_room()  # more than half of the entries recur
     assert set(encoder.index) == {"", *often}
     assert encoder.encode(" ".join([*again, *often])).tolist() == want(library, " ".join([*again, *often]))
+
+
+def test_packing_remembers_many_pieces(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda spark, docs, *a, **b: asked.update(b) or pack(spark, docs, *a, **b))
+    assert packing.op7_packing(spark, "/root/testdata/sf0.001").columns
+    assert asked == {"max_entries": PIECES}
+
+
+def test_pieces_are_looked_up_once(library):
+    class Index(dict):
+        asked = 0
+
+        def get(self, *x):
+            self.asked += 1
+            return super().get(*x)
+
+        def __contains__(self, x):
+            self.asked += 1
+            return super().__contains__(x)
+
+        def __getitem__(self, x):
+            self.asked += 1
+            return super().__getitem__(x)
+
+    encoder = TextEncoder(default_tokenizer())
+    encoder.index = Index(encoder.index)
+    text = "aa bb!? cc!? dd... 12 é"
+    assert encoder.encode(text).tolist() == want(library, text)
+    assert encoder.index.asked == 8  # aa, bb, cc, dd, é; 12; two tails
