@@ -16,7 +16,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES, LEAN = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _own_dirs: dict[str, str] = {}
 
 
@@ -39,11 +39,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def lean(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session are of at most 4 MB, also in what is written after a stage has returned."""
+    spark.conf.set(_BATCH_BYTES, LEAN)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of at most 16 MB meanwhile: a batch is held by the executor and by its Python worker."""
     old = spark.conf.get(_BATCH_BYTES, None)
-    spark.conf.set(_BATCH_BYTES, "16m")
+    spark.conf.set(_BATCH_BYTES, LEAN if old == LEAN else "16m")
     try:
         yield
     finally:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from taxolyte.llm.common import materialize, table
 from taxolyte.llm.tokens import gather
-from taxolyte.llm.words import Words, groups, shingles
+from taxolyte.llm.words import Words, groups, shingles, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 4, 23
@@ -57,14 +57,15 @@ def _sums(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 
 
 class Items:
-    """Items with the same number of words: fingerprints, a sorted table for each of their parts, sorted shingles of each."""
+    """Items with the same number of words: fingerprints, sorted shingles of each and, if there are so many that fingerprints are
+    looked up, a sorted table for each of their parts."""
 
     def __init__(self, ids: list[int], rows: np.ndarray):
         self.ids = ids
         self.rows = np.sort(rows, 1)
         self.prints = np.concatenate([fingerprint(np.stack([signs(r).sum(0) for r in rows[a : a + 1024]])) for a in range(0, len(rows), 1024)])
         self.tables = []
-        for b in range(BLOCKS):
+        for b in range(BLOCKS if len(ids) > len(_NEAR) else 0):
             part = self._part(self.prints, b)
             order = np.argsort(part, kind="stable")
             self.tables.append((order.astype(np.int32), np.searchsorted(part[order], np.arange((1 << _PART) + 1)).astype(np.int32)))
@@ -75,7 +76,7 @@ class Items:
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(place, items within RADIUS bits) for fingerprints that have any."""
-        if len(self.ids) <= len(_NEAR):  # fewer items than entries to look up: all are compared, with the same result
+        if not self.tables:  # fewer items than entries to look up: all are compared, with the same result
             for a in range(0, len(prints), max(1, CELLS // len(self.ids))):
                 some = prints[a : a + max(1, CELLS // len(self.ids))]
                 i, j = np.nonzero(np.bitwise_count(some[:, None] ^ self.prints[None, :]) <= RADIUS)
@@ -249,7 +250,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, simil
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        one = rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        one = rows.mapInArrow(tidy(run), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long, n_words long")
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from taxolyte.llm.common import HOT_ROWS, hot_keys, join_unique, materialize, table
 from taxolyte.llm.components import connected, relink
-from taxolyte.llm.words import Words, groups, shingles
+from taxolyte.llm.words import Words, groups, shingles, tidy
 
 BANDS, ROWS = 26, 5
 #: Hashes of a signature: those of the bands, and twice as many that only comparisons use.
@@ -137,7 +137,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 at += len(group)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, fp binary, signature binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, fp binary, signature binary")
 
 
 def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, HASHES) for i in (2, 3))
             yield batch.select([0, 1]).take(pa.array(passing(sa, sb, percent / 100)))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -186,7 +186,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                     at += 1
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _one_centre(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from taxolyte.llm.common import materialize, table
 from taxolyte.llm.tokens import END, MAX_ENTRIES, PIECES, TextEncoder, default_tokenizer
+from taxolyte.llm.words import tidy
 
 CAPACITY = 2048
 MAX_CUTS = 2
@@ -97,9 +98,11 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wit
                 ends = pa.array(np.cumsum([0, *map(len, kept)]).astype(np.int32))
                 columns, names = [*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *kept]).astype(np.int32)))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        if with_ids:  # ids need memory, and so do other tasks of this worker
+            encoder.forget()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, kind)
+    return rows.mapInArrow(tidy(cut), kind)
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, max_entries: int = MAX_ENTRIES) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxolyte.llm.common import materialize, table
-from taxolyte.llm.words import Words, groups, shingles
+from taxolyte.llm.words import Words, groups, shingles, tidy
 
 #: Labelled documents that the models are fitted on at most, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -149,7 +149,7 @@ def _select_words(rows: DataFrame) -> np.ndarray:
         return keep
 
     totals = rows.agg(F.count("*").alias("rows"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic")).first()
-    counts = rows.mapInArrow(run, "word long, n long, bad long, toxic long").groupBy("word")
+    counts = rows.mapInArrow(tidy(run), "word long, n long, bad long, toxic long").groupBy("word")
     counts = counts.agg(*(F.sum(c).alias(c) for c in ("n", *HEADS)))
     found: set[int] = set()
     for head in HEADS:
@@ -209,7 +209,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
                 )
                 at += len(group)
 
-    data = rows.mapInArrow(run, "dense array<double>, words array<long>, bad int, toxic int").toArrow().combine_chunks()
+    data = rows.mapInArrow(tidy(run), "dense array<double>, words array<long>, bad int, toxic int").toArrow().combine_chunks()
     n = len(data)
     lists = data.column("words").combine_chunks() if n else None
     dense = pc.list_flatten(data.column("dense")).to_numpy().reshape(n, DENSE)
@@ -249,7 +249,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "p_doc
                 out.append(own.probability(_dense(group, words, hashes), *_places(words, hashes, own.words)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def _logit(p: Column) -> Column:

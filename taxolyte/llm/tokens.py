@@ -65,7 +65,7 @@ class TextEncoder:
         self.n_vocabulary = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.n_vocabulary, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self._forget()
+        self.forget()
 
     @classmethod
     def of_worker(cls, path: str, max_entries: int = MAX_ENTRIES) -> TextEncoder:
@@ -74,7 +74,7 @@ class TextEncoder:
             _encoders[path, max_entries] = cls(path, max_entries)
         return _encoders[path, max_entries]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
         self.bounds = np.zeros(1 << 16, np.int64)  # of piece i: bounds[i] to bounds[i + 1]
@@ -90,7 +90,7 @@ class TextEncoder:
         kept, size, met = np.flatnonzero(again), np.diff(self.bounds[: n + 1])[again], met[again] // 2
         flat = gather(self.flat, self.bounds[kept], size)
         names = [x for x, used in zip(self.index, again.tolist(), strict=True) if used]
-        self._forget()
+        self.forget()
         self._add(names, flat, size, 1)
         self.met[: len(met)] = met  # older groups count for less
 

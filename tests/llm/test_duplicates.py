@@ -284,3 +284,11 @@ def test_recall_on_a_larger_corpus(spark):
     got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark, spark.createDataFrame(rows, KIND), 3, 85).collect()}
     want = {i: c for i, _, c, _ in brute(rows, 3, 85)}
     assert sum(got[i] != c for i, c in want.items()) <= 2
+
+
+def test_index_of_few_items_is_small():
+    import pickle
+
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate(range(3, 60))]
+    index = Index(items)
+    assert len(pickle.dumps(index)) < 3_000_000  # tables that nothing looks up would take 1 MB for each length

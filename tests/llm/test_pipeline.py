@@ -84,3 +84,15 @@ def test_odd_rows_and_columns(spark, tables, odd_docs):
         assert all(r["spans"] == r["klass"] == r["_salt"] == r["comp"] == "own" and r["host"] == "z" for r in out.collect())
     out = corpus_pipeline.packing(spark, docs, tables)
     assert out.filter("start = 0").count() == docs.count() and out.agg({"length": "sum"}).first()[0] > 30_000
+
+
+def test_batches_stay_small_after_a_stage(spark, tables):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    try:
+        for _, stage in corpus_pipeline.STAGES[:1]:
+            stage(spark, docs, tables)
+            assert spark.conf.get(name) == "4m"  # what a stage returns is written later
+    finally:
+        spark.conf.unset(name)
