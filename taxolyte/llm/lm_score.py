@@ -49,6 +49,8 @@ STEP_BLOCKS, SHARD_IDS, SHARDS, LEAST_IDS = 512, 16_000_000, 4096, 4_000_000
 STEP_SIZE = 0.02
 #: Logits of attention and of what it adds to classes are at most so large, which keeps exponentials finite.
 MOST_LOGIT = 30.0
+#: Pieces that a worker's encoder remembers while it also holds counts.
+HELD_PIECES = 300_000
 #: Words whose counts are broadcast (16 bytes each).
 HEAD = 131_072
 #: Characters of texts, and bytes of ids, that a worker handles at a time; parts in which hot keys are joined.
@@ -325,7 +327,7 @@ def _count(docs: DataFrame, tokenizer: str) -> DataFrame:
     last id << 16 | id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder.of_worker(tokenizer)
+        encoder = TextEncoder.of_worker(tokenizer, HELD_PIECES)
         words_held, pairs_held = [], []
 
         def rows(size: int, /, **columns: pa.Array) -> pa.RecordBatch:

@@ -220,3 +220,23 @@ def test_model_learns(spark):
 
 def test_empty(spark, no_docs):
     assert lm.score_texts(spark, no_docs, default_tokenizer()).count() == 0
+
+
+def test_counting_remembers_many_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from taxolyte.llm import lm_score, tokens
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    asked = []
+    real = tokens.TextEncoder.of_worker
+    monkeypatch.setattr(lm_score.TextEncoder, "of_worker", lambda path, most=tokens.MAX_ENTRIES: asked.append(most) or real(path, most))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two", None])], ["doc_id", "text"])
+    assert sum(x.num_rows for x in lm_score._count(Docs(), tokens.default_tokenizer())([batch])) > 2
+    assert asked[0] > tokens.MAX_ENTRIES
