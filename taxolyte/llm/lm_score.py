@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolyte.llm.common import materialize, table
-from taxolyte.llm.tokens import END, END_ID, TextEncoder, default_tokenizer
-from taxolyte.llm.words import Words, groups
+from taxolyte.llm.tokens import END, END_ID, TextEncoder, chunked, default_tokenizer
+from taxolyte.llm.words import Words, groups, tidy
 
 BLOCK, WIDTH = 16, 16
 CLASSES = 64
@@ -46,6 +46,8 @@ COLUMNS, PAIRS = 4096, 2_000_000
 MU = 10.0
 #: Blocks in a gradient step, ids in a shard at least, shards at most, and ids that are seen at least: fewer are gone through again.
 STEP_BLOCKS, SHARD_IDS, SHARDS, LEAST_IDS = 512, 16_000_000, 4096, 4_000_000
+#: Blocks that are handled at a time, so that their tables stay in the cache; gradients of a step are added up.
+PART_BLOCKS = 128
 STEP_SIZE = 0.02
 #: Logits of attention and of what it adds to classes are at most so large, which keeps exponentials finite.
 MOST_LOGIT = 30.0
@@ -85,74 +87,78 @@ class Attention:
         self.set_weights(self.weights)
 
     def set_weights(self, w: dict[str, np.ndarray]) -> None:
-        """Takes weights, scaled down where logits could exceed MOST_LOGIT, and makes the tables by row. The last column of
-        value is 1, so that weighted sums of values hold the sum of weights too."""
-        largest = lambda x: float(np.sqrt((x * x).sum(1).max()))
-        q, k, v = self.embedding @ w["q"] / np.float32(np.sqrt(WIDTH)), self.embedding @ w["k"], self.embedding @ w["v"]
+        """Takes weights, scaled down where logits could exceed MOST_LOGIT, and makes the tables by row. Embeddings are not
+        projected one by one: q and k act by their product, as do v and out. The last column of near is 1, so that
+        weighted sums of embeddings hold the sum of weights too."""
+        largest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+        q, k = self.embedding @ w["q"] / np.float32(np.sqrt(WIDTH)), self.embedding @ w["k"]
         scale = _below(largest(q) * largest(k))
-        added = _below(float(np.abs(v @ w["out"]).max()))  # mixed values are weighted means of values
+        both = w["v"] @ w["out"]
+        logits = self.embedding @ both
+        added = _below(float(max(logits.max(), -logits.min())))  # mixed embeddings are weighted means of embeddings
         near = np.clip(w["near"], -MOST_LOGIT, MOST_LOGIT)
         self.weights = {**w, "q": w["q"] * scale, "out": w["out"] * added, "near": near}
-        value = np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)
-        self.tables = {"q": q * scale, "k": k, "v": value, "place": near[_NEAR] + _CAUSAL}
+        if "near" not in self.tables:
+            self.tables["near"] = np.concatenate([self.embedding, np.ones((len(self.embedding), 1), np.float32)], 1)
+        self.tables.update(q=(q * scale) @ w["k"].T, logits=both * added, place=near[_NEAR] + _CAUSAL)
 
     def _mixed(self, rows: np.ndarray, first: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
-        """For blocks a to b: their rows with those of the block before, q, k, v, attention weights and sums of values."""
-        near = rows[max(a - 1, 0) : b] if a else np.concatenate([rows[:1], rows[:b]])
+        """For blocks a to b: embeddings (and 1) of their windows, attention weights, sums of weights, weighted means of embeddings."""
+        near = rows[a - 1 : b] if a else np.concatenate([rows[:1], rows[:b]])
         t = self.tables
-        q = t["q"][rows[a:b]]
-        k, v = (np.concatenate([x[:-1], x[1:]], 1) for x in (t["k"][near], t["v"][near]))
-        s = np.matmul(q, k.transpose(0, 2, 1))
+        each = t["near"].take(near.ravel(), 0)
+        x, y = each.strides
+        window = np.ndarray((b - a, 2 * BLOCK, WIDTH + 1), each.dtype, each, 0, (BLOCK * x, x, y))  # windows overlap
+        q = t["q"].take(rows[a:b].ravel(), 0).reshape(-1, BLOCK, WIDTH)
+        s = np.matmul(q, window[:, :, :WIDTH].transpose(0, 2, 1))
         s += t["place"]
         s[first[a:b], :, :BLOCK] = _NEVER
         np.exp(s, out=s)
-        return near, q, k, v, s, np.matmul(s, v)
+        mixed = np.matmul(s, window).reshape(-1, WIDTH + 1)
+        share = 1 / mixed[:, WIDTH:]
+        return window, s, share, mixed[:, :WIDTH] * share
 
     def class_log(self, rows: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
         """ln P(class) of target classes. rows: (blocks, BLOCK) of the ids before each; first: blocks that
         begin a text."""
         out = np.empty(rows.shape, np.float32)
-        for a in range(0, len(rows), STEP_BLOCKS):  # keeps intermediate tables in the cache
-            b = min(a + STEP_BLOCKS, len(rows))
-            mixed = self._mixed(rows, first, a, b)[-1].reshape(-1, WIDTH + 1)
-            logits = (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ self.weights["out"]
-            logits += self.direct[rows[a:b].ravel()]
-            chosen = logits[np.arange(len(logits)), target[a:b].ravel()]
+        for a in range(0, len(rows), PART_BLOCKS):  # keeps intermediate tables in the cache
+            b = min(a + PART_BLOCKS, len(rows))
+            logits = self._mixed(rows, first, a, b)[-1] @ self.tables["logits"]
+            logits += self.direct.take(rows[a:b].ravel(), 0)
+            chosen = logits.ravel().take(np.arange(0, logits.size, CLASSES) + target[a:b].ravel())
             np.exp(logits, out=logits)
             out[a:b] = (chosen - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(-1, BLOCK)
         return out
 
     def gradients(self, rows: np.ndarray, first: np.ndarray, target: np.ndarray, filled: np.ndarray, a: int, b: int) -> dict[str, np.ndarray]:
         """Of the mean of -ln P(class) over the filled positions of blocks a to b, by weight."""
-        near, q, k, v, p, mixed = self._mixed(rows, first, a, b)
-        v = v[:, :, :WIDTH]
-        share = 1 / mixed[:, :, WIDTH:]
-        p *= share
-        mixed = mixed[:, :, :WIDTH] * share
-        flat = mixed.reshape(-1, WIDTH)
-        z = flat @ self.weights["out"]
-        z += self.direct[rows[a:b].ravel()]
+        share = np.float32(1 / max(int(filled[a:b].sum()), 1))
+        cuts = np.linspace(a, b, -(-(b - a) // PART_BLOCKS) + 1).astype(int).tolist()
+        parts = [self._sums(rows, first, target, filled, i, j, share) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        pairs, logits, near = (np.sum(x, 0) for x in zip(*parts, strict=True))
+        w, root = self.weights, np.float32(np.sqrt(WIDTH))
+        return {"q": pairs @ w["k"] / root, "k": pairs.T @ w["q"] / root, "v": logits @ w["out"].T, "out": w["v"].T @ logits, "near": near}
+
+    def _sums(self, rows: np.ndarray, first: np.ndarray, target: np.ndarray, filled: np.ndarray, a: int, b: int, share: np.float32) -> tuple[np.ndarray, ...]:
+        """Gradients by the products of q and k and of v and out, and by near, from blocks a to b."""
+        window, s, inverse, mixed = self._mixed(rows, first, a, b)
+        z = mixed @ self.tables["logits"]
+        z += self.direct.take(rows[a:b].ravel(), 0)
         np.exp(z, out=z)
-        used = filled[a:b].ravel() / np.float32(max(int(filled[a:b].sum()), 1))
-        z *= (used / (z @ np.ones(CLASSES, np.float32)))[:, None]
-        z[np.arange(len(z)), target[a:b].ravel()] -= used
-        g = {"out": (z.T @ flat).T}
-        dmixed = (z @ self.weights["out"].T).reshape(mixed.shape)
-        dv = np.matmul(p.transpose(0, 2, 1), dmixed)
-        ds = np.matmul(dmixed, v.transpose(0, 2, 1))
-        ds -= np.einsum("ijk,ijk->ij", dmixed, mixed)[:, :, None]
-        ds *= p
-        g["near"] = np.bincount(_NEAR.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
-        dk = np.matmul(ds.transpose(0, 2, 1), q)
-        dq = np.matmul(ds, k)
-        own = self.embedding[near]
-        for name, both in (("k", dk), ("v", dv)):
-            each = np.zeros(own.shape, np.float32)
-            each[1:] = both[:, BLOCK:]
-            each[:-1] += both[:, :BLOCK]
-            g[name] = own.reshape(-1, WIDTH).T @ each.reshape(-1, WIDTH)
-        g["q"] = own[1:].reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH) / np.float32(np.sqrt(WIDTH))
-        return g
+        whole = z @ np.ones(CLASSES, np.float32)
+        z.ravel()[np.arange(0, z.size, CLASSES) + target[a:b].ravel()] -= whole
+        used = (filled[a:b].ravel() * share / whole)[:, None]  # z times this is the gradient by logits
+        # By attention logits: weight * (gradient by the mixed embedding) . (embedding - mixed embedding).
+        d = np.empty((len(z), WIDTH + 1), np.float32)
+        np.multiply(z @ self.tables["logits"].T, inverse * used, out=d[:, :WIDTH])
+        np.einsum("ij,ij->i", d[:, :WIDTH], mixed, out=d[:, WIDTH])
+        np.negative(d[:, WIDTH], out=d[:, WIDTH])
+        s *= np.matmul(d.reshape(-1, BLOCK, WIDTH + 1), window.transpose(0, 2, 1))
+        moved = np.matmul(s, window[:, :, :WIDTH]).reshape(-1, WIDTH)
+        own = window[:, BLOCK:, :WIDTH].reshape(-1, WIDTH)
+        near = np.bincount(_NEAR.ravel(), s.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
+        return own.T @ moved, (z.T @ (mixed * used)).T, near
 
     def learn(self, groups_of_ids: Iterator[list[np.ndarray]]) -> int:
         """Gradient steps (Adam, steps falling with the root of their number) over all positions of all texts (ids with
@@ -351,12 +357,13 @@ def _count(docs: DataFrame, tokenizer: str) -> DataFrame:
             for group in groups(batch.column(1).to_pylist(), GROUP_CHARS):
                 train_ = np.fromiter((not held_out(d) for d in ids[at : at + len(group)]), bool, len(group))
                 at += len(group)
-                words = Words(group)
+                chunks = chunked(group)
+                words = Words.of_chunks(group, *chunks)
                 own = np.bincount(words.codes[np.repeat(train_, np.diff(words.offsets))], minlength=len(words.distinct))
                 there = np.flatnonzero(own)
                 words_held.append((words.distinct_hashes()[there], own[there]))
                 yield from added(words_held, False, 3_000_000)
-                coded = [np.frombuffer(x + END, "<u4").astype("<u2") for x in encoder.encode_many(group)]
+                coded = [np.frombuffer(x + END, "<u4").astype("<u2") for x in encoder.encode_chunks(*chunks)]
                 yield rows(
                     len(group),
                     key=pa.array(list(map(xxhash.xxh3_128_digest, group)), pa.binary()),
@@ -372,7 +379,7 @@ def _count(docs: DataFrame, tokenizer: str) -> DataFrame:
         for held, pair in ((words_held, False), (pairs_held, True)):
             yield from added(held, pair, 0)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SEEN)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), _SEEN)
 
 
 def _cells(pairs: DataFrame, cells) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -464,10 +471,10 @@ def fit(spark: SparkSession, seen: DataFrame, n_vocabulary: int) -> tuple[Attent
 
 def _model_scores(spark: SparkSession, seen: DataFrame, model: Attention, within: Within, rest: DataFrame) -> DataFrame:
     """key, score (log10) of each distinct text. rest: word and n of pairs whose counts within may lack."""
-    held = spark.sparkContext.broadcast(pickle.dumps((model, within)))
+    held = spark.sparkContext.broadcast((model, within))  # read once by a worker, which changes neither
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, inside = pickle.loads(held.value)
+        own, inside = held.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             scores, pairs, splits = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]

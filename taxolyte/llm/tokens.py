@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -15,6 +16,15 @@ END_ID = 1
 MAX_ENTRIES, PIECES = 100_000, 500_000
 END = END_ID.to_bytes(4, "little")
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe
+#: Letters that NFC leaves alone and that have one letter of these as their lower case. Of the bytes of the small ones, a byte-level
+#: tokenizer writes all but three as the character of that number.
+_SIMPLE, _MOVED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", (("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))
+#: What a tokenizer does to a text before it merges, if runs of such letters can be handed over in lower case as bytes.
+_KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+)
 _encoders: dict[tuple[str, int], TextEncoder] = {}
 
 
@@ -42,6 +52,17 @@ def _ends(strings: pa.Array, begins: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(data))
 
 
+def chunked(texts: list[str]) -> tuple[pa.Array, pa.DictionaryArray]:
+    """The chunks of each text between U+0020 and line feeds, some empty, as lists and as codes of all lists one after the other."""
+    lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+    return lists, pc.dictionary_encode(lists.flatten())
+
+
+def _listed(strings: pa.Array) -> list[str]:
+    """As to_pylist, which makes a scalar of each string first."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 class TextEncoder:
     """Encodes texts through the tokenizers library, each distinct piece of a group of texts once.
 
@@ -50,7 +71,8 @@ class TextEncoder:
     space stays inside chunks and is left to the library. Letters followed by ASCII punctuation (no
     apostrophe) are two pieces to the tokenizer, so such chunks are put together from both. Letter runs go
     to the library many at a time, joined by spaces: each ends in exactly one end-of-word id, and where
-    the count of those differs, they are encoded one by one. Pieces are remembered up to max_entries;
+    the count of those differs, they are encoded one by one. Runs of ASCII and Latin-1 letters are put in lower case first, as the
+    tokenizer would, and go to a copy of it that only merges. Pieces are remembered up to max_entries;
     then those of one group only are forgotten, and if that leaves more than half, those of the fewest groups too, which
     bounds memory without changing results.
     """
@@ -58,8 +80,14 @@ class TextEncoder:
     def __init__(self, path: str, max_entries: int = MAX_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        known = (steps["normalizer"], *(steps["pre_tokenizer"] or {}).get("pretokenizers", ())) == _KNOWN
+        self.merger = Tokenizer.from_file(path) if known else None
+        if self.merger:
+            self.merger.normalizer, self.merger.pre_tokenizer = None, WhitespaceSplit()
         self.max_entries = max_entries
         vocabulary = self.tokenizer.get_vocab()
         self.n_vocabulary = max(vocabulary.values()) + 1
@@ -114,11 +142,17 @@ class TextEncoder:
         coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate(coded), np.fromiter(map(len, coded), np.int64, len(coded))
 
-    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _letters(self, words: list[str], simple: bool) -> tuple[np.ndarray, np.ndarray]:
         out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            text = " ".join(part)
+            if simple and not text.isascii():
+                text = text.encode().decode("latin-1")
+                for byte, written in _MOVED:
+                    text = text.replace(byte, written)
+            by = self.merger if simple else self.tokenizer
+            ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):
                 ids, size = self._whole(part)
@@ -128,14 +162,14 @@ class TextEncoder:
             sizes.append(size)
         return np.concatenate(out), np.concatenate(sizes)
 
-    def _pieces(self, words: list[str], letters: bool) -> np.ndarray:
-        """The numbers of pieces, which are encoded if they are new."""
+    def _pieces(self, words: list[str], letters: bool, simple: bool = False) -> np.ndarray:
+        """The numbers of pieces, which are encoded if they are new. simple: small letters that the merger may have."""
         index = self.index
         out = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(out < 0)
         if len(at):
             new = [words[i] for i in at.tolist()]
-            ids, sizes = self._letters(new) if letters else self._whole(new)
+            ids, sizes = self._letters(new, simple) if letters else self._whole(new)
             out[at] = np.arange(len(index), len(index) + len(new))  # words are distinct
             self._add(new, ids, sizes, 0)
         self.met[out] += 1
@@ -158,22 +192,28 @@ class TextEncoder:
             yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
-        coded = pc.dictionary_encode(lists.flatten())
+        return self.encode_chunks(*chunked(texts))
+
+    def encode_chunks(self, lists: pa.Array, coded: pa.DictionaryArray) -> Iterator[bytes]:
+        """As encode_many, for one group of texts that is chunked."""
         chunks = coded.dictionary
         if len(self.index) + len(chunks) > self.max_entries:
             self._make_room()
         cores = pc.utf8_rtrim(chunks, _PUNCTUATION)
         plain = np.asarray(pc.utf8_is_alpha(cores))
-        core_codes = pc.dictionary_encode(cores.filter(pa.array(plain)))
+        simple = plain & np.asarray(pc.match_substring_regex(cores, _SIMPLE)) if self.merger else np.zeros(len(chunks), bool)
         # Each distinct chunk is up to two pieces; piece 0 is empty.
         first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
-        first[plain] = self._pieces(core_codes.dictionary.to_pylist(), True)[np.asarray(core_codes.indices)]
-        first[~plain] = self._pieces(chunks.filter(pa.array(~plain)).to_pylist(), False)
+        for used in (simple, plain & ~simple):
+            if used.any():
+                runs = cores.filter(pa.array(used))
+                runs = pc.dictionary_encode(pc.utf8_lower(runs) if used is simple else runs)
+                first[used] = self._pieces(_listed(runs.dictionary), True, used is simple)[np.asarray(runs.indices)]
+        first[~plain] = self._pieces(_listed(chunks.filter(pa.array(~plain))), False)
         tailed = plain & (np.asarray(pc.binary_length(chunks)) > np.asarray(pc.binary_length(cores)))
         if tailed.any():
             tails = pc.dictionary_encode(_ends(chunks.filter(pa.array(tailed)), cores.filter(pa.array(tailed))))
-            second[tailed] = self._pieces(tails.dictionary.to_pylist(), False)[np.asarray(tails.indices)]
+            second[tailed] = self._pieces(_listed(tails.dictionary), False)[np.asarray(tails.indices)]
         both = np.stack([first, second], 1).ravel()
         begin, size = self.bounds[both], self.bounds[both + 1] - self.bounds[both]
         own = gather(self.flat, begin, size)

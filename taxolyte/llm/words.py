@@ -96,7 +96,21 @@ class Words:
         self.distinct = coded.dictionary
         if strip:
             self.distinct = pc.utf8_trim(self.distinct, PUNCTUATION)
-        codes, offsets = np.asarray(coded.indices), np.asarray(lists.offsets)
+        self._keep(np.asarray(coded.indices), np.asarray(lists.offsets))
+
+    @classmethod
+    def of_chunks(cls, texts: list[str], lists: pa.Array, coded: pa.DictionaryArray) -> Words:
+        """The words of texts that are split at U+0020 and line feeds, as lists of chunks and as codes of all chunks."""
+        if any(space in text for space in "\t\v\f\r" for text in texts):  # chunks may hold several words
+            return cls(texts)
+        out = cls.__new__(cls)
+        small = pc.dictionary_encode(pc.ascii_lower(coded.dictionary))
+        out.distinct = small.dictionary
+        out._keep(np.asarray(small.indices)[np.asarray(coded.indices)], np.asarray(lists.offsets))
+        return out
+
+    def _keep(self, codes: np.ndarray, offsets: np.ndarray) -> None:
+        """Sets codes and offsets, without empty words."""
         word = (np.asarray(pc.binary_length(self.distinct)) > 0)[codes]
         self.codes = codes[word]
         self.offsets = np.concatenate([[0], np.cumsum(word)])[offsets]

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -99,6 +100,45 @@ def test_gradients():
         model.set_weights(base)
 
 
+def test_a_step_is_the_plain_gradient_in_small_tables():
+    rng = np.random.default_rng(11)
+    _, model, _, _ = model_of(rng, 60)
+    cells, filled, text = lm._blocks([rng.integers(0, 300, n) for n in (5, 4000, 1, 33, 4200)])
+    before, first = lm._before(cells, text)
+    rows, target = model.row[before], model.klass[cells]
+    a, b = 1, len(cells)
+    assert b - a > lm.STEP_BLOCKS
+    w = {k: x.astype(float) for k, x in model.weights.items()}
+    want = {k: np.zeros_like(x) for k, x in w.items()}
+    for i in range(a, b):  # block by block, each projection written out
+        e = np.concatenate([model.embedding[rows[i - 1]], model.embedding[rows[i]]]).astype(float)
+        own = e[lm.BLOCK :]
+        q, k, v = own @ w["q"] / np.sqrt(lm.WIDTH), e @ w["k"], e @ w["v"]
+        p = np.exp(q @ k.T + w["near"][lm._NEAR] + lm._CAUSAL)
+        if first[i]:
+            p[:, : lm.BLOCK] = 0
+        p /= p.sum(1, keepdims=True)
+        z = np.exp(p @ v @ w["out"] + model.direct[rows[i]])
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(lm.BLOCK), target[i]] -= 1
+        z *= filled[i][:, None] / filled[a:b].sum()
+        dp = z @ w["out"].T @ v.T
+        ds = p * (dp - (p * dp).sum(1, keepdims=True))
+        want["out"] += (p @ v).T @ z
+        want["v"] += e.T @ p.T @ z @ w["out"].T
+        want["q"] += own.T @ ds @ k / np.sqrt(lm.WIDTH)
+        want["k"] += e.T @ ds.T @ q
+        np.add.at(want["near"], lm._NEAR, ds)
+    tracemalloc.start()
+    got = model.gradients(rows, first, target, filled, a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.keys() == want.keys()
+    for name, x in want.items():
+        assert np.allclose(got[name], x, atol=1e-5 + 1e-3 * np.abs(x).max()), name
+    assert most < 3 << 20  # near the cache of a core; a step's tables took 12 MB
+
+
 def test_attention_learns_what_pairs_cannot_tell():
     # The id after a 7 is the one that came two before it; pairs alone can't say which.
     rng = np.random.default_rng(6)
@@ -222,6 +262,18 @@ def test_empty(spark, no_docs):
     assert lm.score_texts(spark, no_docs, default_tokenizer()).count() == 0
 
 
+def test_texts_are_split_once_for_words_and_ids(monkeypatch):
+    from taxolyte.llm.tokens import TextEncoder, chunked
+    from taxolyte.llm.words import Words
+
+    encoder = TextEncoder(default_tokenizer())
+    for texts in (["The the THE  cat's é É\n\nà\u00a0b x", "", "\n \n", " end "], ["a\tB c\fd", "e\rf\x0bg h"], []):
+        chunks = chunked(texts)
+        got, want = Words.of_chunks(texts, *chunks), Words(texts)
+        assert got.hashes().tolist() == want.hashes().tolist() and got.offsets.tolist() == want.offsets.tolist()
+        assert list(encoder.encode_chunks(*chunks)) == list(encoder.encode_many(texts))
+
+
 def test_counting_remembers_many_pieces(monkeypatch):
     import pyarrow as pa
 

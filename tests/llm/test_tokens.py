@@ -161,3 +161,11 @@ def test_pieces_are_looked_up_once(library):
     text = "aa bb!? cc!? dd... 12 é"
     assert encoder.encode(text).tolist() == want(library, text)
     assert encoder.index.asked == 8  # aa, bb, cc, dd, é; 12; two tails
+
+
+def test_runs_of_simple_letters_are_merged_in_lower_case(library):
+    letters = [chr(i) for i in range(0xC0, 0x100) if chr(i).isalpha()]
+    text = " ".join([*(f"{a}x{b}st{a}{b}" for a in letters for b in letters), "Words WORDS words", *map("straße{}".format, letters), "µª ÿŸ éé ſtraße"])
+    encoder = TextEncoder(default_tokenizer())
+    assert encoder.encode(text).tolist() == want(library, text)
+    assert "words" in encoder.index and "Words" not in encoder.index  # both are one piece
