@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from taxolyte.functions.special import log_factorials
 from taxolyte.session import materialize
 
-#: Raters and ratings of a block; rows and columns multiplied at once, and rows of raters made into one batch.
-BLOCK, RATINGS, STRIPE, WIDTH, OUT = 4096, 2_000_000, 1024, 2048, 64
+#: Raters and ratings of a block; rows and columns multiplied at once, raters returned in one row, and figures told apart by a table.
+BLOCK, RATINGS, STRIPE, WIDTH, OUT, CODES = 4096, 2_000_000, 1024, 2048, 64, 1 << 20
 
 
 def _choose2(c: Column) -> Column:
@@ -125,13 +125,15 @@ def krippendorff(ratings: DataFrame, item: str = "item", value: str = "verdict")
     return one.select(F.when(F.col("n_items") >= 2, 1 - ratio).alias("alpha"), "n_items", F.col("n").cast("long").alias("n_ratings"))
 
 
-def pairwise(ratings: DataFrame, rater: str = "rater", item: str = "item", value: str = "verdict", block: int = BLOCK) -> DataFrame:
-    """r1 < r2, items both rated, and the share on which they agree, null if no such item has a value of both.
+def pairwise(ratings: DataFrame, rater: str = "rater", item: str = "item", value: str = "verdict", block: int = BLOCK, digits: int | None = None) -> DataFrame:
+    """r1 < r2, items both rated, and the share on which they agree, rounded to digits, null if no such item has a value of both.
 
-    Raters are dealt into blocks by hash, and each task multiplies two blocks as matrices, so ratings are sent once for each
-    block and no row is made for an item that two raters share. Where few raters share an item, such rows are fewer than
-    pairs of raters and are joined instead.
+    Raters are dealt into blocks by hash, and each task multiplies two blocks as matrices, so packed ratings are sent once for each
+    block and no row is made for an item that two raters share. A task's worker returns a row for every OUT raters: a number for each
+    of their pairs, and what the numbers stand for, so that rows of pairs are made, and shares rounded, outside of Python. Where few
+    raters share an item, such rows are fewer than pairs of raters and are joined instead.
     """
+    rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     rows = ratings.select(F.col(rater).alias("r"), F.col(item).alias("x"), F.col(value).alias("v")).filter("r IS NOT NULL AND x IS NOT NULL")
     rows = materialize(ratings.sparkSession, rows.groupBy("r", "x", "v").agg(F.count("*").alias("c")), "ratings")
     shared = rows.groupBy("x").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("met")).first()
@@ -140,49 +142,94 @@ def pairwise(ratings: DataFrame, rater: str = "rater", item: str = "item", value
         a, b = rows.toDF("r1", "x", "v1", "c1"), rows.toDF("r2", "x", "v2", "c2")
         n, same = F.col("c1") * F.col("c2"), F.col("v1") == F.col("v2")
         met = a.join(b, "x").filter("r1 < r2").groupBy("r1", "r2")
-        return met.agg(F.sum(n).alias("n"), F.try_divide(F.sum(F.when(same, n).when(~same, 0)), F.sum(F.when(same.isNotNull(), n))).alias("agreement"))
+        return met.agg(F.sum(n).alias("n"), rounded(F.try_divide(F.sum(F.when(same, n).when(~same, 0)), F.sum(F.when(same.isNotNull(), n)))).alias("agreement"))
 
     blocks = max(1, -(-total["n"] // block), -(-total["size"] // RATINGS), min(8, total["n"] // 256))
-    per = rows.groupBy("r").agg(F.collect_list(F.struct("x", "v", "c")).alias("has")).withColumn("b", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))
-    spread = per.select("r", "has", "b", F.explode(F.array_distinct(cells)).alias("cell")).select("r", "has", "b", "cell.lo", "cell.hi")
-    kind = ratings.schema[rater].dataType.simpleString()
+    types = {name: rows.schema[name].dataType for name in "rx"}
+    kind = types["r"].simpleString()
 
-    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        sides = [_ratings(table.filter(pc.equal(table.column("b"), x)).combine_chunks()) for x in ([lo] if lo == hi else [lo, hi])]
+        yield pa.RecordBatch.from_arrays([table.column("b")[:1].combine_chunks(), pa.array([_packed(table.select(list("rxvc")))], pa.binary())], names=["b", "has"])
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("b")
+        sides = [_unpacked(x.as_py()) for x in table.column("has")]
         (k, left), (l, right) = sides[0], sides[-1]
         by_item = _matrices(left, right, ["x"])
         by_value = _matrices(*(t.filter(pc.is_valid(t.column("v"))) for t in (left, right)), ["x", "v"])
         valued = _matrices(*(t.filter(pc.is_valid(t.column("v"))) for t in (left, right)), ["x"]) if left.column("v").null_count + right.column("v").null_count else None
+        products = [_Product(x, len(l)) for x in (by_item, by_value, valued) if x]
         for at in range(0, len(k), STRIPE):
             to = min(at + STRIPE, len(k))
-            n, same = _product(by_item, at, to, len(l)), _product(by_value, at, to, len(l))
-            both = n if valued is None else _product(valued, at, to, len(l))
-            if lo == hi:
-                n[np.arange(len(l)) <= np.arange(at, to)[:, None]] = 0  # both in order of k
+            figures = [p.rows(at, to) for p in products]
+            if len(sides) == 1:
+                figures[0][np.arange(len(l)) <= np.arange(at, to)[:, None]] = 0  # each pair once
             for part in range(0, to - at, OUT):
-                i, j = np.nonzero(n[part : part + OUT])
-                i += part
-                a, c, seen = k[at + i], l[j], both[i, j]
-                agreement = np.divide(same[i, j], seen, out=np.zeros(len(i)), where=seen > 0, dtype=np.float64)
+                some = [x[part : part + OUT] for x in figures]
+                first, code = _coded([x.ravel() for x in some])
+                n, same, both = (some[j].ravel()[first] for j in (0, 1, -1 if valued else 0))
+                share = np.divide(same, both, out=np.zeros(len(first)), where=both > 0, dtype=np.float64)
+                code = np.where(n > 0, np.arange(len(first), dtype=np.int32), np.int32(-1))[code]
+                raters = pa.StructArray.from_arrays([k[at + part : at + part + len(some[0])], _lists(pa.array(code), len(l))], ["k", "code"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, kinds) for x, kinds in ((np.minimum(a, c), table.schema.field("r").type), (np.maximum(a, c), table.schema.field("r").type))]
-                    + [pa.array(n[i, j].astype(np.int64)), pa.array(agreement, mask=seen == 0)],
-                    names=["r1", "r2", "n", "agreement"],
+                    [_lists(x, len(x)) for x in (raters, l, pa.array(n.astype(np.int64)), pa.array(share, mask=both == 0))], names=["per", "l", "n", "agreement"]
                 )
 
-    return spread.groupBy("lo", "hi").applyInArrow(cell, f"r1 {kind}, r2 {kind}, n long, agreement double")
+    by_block = rows.withColumn("b", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int")).repartition(blocks, "b")
+    packed = by_block.groupBy("b").applyInArrow(pack, "b int, has binary")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))
+    spread = packed.select("b", "has", F.explode(F.array_distinct(cells)).alias("cell")).select("b", "has", "cell.lo", "cell.hi").repartition(blocks * (blocks + 1) // 2, "lo", "hi")
+    found = spread.groupBy("lo", "hi").applyInArrow(cell, f"per array<struct<k: {kind}, code: array<int>>>, l array<{kind}>, n array<long>, agreement array<double>")
+    found = found.withColumn("agreement", F.transform("agreement", rounded)) if digits is not None else found
+    # exists has no generated code: that keeps the loops over raters and over pairs apart, or the pairs of OUT raters are held at once.
+    some = found.select("l", "n", "agreement", F.explode("per").alias("per")).filter(F.exists("per.code", lambda c: c >= 0))
+    found = some.select("l", "n", "agreement", F.col("per.k").alias("k"), F.posexplode("per.code").alias("at", "code"))
+    other = F.get("l", "at")
+    return found.filter("code >= 0").select(F.least("k", other).alias("r1"), F.greatest("k", other).alias("r2"), F.get("n", "code").alias("n"), F.get("agreement", "code").alias("agreement"))
+
 
+def _lists(values: pa.Array, size: int) -> pa.ListArray:
+    """The values as lists of one size."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, max(1, size), np.int32)), values)
 
-def _ratings(raters: pa.Table) -> tuple[np.ndarray, pa.Table]:
+
+def _packed(ratings: pa.Table) -> bytes:
+    """The ratings r, x, v, c, compressed, in order of r."""
+    ratings = ratings.sort_by("r").combine_chunks()
+    ratings = pa.table({name: c if name == "c" else c.dictionary_encode() for name, c in zip(ratings.column_names, ratings.columns, strict=True)})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, ratings.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(ratings)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(ratings: bytes) -> tuple[pa.Array, pa.Table]:
     """Raters in order, and their ratings: row (place of the rater), x, v, c."""
-    raters = raters.sort_by("r").combine_chunks()
-    has = raters.column("has").combine_chunks()
-    flat = pc.list_flatten(has)
-    columns = {"row": pc.cast(pc.list_parent_indices(has), pa.int64()), **{name: pc.struct_field(flat, name) for name in "xvc"}}
-    return raters.column("r").to_numpy(), pa.table(columns)
+    ratings = pa.ipc.open_stream(ratings).read_all().combine_chunks()
+    raters = ratings.column("r").combine_chunks()
+    plain = {name: ratings.column(name).cast(ratings.schema.field(name).type.value_type) for name in "xv"}
+    return raters.dictionary, pa.table({"row": raters.indices.cast(pa.int64()), **plain, "c": ratings.column("c")})
+
+
+def _coded(figures: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equally long arrays of whole numbers as rows: a place of each distinct row, and for every row which of them it is."""
+    code, size = np.zeros(len(figures[0]), np.int32), 1
+    for f in figures:
+        top = int(f.max(initial=0)) + 1
+        if size * top > CODES:
+            (firsts, code), (values, f) = np.unique(code, return_inverse=True), np.unique(f, return_inverse=True)
+            size, top = len(firsts), len(values)
+        wide = np.int32 if size * top <= CODES else np.int64
+        code, size = code.astype(wide, copy=False) * wide(top) + f.astype(wide), size * top
+    if size > CODES:
+        return np.unique(code, return_index=True, return_inverse=True)[1:]
+    at = np.full(size, -1, np.int32)
+    at[code] = np.arange(len(code), dtype=np.int32)
+    used = np.flatnonzero(at >= 0)
+    which = np.empty(size, np.int32)
+    which[used] = np.arange(len(used), dtype=np.int32)
+    return at[used], which[code]
 
 
 def _matrices(left: pa.Table, right: pa.Table, by: list[str]) -> tuple:
@@ -205,21 +252,27 @@ def _matrices(left: pa.Table, right: pa.Table, by: list[str]) -> tuple:
     return out[0], out[1], len(common), np.float32 if largest < 2**24 else np.float64  # whole numbers stay exact
 
 
-def _product(matrices: tuple, at: int, to: int, n: int) -> np.ndarray:
-    """The product of rows at to to of the left matrix with the n rows of the right one, by WIDTH columns at a time."""
-    left, right, width, kind = matrices
-    out = np.zeros((to - at, n), kind)
-    for start in range(0, width, WIDTH):
-        dense = []
-        for (row, column, c), first, last in ((left, at, to), (right, 0, n)):
-            some = slice(*np.searchsorted(column, (start, start + WIDTH)))
-            row, column, c = row[some], column[some], c[some]
-            here = (row >= first) & (row < last)
-            m = np.zeros((last - first, min(WIDTH, width - start)), kind)
-            m[row[here] - first, column[here] - start] = c[here]
-            dense.append(m)
-        out += dense[0] @ dense[1].T
-    return out
+class _Product:
+    """The product of two such matrices, by rows of the left one and WIDTH columns at a time; the right one has n rows."""
+
+    def __init__(self, matrices: tuple, n: int):
+        self.left, self.right, self.width, self.kind = matrices
+        self.n, self.start, self.dense = n, None, None
+
+    def _part(self, side: tuple, start: int, first: int, last: int) -> np.ndarray:
+        row, column, c = (x[slice(*np.searchsorted(side[1], (start, start + WIDTH)))] for x in side)
+        here = (row >= first) & (row < last)
+        m = np.zeros((last - first, min(WIDTH, self.width - start)), self.kind)
+        m[row[here] - first, column[here] - start] = c[here]
+        return m
+
+    def rows(self, at: int, to: int) -> np.ndarray:
+        out = np.zeros((to - at, self.n), self.kind)
+        for start in range(0, self.width, WIDTH):
+            if start != self.start:  # a single part is made once
+                self.start, self.dense = start, self._part(self.right, start, 0, self.n)
+            out += self._part(self.left, start, at, to) @ self.dense.T
+        return out
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:

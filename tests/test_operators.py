@@ -1,6 +1,10 @@
 import math
 from collections import Counter
+from datetime import date, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +245,47 @@ def test_pairwise_agreement_makes_no_row_for_a_shared_item(spark, monkeypatch):
             assert ("Join" in df._jdf.queryExecution().toString()) == joined
 
 
+def rows_from_python(plan):
+    """Rows that workers returned to the last such node of an executed plan."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    if plan.nodeName() == "ResultQueryStage":
+        plan = plan.plan()
+    if "InArrow" in plan.nodeName():
+        return plan.metrics().apply("pythonNumRowsReceived").value()
+    children = plan.children()
+    return sum(rows_from_python(children.apply(i)) for i in range(children.size()))
+
+
+def test_pairwise_agreement_makes_its_rows_outside_of_python(spark, monkeypatch):
+    rows = [(r, x, (None, "a", "b", "c")[(r * x + r // 3) % 4]) for r in range(40) for x in range(7) if (r + x) % 5]
+    df = agreement.pairwise(spark.createDataFrame(rows, "rater long, item string, verdict string"))
+    got = sorted(df.collect())
+    assert len(got) == 780 and rows_from_python(df._jdf.queryExecution().executedPlan()) == 1
+    day = lambda r: date(2020, 1, 1) + timedelta(r)
+    monkeypatch.setattr(agreement, "OUT", 7)
+    days = agreement.pairwise(spark.createDataFrame([(day(r), x, v) for r, x, v in rows], "rater date, item string, verdict string"), block=11, digits=2)
+    want = [(day(a), day(b), n, None if s is None else float(Decimal(repr(s)).quantize(Decimal("0.01"), ROUND_HALF_UP))) for a, b, n, s in got]
+    assert sorted(map(tuple, days.collect())) == want
+
+
+def test_figures_of_blocks(monkeypatch):
+    draw = np.random.default_rng(5)
+    figures = [draw.integers(0, top, 500).astype(np.float32) for top in (9, 3, 4000)]
+    for codes in (2, 20, 9 * 3, 1 << 20):  # those too many for a table are sorted
+        monkeypatch.setattr(agreement, "CODES", codes)
+        first, code = agreement._coded(figures)
+        assert len(first) == len(set(zip(*figures, strict=True))) and all((f[first][code] == f).all() for f in figures)
+    left, right = (pa.table({"row": pa.array(draw.integers(0, 12, 90)), "x": pa.array(draw.integers(0, 8, 90)), "c": pa.array(draw.integers(1, 4, 90))}) for _ in range(2))
+    want = np.zeros((2, 12, 8))
+    for m, t in zip(want, (left, right), strict=True):
+        np.add.at(m, (t["row"].to_numpy(), t["x"].to_numpy()), t["c"].to_numpy())
+    for width in (3, 100):
+        monkeypatch.setattr(agreement, "WIDTH", width)
+        product = agreement._Product(agreement._matrices(left, right, ["x"]), 12)
+        assert (np.vstack([product.rows(0, 5), product.rows(5, 12)]) == want[0] @ want[1].T).all()
+
+
 def test_counts_of_pairs_without_pairs(spark):
     n = 60
     vec = [[math.cos(i * i / 9), math.sin(i * i / 9), (i % 4) / 3] for i in range(n)] + [[0.0, 0.0, 0.0], None]
